@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import id_hash
+from graphloom.llm import warc
+from graphloom.llm.common import id_hash, scratch
 from graphloom.llm.langid import identify, language_profiles
+from graphloom.llm.packing import pack
 from graphloom.llm.quality import fit_quality, score_quality
 
 
@@ -25,6 +28,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens, cut by dynamic programming."""
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as ARC files, converted to WARC with revisits, and read back from the WARC files."""
+    arc, archive = scratch(spark, "arc"), scratch(spark, "warc")
+    warc.write_arc(_table(spark, sf_dir, "pages"), arc)
+    warc.convert(spark, arc, archive)
+    return warc.read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank-order language profiles over all documents; one id hash in four is held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -36,6 +52,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": op3_quality,
+        "op6_packing": op6_packing,
+        "op9_warc": op9_warc,
         "op10_language": op10_language,
     }
 
