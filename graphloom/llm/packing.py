@@ -175,7 +175,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str,
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = rows.select(*keep).schema
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padding"):
-        schema = schema.add(name, "bigint")
+        schema = schema.add(name, "long")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_tokens(vocabulary)

@@ -13,6 +13,7 @@ from graphloom.llm.common import id_hash, scratch
 from graphloom.llm.langid import identify, language_profiles
 from graphloom.llm.packing import pack
 from graphloom.llm.quality import fit_quality, score_quality
+from graphloom.llm.sharding import ShardStore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended in four arrivals, compacted, and read back by the last manifest.
+
+    Per document: the digest of the text as it was read back, its shard, that shard's
+    bytes by the manifest, and the version.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    store = ShardStore(spark, scratch(spark, "shards"), target_bytes=64 << 20)
+    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(4))), by="arrival")
+    last = store.compact()
+    store.vacuum()
+    listed = spark.createDataFrame([(s.path.rpartition("/")[2], s.bytes) for s in last.shards], "shard string, shard_bytes bigint")
+    rows = store.read(last.version, shard="shard").join(F.broadcast(listed), "shard", "left")
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "n_chars", "shard", "shard_bytes", F.lit(last.version).alias("version"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens, cut by dynamic programming."""
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -52,6 +69,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": op3_quality,
+        "op5_sharding": op5_sharding,
         "op6_packing": op6_packing,
         "op9_warc": op9_warc,
         "op10_language": op10_language,
