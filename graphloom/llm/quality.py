@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import blocks
@@ -111,18 +111,18 @@ def fit_quality(
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
     shares = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
     # Twice as many ids as needed: some texts are missing, null or too long.
-    ids = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * per_class)
+    first = [known.where(F.col("_label") == k).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(2 * per_class) for k in (0, 1)]
+    ids = first[0].unionByName(first[1])
     found = (
         docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
         .where(F.length("_text") <= max_chars)
         .join(F.broadcast(ids), "_id")
-        .groupBy("_label", "_n")
+        .groupBy("_label", "_h", "_id")
         .agg(F.min("_text").alias("_text"))
     )
-    first = Window.partitionBy("_label").orderBy("_n")
-    rows = found.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= per_class).select("_label", "_k", "_text").toPandas().sort_values(["_label", "_k"])
+    rows = found.toPandas().sort_values(["_label", "_h", "_id"]).groupby("_label").head(per_class)
+    rows["_k"] = rows.groupby("_label").cumcount()
     if not len(rows) or len(shares) < 2:
         one = shares.get(1, 0) / max(1, sum(shares.values())) if shares else 0.5
         one = min(max(one, 1e-6), 1 - 1e-6)
