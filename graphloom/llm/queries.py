@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import warc
+from graphloom.llm import ann, warc
 from graphloom.llm.common import id_hash, scratch
+from graphloom.llm.decontaminate import contaminated
 from graphloom.llm.langid import identify, language_profiles
 from graphloom.llm.packing import pack
 from graphloom.llm.quality import fit_quality, score_quality
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents and benchmark items that they contain to 0.8 or more."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression classifier over all documents; every fifth id hash is held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -50,6 +56,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    vectors = ann.valid_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    book = ann.fit(vectors)
+    if book is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), book)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as ARC files, converted to WARC with revisits, and read back from the WARC files."""
     arc, archive = scratch(spark, "arc"), scratch(spark, "warc")
@@ -68,13 +83,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op3_quality": op3_quality,
         "op5_sharding": op5_sharding,
         "op6_packing": op6_packing,
+        "op8_ann": op8_ann,
         "op9_warc": op9_warc,
         "op10_language": op10_language,
     }
 
 
+_OP2_SQL = """
+WITH words AS (
+    SELECT doc_id AS id, FALSE AS item, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents
+    UNION ALL
+    SELECT item_id, TRUE, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') FROM benchmark
+), shingles AS (
+    SELECT DISTINCT id, item, array_to_string(w[k:k + 4], ' ') AS s
+    FROM (SELECT id, item, w, unnest(range(1, len(w) - 3)) AS k FROM words)
+), sizes AS (SELECT id, count(*) AS n FROM shingles WHERE item GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(n) AS n_shingles, count(*) / any_value(n) AS containment
+FROM shingles b JOIN sizes ON sizes.id = b.id JOIN shingles d ON d.s = b.s AND NOT d.item
+WHERE b.item GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": _OP2_SQL}
