@@ -12,6 +12,7 @@ from graphloom.llm import ann, warc
 from graphloom.llm.common import id_hash, scratch
 from graphloom.llm.decontaminate import contaminated
 from graphloom.llm.langid import identify, language_profiles
+from graphloom.llm.neardup import near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.quality import fit_quality, score_quality
 from graphloom.llm.sharding import ShardStore
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, at a similarity of 0.8."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents and benchmark items that they contain to 0.8 or more."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -83,6 +89,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neardup": op1_neardup,
         "op2_decontamination": op2_decontamination,
         "op3_quality": op3_quality,
         "op5_sharding": op5_sharding,
