@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, warc
+from graphloom.llm import ann, hmm, warc
 from graphloom.llm.common import id_hash, scratch
 from graphloom.llm.decontaminate import contaminated
 from graphloom.llm.langid import identify, language_profiles
@@ -62,6 +62,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents; one id hash in ten is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(id_hash(), F.lit(10)) == 0
+    taught = docs.where(~held_out)
+    counts = hmm.count_words(taught)
+    words = hmm.vocabulary(counts, taught.count())
+    model = hmm.fit(taught, words)
+    return hmm.score(docs.withColumn("held_out", held_out), words, model, counts, keep=("doc_id", "held_out"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every twentieth vector with all others."""
     vectors = ann.valid_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -94,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op5_sharding": op5_sharding,
         "op6_packing": op6_packing,
+        "op7_hmm": op7_hmm,
         "op8_ann": op8_ann,
         "op9_warc": op9_warc,
         "op10_language": op10_language,
