@@ -2,29 +2,69 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import id_hash, written
+from graphloom.llm import pii
+from graphloom.llm.common import written
+from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.langid import UNKNOWN, identify, language_profiles
+from graphloom.llm.neardup import deduplicate
+from graphloom.llm.packing import pack
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rank orders, similarity components, learned spans and dynamic programming are beyond SQL.
 ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an identifiable language: null texts and texts without letters."""
-    profiles = language_profiles(docs)
-    named = identify(docs.withColumn("_text", F.col("text")), profiles, text="_text", keep=COLUMNS)
+    """Drops documents in no identifiable language: null texts and texts without a letter.
+
+    The profiles are learned from all documents that name their language; if none does, nothing can be identified and
+    no document is rejected for it.
+    """
+    profiles = written(language_profiles(docs), "profiles")
+    if not profiles.limit(1).count():
+        return docs.select(*COLUMNS)
+    named = identify(docs, profiles, keep=COLUMNS)
     return named.where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
-STAGES = [("language", language_stage)]
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that with the smallest id."""
+    return deduplicate(docs.select(*COLUMNS))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind in brackets; n_chars follows the new text."""
+    found = pii.find_pii(docs, pii.fit(docs), keep=("doc_id", "lang", "source"), redact=True)
+    text = F.col("redacted")
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("bigint").alias("n_chars"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near-duplicates", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("personal data", pii_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents, each written as Parquet and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -103,9 +103,9 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", s
 
 def _scorer(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in blocks(frames, "text", _CHARS, _ROWS):
+        for frame in blocks(frames, "_read", _CHARS, _ROWS):
             n = len(frame)
-            group, gram, count = gram_counts(list(frame["text"]), np.arange(n))
+            group, gram, count = gram_counts(list(frame["_read"]), np.arange(n))
             order = np.lexsort((gram, -count, group))
             group, gram = group[order], gram[order]
             first = np.searchsorted(group, np.arange(n))
@@ -123,7 +123,7 @@ def _scorer(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int) -
                     distance[k] = np.bincount(group, away, minlength=n) / np.maximum(1, found * size)
             lettered = (found > 0) & bool(langs)
             best = distance.argmin(axis=0) if langs else np.zeros(n, int)
-            frame = frame.drop(columns=["text"])
+            frame = frame.drop(columns=["_read"])
             frame["lang_pred"] = np.where(lettered, np.array([*langs, UNKNOWN], dtype=object)[best], UNKNOWN)
             frame["score"] = np.where(lettered, 1 - distance[best, np.arange(n)] if langs else 0.0, 0.0)
             yield frame
@@ -145,6 +145,6 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: tup
     grams = np.unique(held["gram"].to_numpy(np.int64))
     ranks = np.full((len(langs), len(grams)), -1, np.int64)
     ranks[[langs.index(x) for x in held["lang"]], np.searchsorted(grams, held["gram"].to_numpy(np.int64))] = held["rank"]
-    rows = docs.select(*keep, F.col(text).alias("text"))
+    rows = docs.select(*keep, F.col(text).alias("_read"))
     schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInPandas(_scorer(langs, grams, ranks, size), schema)

@@ -144,14 +144,14 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", keep
     in blocks of 2 KB; a null text counts as empty, whose difference is 0 (its score is the
     calibration's bias). Other columns take no part.
     """
-    rows = docs.select(*keep, F.col(text).alias("text"))
+    rows = docs.select(*keep, F.col(text).alias("_read"))
     schema = rows.select(*keep).schema.add("difference", "double").add("score", "double")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = _Sizes(model.good, model.bad)
-        for frame in blocks(frames, "text", 4_000_000):
-            x = sizes.features(frame["text"])
-            frame = frame.drop(columns=["text"])
+        for frame in blocks(frames, "_read", 4_000_000):
+            x = sizes.features(frame["_read"])
+            frame = frame.drop(columns=["_read"])
             frame["difference"] = x[:, 0]
             frame["score"] = model.probability(x)
             yield frame

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, hmm, warc
+from graphloom.llm import ann, hmm, pii, warc
 from graphloom.llm.common import id_hash, scratch
 from graphloom.llm.decontaminate import contaminated
 from graphloom.llm.langid import identify, language_profiles
@@ -41,6 +41,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern and model spans of personal data in all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.fit(docs))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents appended in four arrivals, compacted, and read back by the last manifest.
 
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_neardup": op1_neardup,
         "op2_decontamination": op2_decontamination,
         "op3_quality": op3_quality,
+        "op4_pii": op4_pii,
         "op5_sharding": op5_sharding,
         "op6_packing": op6_packing,
         "op7_hmm": op7_hmm,
