@@ -3,13 +3,290 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions import columns as C
+from graphloom.operators import assist as A
+from graphloom.operators import export as X
+from graphloom.operators import graph as G
+from graphloom.operators import incremental as I
+from graphloom.operators import parse as P
+from graphloom.operators import query as Q
+from graphloom.operators import scan as N
+from graphloom.plans import oracle
+from graphloom.sources import virtual as V
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "type", "name", "file_path", "summary", F.array_join("tags", ",").alias("tags"), "complexity")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return N.inventory(V.document_files(spark, d))
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    return N.inventory(V.place_files(spark, d))
+
+
+def _all_nodes(files: DataFrame) -> DataFrame:
+    return G.file_nodes(files).unionByName(G.directory_nodes(files))
+
+
+def _picked(number: Column, *texts: str) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (number % len(texts) + 1).cast("int"))
+
+
+def _parsed_parts(spark: SparkSession, d: str) -> DataFrame:
+    return P.Registry().parse(V.part_sources(spark, d))
+
+
+def _imports(spark: SparkSession, d: str) -> DataFrame:
+    return G.import_edges(V.import_files(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of documents and of orders' imports; nodes of documents and parts: the orders are unknown."""
+    files = _docs(spark, d)
+    part = F.concat(F.lit("parts/p_"), F.col("p_partkey").cast("string"), F.lit(".rs"))
+    parts = V.table(spark, d, "part").select(C.node_id(part).alias("id"), part.alias("file_path"), C.display_name(part).alias("name"))
+    nodes = _all_nodes(files).select("id", "file_path", "name").unionByName(parts)
+    return G.contains_edges(files).unionByName(_imports(spark, d)), nodes
+
+
+def _place_graph(spark: SparkSession, d: str) -> G.Graph:
+    files = _places(spark, d)
+    return G.build_graph(files, P.Registry().parse(V.place_files(spark, d)), "places", "2025-01-01T00:00:00Z")
+
+
+def _folder_graph(spark: SparkSession, d: str) -> G.Graph:
+    """The graph of the parts' folders, each with one source file."""
+    sources = V.part_sources(spark, d)
+    first = sources.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.min("path").alias("path")).select("path")
+    few = sources.join(first, "path", "left_semi")
+    return G.build_graph(N.inventory(few), P.Registry().parse(few), "parts", "2025-01-01T00:00:00Z")
+
+
+def project_stats(spark: SparkSession, d: str) -> DataFrame:
+    return N.project_stats(_docs(spark, d)).withColumn("languages", F.array_join("languages", ","))
+
+
+def exclusion_filter(spark: SparkSession, d: str) -> DataFrame:
+    start = _picked(F.col("doc_id"), ".git/", "a/.git/", "target/", "b/node_modules/", ".github/", "src/.", "targets/", "src/")
+    paths = V.table(spark, d, "documents").select(F.concat(start, F.lit("f"), F.col("doc_id").cast("string")).alias("path"))
+    return paths.select("path", C.excluded(F.col("path")).alias("excluded"))
+
+
+def node_ids(spark: SparkSession, d: str) -> DataFrame:
+    path = F.col("path")
+    return V.page_files(spark, d).select("path", C.node_id(path).alias("id"), C.display_name(path).alias("name"))
+
+
+def category_node_types(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).groupBy("file_category", C.node_type_of_category(F.col("file_category")).alias("type")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def file_summary_join(spark: SparkSession, d: str) -> DataFrame:
+    sources = V.part_sources(spark, d)
+    return G.file_nodes(N.inventory(sources), P.Registry().parse(sources)).select("file_path", "summary")
+
+
+def edge_union(spark: SparkSession, d: str) -> DataFrame:
+    edges = G.contains_edges(_docs(spark, d)).unionByName(_imports(spark, d))
+    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source").alias("sources"))
+
+
+def layers(spark: SparkSession, d: str) -> DataFrame:
+    found = G.layers(G.directory_nodes(_places(spark, d)))
+    return found.select("id", "name", F.array_join("node_ids", ",").alias("node_ids"))
+
+
+def tour_steps(spark: SparkSession, d: str) -> DataFrame:
+    return G.tour(_all_nodes(_places(spark, d))).select("order", "title", "description", F.array_join("node_ids", ",").alias("ids"))
+
+
+def overview(spark: SparkSession, d: str) -> DataFrame:
+    return Q.overview(_place_graph(spark, d)).drop("analyzed_at")
+
+
+def import_list(spark: SparkSession, d: str) -> DataFrame:
+    return Q.import_list(*_mixed(spark, d))
+
+
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    part = F.concat(F.lit("parts/p_"), F.col("p_partkey").cast("string"), F.lit(".rs"))
+    asked = V.table(spark, d, "part").where("p_size = 1").select(C.node_id(part).alias("id"))
+    return Q.neighbours(*_mixed(spark, d), asked)
+
+
+def search_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return Q.search(_all_nodes(_docs(spark, d)), "SRC1/fr").drop("score")
+
+
+def layer_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Layers in which files are missing and configuration is twice."""
+    nodes = _all_nodes(_docs(spark, d))
+    rows = nodes.where("type <> 'file'").select("type", "id")
+    members = rows.unionByName(rows.where("type = 'config'").select(F.lit("again").alias("type"), "id"))
+    return Q.layer_coverage(nodes, members.select(F.array("id").alias("node_ids")))
+
+
+def visible_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _all_nodes(_docs(spark, d))
+    members = G.layer_members(nodes).select(F.col("layer").alias("id"), F.array("id").alias("node_ids"))
+    return Q.visible(nodes, members, ["docs", "infra"]).select("id", "type")
+
+
+def tour_highlight(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _all_nodes(_places(spark, d))
+    return Q.highlighted(nodes, G.tour(nodes), 2)
+
+
+def valid_links(spark: SparkSession, d: str) -> DataFrame:
+    return Q.valid_links(*_mixed(spark, d)).select("source", "target", "type")
+
+
+def _snapshot(operator: Callable[[DataFrame, DataFrame], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    old, new = V.snapshots(spark, d)
+    return operator(I.fingerprints(old), I.fingerprints(new))
+
+
+def batches(spark: SparkSession, d: str) -> DataFrame:
+    return A.batches(_docs(spark, d), A.AnalysisConfig(max_file_lines=40))
+
+
+def alias_nodes(spark: SparkSession, d: str) -> DataFrame:
+    text = _picked(F.col("event_id"), "fn", "FUNC", "mod", "doc", "route", "view", "click", "Terraform")
+    return V.table(spark, d, "events").select("event_id", C.node_alias(text).alias("type"))
+
+
+def alias_edges(spark: SparkSession, d: str) -> DataFrame:
+    text = _picked(F.col("event_id"), "calls", "Invokes", "extends", "reads", "depends", "BuildsOn", "x")
+    return V.table(spark, d, "events").select("event_id", C.edge_alias(text).alias("type"))
+
+
+def extract_json(spark: SparkSession, d: str) -> DataFrame:
+    return V.model_answers(spark, d).select("batch", C.extract_json(F.col("response")).alias("json"))
+
+
+def llm_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = A.answer_nodes(A.answer_items(V.model_answers(spark, d)))
+    return nodes.select("id", "type", "name", F.array_join("line_range", "-").alias("lines"), F.array_join("tags", ",").alias("tags"), "complexity")
+
+
+def llm_edges(spark: SparkSession, d: str) -> DataFrame:
+    return A.answer_edges(A.answer_items(V.model_answers(spark, d))).select("source", "target", "type", "direction", "weight")
+
+
+def ensure_files(spark: SparkSession, d: str) -> DataFrame:
+    files = _docs(spark, d)
+    nodes = G.file_nodes(N.code_files(files))
+    return A.ensure_file_nodes(files, nodes).where(F.col("id").startswith("file-")).select("id", "file_path", "name", "summary")
+
+
+def fallback_layers(spark: SparkSession, d: str) -> DataFrame:
+    return A.fallback_layers(_all_nodes(_places(spark, d))).select("id", "name", F.size("node_ids").alias("n"))
+
+
+def fallback_tour(spark: SparkSession, d: str) -> DataFrame:
+    return A.fallback_tour(_all_nodes(_places(spark, d))).select("order", "title", "description", F.array_join("node_ids", ",").alias("ids"))
+
+
+def tour_listing(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _all_nodes(_places(spark, d))
+    return Q.tour_listing(G.tour(nodes), nodes)
+
+
+def layer_listing(spark: SparkSession, d: str) -> DataFrame:
+    nodes = G.directory_nodes(_places(spark, d))
+    return Q.layer_listing(G.layers(nodes), nodes)
+
+
+def graph_json(spark: SparkSession, d: str) -> DataFrame:
+    """The folder graph as JSON, one row."""
+    return X.graph_json(_folder_graph(spark, d))
+
+
+def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
+    return X.markdown_lines(_folder_graph(spark, d))
+
+
+def dashboard_payload(spark: SparkSession, d: str) -> DataFrame:
+    return X.payload(_folder_graph(spark, d))
+
+
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of the Markdown report of the parts' folders."""
+    lines = markdown_lines(spark, d).select(F.col("section").cast("string").alias("path"), F.col("line").alias("content"))
+    found = P.Registry([P.MARKDOWN]).parse(lines.withColumn("path", F.concat("path", F.lit(".md"))))
+    return found.select("path", F.explode("sections").alias("s")).select("path", "s.title", "s.level")
+
+
+def queries() -> dict[str, Query]:
+    one = lambda operator, source: lambda s, d: operator(source(s, d))
+    return {
+        "scan_inventory": _docs,
+        "scan_pages": one(N.inventory, V.page_files),
+        "language_counts": one(N.language_counts, _docs),
+        "category_counts": one(N.category_counts, _docs),
+        "project_stats": project_stats,
+        "exclusion_filter": exclusion_filter,
+        "node_ids": node_ids,
+        "file_nodes": lambda s, d: _nodes(G.file_nodes(_docs(s, d))),
+        "directory_nodes": lambda s, d: _nodes(G.directory_nodes(_places(s, d))),
+        "directory_nodes_pages": lambda s, d: _nodes(G.directory_nodes(N.inventory(V.page_files(s, d)))),
+        "contains_edges": lambda s, d: G.contains_edges(_docs(s, d)).drop("ord"),
+        "category_node_types": category_node_types,
+        "parse_definitions": one(P.definition_rows, _parsed_parts),
+        "parse_imports": one(P.import_rows, _parsed_parts),
+        "file_summary_join": file_summary_join,
+        "import_edges": lambda s, d: _imports(s, d).drop("ord"),
+        "edge_union": edge_union,
+        "layer_membership": lambda s, d: G.layer_members(_all_nodes(_docs(s, d))).drop("ord"),
+        "layer_summary": lambda s, d: G.layer_summary(_all_nodes(_docs(s, d))),
+        "layers": layers,
+        "tour_steps": tour_steps,
+        "graph_complexity": lambda s, d: Q.graph_complexity(_all_nodes(_docs(s, d))),
+        "overview": overview,
+        "file_inventory": lambda s, d: Q.file_inventory(G.file_nodes(_docs(s, d))),
+        "import_list": import_list,
+        "tree_roots": lambda s, d: Q.tree_roots(G.contains_edges(_docs(s, d))),
+        "tree_preorder": one(Q.tree, _docs),
+        "neighbours": neighbours,
+        "search_nodes": search_nodes,
+        "valid_links": valid_links,
+        "dangling_edges": lambda s, d: Q.dangling_edges(*_mixed(s, d)),
+        "degrees": one(Q.degrees, _imports),
+        "layer_coverage": layer_coverage,
+        "visible_nodes": visible_nodes,
+        "tour_highlight": tour_highlight,
+        "tour_listing": tour_listing,
+        "layer_listing": layer_listing,
+        "display_attributes": lambda s, d: Q.display(_all_nodes(_docs(s, d))),
+        "fingerprints": one(I.fingerprints, V.document_files),
+        "changed_files": partial(_snapshot, I.changed_files),
+        "snapshot_status": partial(_snapshot, I.snapshot_status),
+        "batches": batches,
+        "project_context": lambda s, d: A.project_context(N.project_stats(_docs(s, d))),
+        "alias_nodes": alias_nodes,
+        "alias_edges": alias_edges,
+        "extract_json": extract_json,
+        "llm_nodes": llm_nodes,
+        "llm_edges": llm_edges,
+        "ensure_files": ensure_files,
+        "fallback_layers": fallback_layers,
+        "fallback_tour": fallback_tour,
+        "graph_json": graph_json,
+        "markdown_lines": markdown_lines,
+        "markdown_sections": markdown_sections,
+        "dashboard_payload": dashboard_payload,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
