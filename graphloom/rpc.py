@@ -22,21 +22,21 @@ _PATH = {"path": {"type": "string"}}
 TOOLS = [
     {"name": name, "description": text, "inputSchema": {"type": "object", "properties": _PATH | more, "required": ["path"]}}
     for name, text, more in (
-        ("understand_scan", "Inventory of a project", {}),
-        ("understand_graph", "Knowledge graph of a project", {"incremental": {"type": "boolean"}}),
-        ("understand_report", "Report on a project", {"format": {"type": "string", "enum": ["html", "md", "json"]}}),
+        ("project_scan", "Inventory of a project", {}),
+        ("project_graph", "Knowledge graph of a project", {"incremental": {"type": "boolean"}}),
+        ("project_report", "Report on a project", {"format": {"type": "string", "enum": ["html", "md", "json"]}}),
     )
 ]
 
 
 def _call(spark: SparkSession, name: str, args: dict) -> str:
     root = os.path.abspath(args.get("path", "."))
-    if name == "understand_scan":
+    if name == "project_scan":
         return X.scan_json(project_stats(inventory(project_files(spark, root)))).first()["json"]
     graph, files = build(spark, root, os.path.join(root, STATE_DIR), bool(args.get("incremental", False)))
     if graph is None:
         return "up to date"
-    form = args.get("format", "json") if name == "understand_report" else "json"
+    form = args.get("format", "json") if name == "project_report" else "json"
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "out")
         X.export(graph, form, path, inventory(files))

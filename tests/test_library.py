@@ -329,7 +329,7 @@ def test_command_line_and_rpc(spark, project, tmp_path, capsys):
     assert cli.main(["scan", str(project)]) == 0 and "7 files | simple" in capsys.readouterr().out
     assert cli.main(["parse", str(project)]) == 0 and "src/a.rs: 1 defs, 1 imports" in capsys.readouterr().out
     assert cli.main([]) == 0
-    calls = [{"id": 1, "method": "initialize"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "understand_scan", "arguments": {"path": str(project)}}}, {"id": 4, "method": "tools/call", "params": {"name": "no"}}, {"id": 5, "method": "what"}, {"method": "notified"}]
+    calls = [{"id": 1, "method": "initialize"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "project_scan", "arguments": {"path": str(project)}}}, {"id": 4, "method": "tools/call", "params": {"name": "no"}}, {"id": 5, "method": "what"}, {"method": "notified"}]
     got = [json.loads(x) for x in rpc.serve(spark, ["", "{bad", *map(json.dumps, calls)])]
     assert [g["id"] for g in got] == [1, 2, 3, 4, 5]
     assert len(got[1]["result"]["tools"]) == 3 and '"total_files"' in got[2]["result"]["content"][0]["text"]
