@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
+from graphloom.functions import taxonomy as T
 from graphloom.operators import assist as A
 from graphloom.operators import export as X
 from graphloom.operators import graph as G
@@ -190,11 +191,12 @@ def ensure_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fallback_layers(spark: SparkSession, d: str) -> DataFrame:
-    return A.fallback_layers(_all_nodes(_places(spark, d))).select("id", "name", F.size("node_ids").alias("n"))
+    return G.layer_summary(_all_nodes(_places(spark, d)), T.FALLBACK_LAYERS)
 
 
 def fallback_tour(spark: SparkSession, d: str) -> DataFrame:
-    return A.fallback_tour(_all_nodes(_places(spark, d))).select("order", "title", "description", F.array_join("node_ids", ",").alias("ids"))
+    """The fallback tour of the parts' folders, of which there are as many as brands and types."""
+    return A.fallback_tour(_folder_graph(spark, d).nodes).select("order", "title", "description", F.array_join("node_ids", ",").alias("ids"))
 
 
 def tour_listing(spark: SparkSession, d: str) -> DataFrame:

@@ -202,5 +202,5 @@ def sql() -> dict[str, str]:
             SELECT x->>'$.source' AS source, x->>'$.target' AS target, {_cases("lower(x->>'$.type')", _EDGE_SPELLINGS, chr(39) + 'related' + chr(39))} AS type,
             CASE lower(x->>'$.direction') WHEN 'reverse' THEN 'backward' WHEN 'both' THEN 'bidirectional' ELSE 'forward' END AS direction, coalesce((x->>'$.weight')::FLOAT, 0.5::FLOAT) AS weight FROM e""",
         "ensure_files": f"{docs} SELECT 'file-' || (row_number() OVER (ORDER BY path) + (SELECT count(*) FROM files WHERE file_category = 'code')) AS id, path AS file_path, split_part(path, '/', -1) AS name, language || ' file (' || size_lines || ' lines, ' || path || ')' AS summary FROM files WHERE file_category <> 'code'",
-        "fallback_layers": f"{place_nodes} SELECT id, CASE id WHEN 'code' THEN 'Core Code' ELSE 'Configuration' END AS name, n FROM (SELECT {LAYER} AS id, count(*)::INT AS n FROM nodes GROUP BY 1)",
+        "fallback_layers": f"{place_nodes} SELECT id, CASE id WHEN 'code' THEN 'Core Code' ELSE 'Configuration' END AS name, nodes FROM (SELECT {LAYER} AS id, count(*) AS nodes FROM nodes GROUP BY 1)",
     }
