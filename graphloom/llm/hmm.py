@@ -9,12 +9,13 @@ summed; the scaled forward recursion gives each text's exact likelihood.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ SUFFIXES = 1_024
 #: The most frequent words, which are sent with the tasks; the counts of all others are joined.
 SENT_WORDS = 100_000
 ITERATIONS = 2
+#: Training cuts texts into pieces of so many tokens, so that few long texts don't set the pace; scoring never does.
+PIECE = 256
 _SPLIT = "[ \\t-\\r]+"
 _END = 0  # symbol of the end of a text; words follow, then suffix classes
 
@@ -36,12 +39,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, _SPLIT), lambda w: w != "")
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_SPACES = {c: 32 for c in range(9, 14)}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in text.translate(_LOWER | _SPACES).split(" ") if w]
+def _words(text: str) -> list[bytes]:
+    """The same words as UTF-8; bytes are split at just these six characters."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
 @dataclass(frozen=True)
@@ -67,15 +70,19 @@ class Vocabulary:
     def width(self) -> int:
         return 1 + self.symbols + SUFFIXES
 
+    @property
+    def class_sizes(self) -> np.ndarray:
+        """What a smoothed count is divided by for a word's share of its suffix class."""
+        return self.class_tokens + 0.1 * (self.class_words + 1)
+
 
-def _suffix(word: str) -> int:
-    return xxhash.xxh32_intdigest(word[-2:].encode("utf-8", "surrogatepass")) % SUFFIXES
+def _suffix(word: bytes) -> int:
+    """The class of a word's last two characters; ``suffix_of`` is the same for a column."""
+    return zlib.crc32(word[-8:].decode("utf-8", "ignore")[-2:].encode()) % SUFFIXES
 
 
-def _suffixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        frame["suffix"] = [_suffix(w) for w in frame["word"]]
-        yield frame
+def suffix_of(word: Column) -> Column:
+    return F.pmod(F.crc32(F.right(word, F.lit(2))), F.lit(SUFFIXES)).cast("int")
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -86,61 +93,75 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(counts: DataFrame, ends: int, symbols: int = SYMBOLS, sent: int = SENT_WORDS) -> Vocabulary:
     """The model's vocabulary of all training words; at most ``sent`` words and one row for each suffix class are collected."""
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(max(sent, symbols)).collect()]
+    rarest = _rarest_sent(counts, max(sent, symbols))
+    top = sorted(((r["word"], r["n"]) for r in counts.where(F.col("n") >= rarest).collect()), key=lambda x: (-x[1], x[0]))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    classes = counts.mapInPandas(_suffixes, "word string, n bigint, suffix int").groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("w"))
+    classes = counts.groupBy(suffix_of(F.col("word")).alias("suffix")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("w"))
     tokens, words = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
     for r in classes.collect():
         tokens[r["suffix"]], words[r["suffix"]] = r["n"], r["w"]
     for word, n in top[:symbols]:  # these are not in their suffix class
-        k = _suffix(word)
+        k = _suffix(word.encode())
         tokens[k] -= n
         words[k] -= 1
     own = min(symbols, len(top))
     return Vocabulary(tuple(top), total + ends, ends, distinct + (ends > 0), own, tokens, words)
 
 
+def _rarest_sent(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` words reach, from how many words have each count; words are not sorted."""
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).limit(most).collect()
+    total, least = 0, 1 << 62
+    for r in sizes:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
+
+
 class _Reader:
     """Texts as symbol sequences."""
 
     def __init__(self, held: Vocabulary):
         self.held = held
-        self.known = {w: k for k, (w, _) in enumerate(held.sent)}
-        self.count = np.array([n for _, n in held.sent] or [0], np.int64)
-        self.suffix: dict[str, int] = {}
-
-    def class_symbol(self, word: str) -> int:
-        tail = word[-2:]
+        self.known = {w.encode(): k for k, (w, _) in enumerate(held.sent)}
+        count = np.array([c for _, c in held.sent], np.int64)
+        n = held.symbols
+        classes = np.array([_suffix(w) for w in list(self.known)[n:]], np.int64)
+        # By rank, and last for words that are not sent: symbol, base score, log10 share of the class.
+        self.symbol = np.concatenate([np.arange(1, n + 1), 1 + n + classes, [0]]).astype(np.int32)
+        self.base = np.append(held.base(count), 0.0)
+        self.share = np.concatenate([np.zeros(n), np.log10((count[n:] + 0.1) / held.class_sizes[classes]), [0.0]])
+        self.suffix: dict[bytes, int] = {}
+
+    def class_symbol(self, word: bytes) -> int:
+        tail = word[-8:]
         value = self.suffix.get(tail)
         if value is None:
-            value = self.suffix[tail] = 1 + self.held.symbols + _suffix(word)
+            if len(self.suffix) > 500_000:
+                self.suffix.clear()
+            value = self.suffix[tail] = 1 + self.held.symbols + _suffix(tail)
         return value
 
-    def symbols(self, text: str) -> np.ndarray:
-        words, n, known = _words(text), self.held.symbols, self.known
-        out = [known.get(w, n) for w in words]
-        out = [k + 1 if k < n else self.class_symbol(w) for k, w in zip(out, words, strict=True)]
-        out.append(_END)
-        return np.array(out, np.int32)
-
-    def scored(self, text: str) -> tuple[np.ndarray, int, float, float]:
-        """Symbols; and over the words that are sent: how many, their base score, and their log10 shares of their classes."""
+    def ranks(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each word (-1: not sent) and the symbols, the end included."""
         words = _words(text)
-        known, n = self.known, self.held.symbols
-        at = np.array([known.get(w, -1) for w in words], np.int64)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = self.symbol[at]
         out[-1] = _END
-        out[:-1] = at + 1
-        for k in np.flatnonzero((at < 0) | (at >= n)).tolist():
+        for k in np.flatnonzero(at < 0).tolist():
             out[k] = self.class_symbol(words[k])
-        sent = at >= 0
-        counts = self.count[at[sent]]
-        rare = at[sent] >= n
-        share = 0.0
-        if rare.any():
-            place = out[:-1][sent][rare] - 1 - n
-            share = float(np.log10((counts[rare] + 0.1) / (self.held.class_tokens[place] + 0.1 * (self.held.class_words[place] + 1))).sum())
-        return out, int(sent.sum()), float(self.held.base(counts).sum()), share
+        return at, out
+
+    def symbols(self, text: str) -> np.ndarray:
+        return self.ranks(text)[1]
+
+    def scored(self, text: str) -> tuple[np.ndarray, int, float, float]:
+        """Symbols; and over the words that are sent: how many, their base score, and their log10 shares of their classes."""
+        at, out = self.ranks(text)
+        return out, int((at >= 0).sum()), float(self.base[at].sum()), float(self.share[at].sum())
 
 
 @dataclass(frozen=True)
@@ -186,17 +207,17 @@ def expectations(model: HiddenMarkov, texts: list[np.ndarray]) -> HiddenMarkov:
     """Expected counts of starts, moves and emissions, by forward and backward recursion."""
     states, width = model.emit.shape
     flat, first, _ = _columns(texts)
-    emit = np.ascontiguousarray(model.emit.T)
-    seen = emit[flat]
-    alpha = np.empty((len(flat), states))
-    scale = np.empty(len(flat))
+    seen = np.ascontiguousarray(model.emit.T.astype(np.float32))[flat]
+    model = HiddenMarkov(model.start.astype(np.float32), model.move.astype(np.float32), model.emit)
+    alpha = np.empty((len(flat), states), np.float32)
+    scale = np.empty(len(flat), np.float32)
     for t in range(len(first) - 1):
         own = slice(first[t], first[t + 1])
         n = first[t + 1] - first[t]
         a = (model.start if t == 0 else alpha[first[t - 1] : first[t - 1] + n] @ model.move) * seen[own]
         scale[own] = a.sum(axis=1)
         alpha[own] = a / scale[own, None]
-    beta = np.ones((len(texts), states))
+    beta = np.ones((len(texts), states), np.float32)
     gamma = np.empty_like(alpha)
     move = np.zeros((states, states))
     for t in range(len(first) - 2, -1, -1):
@@ -226,7 +247,8 @@ def _sums(docs: DataFrame, text: str, held: Vocabulary, states: int, expect: Cal
         reader = _Reader(held)
         total: HiddenMarkov | None = None
         for frame in blocks(frames, "_text", 3_000_000):
-            part = expect([reader.symbols(t) for t in frame["_text"]])
+            whole = [reader.symbols(t) for t in frame["_text"]]
+            part = expect([x[k : k + PIECE] for x in whole for k in range(0, len(x), PIECE)])
             total = part if total is None else HiddenMarkov(total.start + part.start, total.move + part.move, total.emit + part.emit)
         if total is not None:
             met = np.flatnonzero(total.emit.sum(axis=0))
@@ -255,8 +277,7 @@ def _first_guess(states: int, width: int) -> Callable[[list[np.ndarray]], Hidden
     def count(texts: list[np.ndarray]) -> HiddenMarkov:
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, width))
         for t in texts:
-            n = np.bincount(t[:-1]) if len(t) > 1 else np.ones(1)
-            k = int(n.argmax()) % states
+            k = int(np.bincount(t).argmax()) % states
             start[k] += 1
             move[k, k] += len(t) - 1
             np.add.at(emit[k], t, 1.0)
@@ -280,6 +301,7 @@ def fit(docs: DataFrame, held: Vocabulary, text: str = "text", states: int = STA
 def score(docs: DataFrame, held: Vocabulary, model: HiddenMarkov, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row's ``keep`` columns with n_tokens, n_known, train_tokens, base_score and score.
 
+    docs is read twice and its rows must come in the same order both times, as files do; write others first.
     One output row per input row, repeated rows and null ids included; a null text counts as
     empty, which is the end token alone. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))) over the
     tokens, score is the model's log10 probability of the whole text. Other columns take no part.
@@ -295,7 +317,8 @@ def score(docs: DataFrame, held: Vocabulary, model: HiddenMarkov, counts: DataFr
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _Reader(held)
         end = float(held.base(np.array([held.ends]))[0])
-        for frame in blocks(frames, "_text", 3_000_000):
+        # Large blocks: each step of the recursion serves all texts that are long enough.
+        for frame in blocks(frames, "_text", 16_000_000):
             parts = [reader.scored(t) for t in frame["_text"]]
             frame = frame.drop(columns=["_text"])
             frame["n_tokens"] = [len(p[0]) for p in parts]
@@ -305,18 +328,15 @@ def score(docs: DataFrame, held: Vocabulary, model: HiddenMarkov, counts: DataFr
             frame["hmm"] = log_likelihood(model, [p[0] for p in parts])
             yield frame
 
-    def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            place = np.array([_suffix(w) for w in frame["word"]], np.int64)
-            n = frame["n"].fillna(0).to_numpy(np.int64)
-            share = np.log10((n + 0.1) / (held.class_tokens[place] + 0.1 * (held.class_words[place] + 1)))
-            yield pd.DataFrame({"_row": frame["_row"], "known": (n > 0).astype(np.int64), "base": held.base(n), "share": share})
-
     spark = docs.sparkSession
     sent = F.broadcast(spark.createDataFrame([(w,) for w, _ in held.sent], "word string"))
     rare = rows.select("_row", F.explode(words_of(F.col("_text"))).alias("word")).join(sent, "word", "left_anti")
     rare_counts = counts.join(sent, "word", "left_anti")
-    joined = rare.join(rare_counts, "word", "left").mapInPandas(shares, "_row bigint, known bigint, base double, share double")
+    n = F.coalesce("n", F.lit(0))
+    sizes = F.array(*[F.lit(float(x)) for x in held.class_sizes])
+    share = F.log10((n + 0.1) / F.get(sizes, suffix_of(F.col("word"))))
+    base = F.log10((n + 0.1) / F.lit(held.total + 0.1 * (held.distinct + 1)))
+    joined = rare.join(rare_counts, "word", "left").select("_row", (n > 0).cast("bigint").alias("known"), base.alias("base"), share.alias("share"))
     extra = joined.groupBy("_row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("share").alias("share"))
     both = rows.mapInPandas(run, schema).join(extra, "_row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
