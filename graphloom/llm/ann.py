@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import first_by_hash
+
 CENTRES = 16
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 1_024
@@ -162,7 +164,7 @@ class _Block:
 
 def fit(vectors: DataFrame, sample_rows: int = 20_000, parts: int = 32, parallel: float = 4.0) -> Codebook | None:
     """A codebook of the ``sample_rows`` participating vectors first in hash order, of the most common width; None without any."""
-    rows = vectors.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(sample_rows).select("v").toPandas()
+    rows = first_by_hash(vectors, sample_rows, "vec_id", "v").select("v").toPandas()
     if not len(rows):
         return None
     widths = rows["v"].map(len)

@@ -18,7 +18,7 @@ from graphloom.llm.common import blocks
 
 UNKNOWN = "und"
 PROFILE = 300
-_CHARS, _ROWS = 1_500_000, 512
+_CHARS, _ROWS = 400_000, 512
 _ALPHA: np.ndarray | None = None
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks
+from graphloom.llm.common import blocks, first_by_hash, written
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP = 96, 64
@@ -273,25 +273,22 @@ def fit(docs: DataFrame, text: str = "text", per_kind: int = 120, max_chars: int
 
     def kinds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for t in frame["t"]:
-                found = {k for k, _, _ in base_spans(t)} or ({"none"} if _TRIGGER.search(t) else set())
-                out += [(k, t) for k in found]
-            yield pd.DataFrame(out, columns=["kind", "t"])
-
-    rows = docs.select(F.col(text).alias("t")).where(F.length("t") <= max_chars).where(F.col("t").rlike("[0-9@]"))
-    found = rows.mapInPandas(kinds, "kind string, t string").withColumn("h", F.xxhash64("t"))
-    texts: set[str] = set()
+            out = [(k, h) for h, t in zip(frame["h"], frame["t"], strict=True) for k in {k for k, _, _ in base_spans(t)} or {"none"}]
+            yield pd.DataFrame(out, columns=["kind", "h"])
+
+    rows = docs.select(F.col(text).alias("t")).where(F.length("t") <= max_chars).where(F.col("t").rlike("[0-9@]")).withColumn("h", F.xxhash64("t"))
+    # Hashes are chosen first; the few texts are fetched by them.
+    found = written(rows.mapInPandas(kinds, "kind string, h bigint").distinct(), "kinds")
+    chosen: set[int] = set()
     spanned = False
-    picks = [found.where(F.col("kind") == k).orderBy("h", "t").limit(per_kind) for k in (*KINDS, "none")]
-    sample = picks[0]
-    for more in picks[1:]:
-        sample = sample.union(more)
-    for r in sample.collect():
-        texts.add(r["t"])
-        spanned |= r["kind"] != "none"
+    for kind in (*KINDS, "none"):
+        own = [r["h"] for r in first_by_hash(found.where(F.col("kind") == kind), per_kind, "h").collect()]
+        chosen.update(own)
+        spanned |= bool(own) and kind != "none"
     if not spanned:
         return None
+    keys = docs.sparkSession.createDataFrame([(h,) for h in sorted(chosen)], "h bigint")
+    texts = {r["t"] for r in rows.join(F.broadcast(keys), "h").select("t").distinct().collect()}
     xs, ys = zip(*[(x, y) for t in sorted(texts) for _, x, y in windows_of(t, base_spans(t))], strict=True)
     x, y = np.stack(xs), np.stack(ys)
     # All windows with spans, and as many without.

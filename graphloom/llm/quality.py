@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks
+from graphloom.llm.common import blocks, first_by_hash
 
 LEVEL = 3
 BLOCK = 2048
@@ -112,7 +112,7 @@ def fit_quality(
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
     shares = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     # Twice as many ids as needed: some texts are missing, null or too long.
-    first = [known.where(F.col("_label") == k).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(2 * per_class) for k in (0, 1)]
+    first = [first_by_hash(known.where(F.col("_label") == k), 2 * per_class, "_id") for k in (0, 1)]
     ids = first[0].unionByName(first[1])
     found = (
         docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
