@@ -191,9 +191,24 @@ def fallback_layers(nodes: DataFrame) -> DataFrame:
 
 def fallback_tour(nodes: DataFrame) -> DataFrame:
     """LLM22: an overview with the first five files, and all files."""
-    files = nodes.where("file_path is not null").select("id", "ord", F.lit(0).alias("all"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"])
-    whole = files.agg(ids.alias("node_ids"), F.count(F.lit(1)).alias("n"))
+    return _fallback_steps(nodes.where("file_path is not null").agg(ids.alias("node_ids"), F.count(F.lit(1)).alias("n")))
+
+
+def fallback_tour_rows(nodes: DataFrame) -> DataFrame:
+    """LLM22 as rows: (order, title, description, language_lesson, position, id), one for each id of a step from 0 in node order; without files one row a step, without an id."""
+    files = nodes.where("file_path is not null").select("id", "ord")
+    none = F.array().cast("array<string>")
+    steps = _fallback_steps(files.agg(none.alias("node_ids"), F.count(F.lit(1)).alias("n"))).drop("node_ids")
+    at = numbered(files, "ord", "id").withColumn("position", (F.col("n") - 1).cast("int"))
+    stops = at.withColumn("order", F.explode(F.when(F.col("position") < 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))))).select("order", "position", "id")
+    columns = ("order", "title", "description", "language_lesson", "position", "id")
+    empty = steps.join(files.agg(F.count(F.lit(1)).alias("n"))).where("n = 0").select("*", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("id"))
+    return stops.join(F.broadcast(steps), "order").select(*columns).unionByName(empty.select(*columns))
+
+
+def _fallback_steps(whole: DataFrame) -> DataFrame:
+    """The two steps of the fallback tour of all files' ids (node_ids) and their number (n)."""
     first = whole.select(
         F.lit(1).alias("order"), F.lit("Project Overview").alias("title"),
         F.format_string("This project contains %d files. Start here to understand the high-level structure.", "n").alias("description"),

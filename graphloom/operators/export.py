@@ -1,19 +1,24 @@
-"""Sinks: JSON, Markdown and HTML of a finished graph. A graph is exported as one document, by the driver."""
+"""Sinks: JSON, Markdown and HTML of a finished graph.
+
+``export`` writes one project's graph as one document, by the driver; ``json_rows``, ``markdown_lines`` and
+``payload_rows`` give the same as rows, which nothing gathers.
+"""
 
 from __future__ import annotations
 
 import html
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import query as Q
-from graphloom.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, Graph
+from graphloom.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, Graph, GraphRows, rows_of
 
 
-def graph_json(graph: Graph) -> DataFrame:
-    """SNK1, GRF14: one row (json): the graph in the order version, kind, project, nodes, edges, layers, tour, without absent fields."""
+def _exported(nodes: DataFrame) -> DataFrame:
+    """The nodes without empty lists in their metadata."""
     void = lambda c: F.when(F.size(c) > 0, c)
     domain = F.col("domain_meta")
     for name in ("entities", "business_rules", "cross_domain_interactions"):
@@ -21,7 +26,12 @@ def graph_json(graph: Graph) -> DataFrame:
     knowledge = F.col("knowledge_meta")
     for name in ("wikilinks", "backlinks"):
         knowledge = knowledge.withField(name, void(knowledge[name]))
-    nodes = graph.nodes.withColumn("domain_meta", domain).withColumn("knowledge_meta", knowledge)
+    return nodes.withColumn("domain_meta", domain).withColumn("knowledge_meta", knowledge)
+
+
+def graph_json(graph: Graph) -> DataFrame:
+    """SNK1, GRF14: one row (json): the graph in the order version, kind, project, nodes, edges, layers, tour, without absent fields."""
+    nodes = _exported(graph.nodes)
 
     def listed(rows: DataFrame, columns: tuple[str, ...], order: str, name: str) -> DataFrame:
         items = F.array_sort(F.collect_list(F.struct(order, F.struct(*columns).alias("x"))), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))
@@ -35,13 +45,35 @@ def graph_json(graph: Graph) -> DataFrame:
     return parts.select(F.to_json(root, {"pretty": "true"}).alias("json"))
 
 
+def json_rows(graph: Graph | GraphRows) -> DataFrame:
+    """SNK1, GRF14 as rows (section, ord, json); sorted by both they are in ``graph_json``'s order, without absent fields.
+
+    Sections: 0 version, kind and project; 1 a node, 2 an edge, 3 a layer, 4 a member of a layer, 5 a step of the tour, 6 a stop of a step.
+    """
+    rows = rows_of(graph) if isinstance(graph, Graph) else graph
+    number = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
+    head = rows.project.select(F.lit(rows.version).alias("version"), F.lit(rows.kind).alias("kind"), F.struct("*").alias("project"))
+    parts = [
+        (head, F.lit(""), head.columns),
+        (_exported(rows.nodes), F.col("ord"), NODE_COLUMNS),
+        (rows.edges, F.col("ord"), EDGE_COLUMNS),
+        (rows.layers, F.col("id"), ("id", "name", "description", "members")),
+        (rows.members, F.concat("layer", F.lit(" "), number("position")), ("layer", "position", "id")),
+        (rows.tour, number("order"), ("order", "title", "description", "language_lesson")),
+        (rows.stops, F.concat(number("order"), F.lit(" "), number("position")), ("order", "position", "id")),
+    ]
+    made = [part.select(F.lit(k).alias("section"), ord_.alias("ord"), F.to_json(F.struct(*columns)).alias("json")) for k, (part, ord_, columns) in enumerate(parts)]
+    return reduce(DataFrame.unionByName, made)
+
+
 def scan_json(stats: DataFrame) -> DataFrame:
     """SNK4: the statistics row as JSON."""
     return stats.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))
 
 
-def markdown_lines(graph: Graph, files: DataFrame | None = None) -> DataFrame:
+def markdown_lines(graph: Graph | GraphRows, files: DataFrame | None = None) -> DataFrame:
     """RND3: (section, ord, line): overview, layers, files, imports, tree and tour; sorted by both they are the report."""
+    graph = rows_of(graph) if isinstance(graph, Graph) else graph
     row = lambda rows, section, ord_, line: rows.select(F.lit(section).alias("section"), ord_.cast("string").alias("ord"), line.alias("line"))
     lit, col = F.lit, F.col
     spark = graph.nodes.sparkSession
@@ -53,8 +85,9 @@ def markdown_lines(graph: Graph, files: DataFrame | None = None) -> DataFrame:
     named = one.select(F.posexplode(F.concat(F.array(F.concat(lit("# "), "name")), F.filter(table, lambda x: x.isNotNull()))).alias("k", "line"))
     parts = [titles, row(named, 0, F.lpad(col("k").cast("string"), 3, "0"), col("line"))]
     number = lambda c: F.lpad(col(c).cast("string"), 9, "0")
-    parts.append(row(graph.layers, 1, F.concat(lit("1"), "id"), F.format_string("### %s (%d)", "name", F.size("node_ids"))))
-    parts.append(row(Q.layer_listing(graph.layers, graph.nodes), 1, F.concat(lit("1"), "layer", lit(" "), number("position")), F.concat(lit("- "), "label")))
+    parts.append(row(graph.layers, 1, F.concat(lit("1"), "id"), F.format_string("### %s (%d)", "name", "members")))
+    members = graph.members.join(graph.nodes.select("id", F.coalesce("file_path", "name").alias("label")), "id")
+    parts.append(row(members, 1, F.concat(lit("1"), "layer", lit(" "), number("position")), F.concat(lit("- "), "label")))
     parts.append(row(Q.file_inventory(graph.nodes), 2, F.concat(lit("1"), "path"), F.format_string("| %s | %s | %s | %s |", "path", "language", "lines", "type")))
     imports = Q.import_list(graph.edges, graph.nodes)
     parts.append(row(imports, 3, F.concat(lit("1"), "source", lit(" "), "target"), F.concat(lit("- "), "source", lit(" → "), "target")))
@@ -64,7 +97,7 @@ def markdown_lines(graph: Graph, files: DataFrame | None = None) -> DataFrame:
     parts.append(row(below, 4, F.concat(lit("1"), "sort_key"), F.concat(F.repeat(lit("  "), col("depth")), lit("- "), F.element_at(F.split("path", "/"), -1))))
     parts.append(row(graph.tour, 5, F.concat(lit("1"), number("order"), lit(" 0")), F.format_string("%d. **%s** %s", "order", "title", "description")))
     parts.append(row(graph.tour.where("language_lesson is not null"), 5, F.concat(lit("1"), number("order"), lit(" 1")), F.concat(lit("   > "), "language_lesson")))
-    stops = Q.tour_listing(graph.tour, graph.nodes).where("label is not null")
+    stops = graph.stops.join(graph.nodes.select("id", "file_path"), "id", "left").withColumn("label", F.coalesce("file_path", "id")).where("label is not null")
     parts.append(row(stops, 5, F.concat(lit("1"), number("order"), lit(" 2 "), number("position")), F.concat(lit("   - "), "label")))
     out = parts[0]
     for p in parts[1:]:
@@ -85,6 +118,16 @@ def payload(graph: Graph) -> DataFrame:
     return pack(shown, "nodes").join(pack(links, "links")).join(layers)
 
 
+def payload_rows(graph: Graph | GraphRows) -> DataFrame:
+    """QRY16, QRY17 as rows (section, ord, json): 0 a node, 1 a link with two known ends, 2 a member of a layer; sorted by both they are in ``payload``'s order."""
+    rows = rows_of(graph) if isinstance(graph, Graph) else graph
+    number = F.lpad(F.col("position").cast("string"), 9, "0")
+    links = Q.valid_links(rows.edges, rows.nodes).select("source", "target", "type")
+    parts = [(Q.display(rows.nodes, "type", "summary"), F.col("id")), (links, F.concat_ws("\u0000", "source", "target", "type")), (rows.members.select("layer", "position", "id"), F.concat("layer", F.lit(" "), number))]
+    made = [part.select(F.lit(k).alias("section"), ord_.alias("ord"), F.to_json(F.struct(*part.columns)).alias("json")) for k, (part, ord_) in enumerate(parts)]
+    return reduce(DataFrame.unionByName, made)
+
+
 _PAGE = """<!DOCTYPE html>
 <html lang="en"><head><meta charset="utf-8"><title>{title}</title>
 <style>body{{font-family:sans-serif;margin:1em}}#list li{{cursor:pointer}}</style></head>

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.functions import taxonomy as T
+from graphloom.functions.numbering import numbered
 
 VERSION = "0.1.0"
 NODE_COLUMNS = ("id", "type", "name", "file_path", "line_range", "summary", "tags", "complexity", "language_notes", "domain_meta", "knowledge_meta")
@@ -40,6 +41,25 @@ class Graph:
     kind: str | None = "codebase"
 
 
+@dataclass(frozen=True)
+class GraphRows:
+    """A finished graph of any size: no row holds the ids of a whole layer or tour step.
+
+    layers: (id, name, description, members); members: (layer, position, id);
+    tour: (order, title, description, language_lesson); stops: (order, position, id).
+    """
+
+    project: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    layers: DataFrame
+    members: DataFrame
+    tour: DataFrame
+    stops: DataFrame
+    version: str = VERSION
+    kind: str | None = "codebase"
+
+
 def node_rows(rows: DataFrame, **given: Column) -> DataFrame:
     """The node columns, in order, with what is not given null; ``ord`` last."""
     kinds = {"line_range": "array<int>", "tags": "array<string>", "domain_meta": _DOMAIN, "knowledge_meta": _KNOWLEDGE}
@@ -139,6 +159,22 @@ def layers(nodes: DataFrame, table: tuple = T.LAYERS, other: bool = True) -> Dat
     return grouped.select(F.col("layer").alias("id"), words(1).alias("name"), words(2).alias("description"), "node_ids").where("name is not null").orderBy("id")
 
 
+def layer_rows(nodes: DataFrame, table: tuple = T.LAYERS, other: bool = True) -> DataFrame:
+    """(id, name, description, members): the layers of ``layers`` with the number of their nodes."""
+    named = [*table, *([(*T.OTHER_LAYER, ())] if other else [])]
+    words = lambda at: C.lookup({layer[0]: layer[at] for layer in named}, F.col("id"))
+    rows = layer_members(nodes, table).groupBy(F.col("layer").alias("id")).agg(F.count(F.lit(1)).alias("members"))
+    return rows.select("id", words(1).alias("name"), words(2).alias("description"), "members").where("name is not null")
+
+
+def layer_positions(nodes: DataFrame, table: tuple = T.LAYERS, other: bool = True) -> DataFrame:
+    """(layer, position, id): the members of ``layers`` as rows, from 0 in node order."""
+    names = [layer[0] for layer in table] + ([T.OTHER_LAYER[0]] if other else [])
+    rows = numbered(layer_members(nodes, table).where(F.col("layer").isin(names)), "layer", "ord", "id")
+    first = rows.groupBy("layer").agg(F.min("n").alias("first"))
+    return rows.join(F.broadcast(first), "layer").select("layer", (F.col("n") - F.col("first")).cast("int").alias("position"), "id")
+
+
 def layer_members(nodes: DataFrame, table: tuple = T.LAYERS) -> DataFrame:
     """(layer, id, ord): each node once."""
     return nodes.select(C.layer_of(F.col("type"), table).alias("layer"), "id", "ord")
@@ -157,11 +193,12 @@ def _first_ids(rows: DataFrame, key: str, n: int) -> DataFrame:
     return few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("node_ids"))
 
 
-def tour(nodes: DataFrame) -> DataFrame:
+def tour(nodes: DataFrame, list_folders: bool = True) -> DataFrame:
     """GRF13: (order, title, description, node_ids, language_lesson).
 
     The overview, the folders if there are any, a step for each type of file node, and a last step. The type
-    steps are numbered from 3 even when there are no folders.
+    steps are numbered from 3 even when there are no folders. Without ``list_folders`` the folders' step has no
+    ids, as ``tour_stops`` has them as rows; all other steps have 10 ids at most.
     """
     spark = nodes.sparkSession
     files = nodes.where("file_path is not null")
@@ -182,9 +219,10 @@ def tour(nodes: DataFrame) -> DataFrame:
     overview = counts.join(first.select("node_ids"), how="left").select(
         F.lit(1).alias("order"), F.lit("Project Overview").alias("title"), F.format_string(TOUR_OVERVIEW, "files", "folders").alias("description"), F.coalesce("node_ids", no_ids).alias("node_ids"), F.lit(TOUR_OVERVIEW_LESSON).alias("language_lesson")
     )
-    listed = folders.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("node_ids")).where(F.size("node_ids") > 0)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]) if list_folders else no_ids
+    listed = folders.agg(ids.alias("node_ids"), F.count(F.lit(1)).alias("n")).where("n > 0")
     structure = listed.select(
-        F.lit(2).alias("order"), F.lit("Directory Structure").alias("title"), F.format_string(TOUR_FOLDERS, F.size("node_ids")).alias("description"), "node_ids", F.lit(TOUR_FOLDERS_LESSON).alias("language_lesson")
+        F.lit(2).alias("order"), F.lit("Directory Structure").alias("title"), F.format_string(TOUR_FOLDERS, "n").alias("description"), "node_ids", F.lit(TOUR_FOLDERS_LESSON).alias("language_lesson")
     )
     last = steps.agg(F.coalesce(F.max("order") + 1, F.lit(3)).alias("order")).select(
         "order", F.lit("Explore Connections").alias("title"), F.lit(TOUR_LAST).alias("description"), no_ids.alias("node_ids"), F.lit(TOUR_LAST_LESSON).alias("language_lesson")
@@ -192,6 +230,13 @@ def tour(nodes: DataFrame) -> DataFrame:
     return overview.unionByName(structure).unionByName(steps).unionByName(last)
 
 
+def tour_stops(nodes: DataFrame) -> DataFrame:
+    """(order, position, id): the ids of ``tour``'s steps as rows, from 0 in node order."""
+    few = tour(nodes, list_folders=False).select("order", F.posexplode("node_ids").alias("position", "id"))
+    folders = numbered(nodes.where("file_path is null and type = 'module'").select("id", "ord"), "ord", "id")
+    return few.unionByName(folders.select(F.lit(2).alias("order"), (F.col("n") - 1).cast("int").alias("position"), "id"))
+
+
 def project_row(files: DataFrame, name: str, analyzed_at: str | None = None, commit: str = "unknown", form: str = "%s project with %d files across %d languages. Complexity: %s.") -> DataFrame:
     """GRF3, GRF5: the project's one row. ``analyzed_at``: a time as text, now in UTC by default."""
     total = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_lines"), F.lit(0)).alias("lines"), F.sort_array(F.collect_set("language")).alias("languages"))
@@ -207,3 +252,19 @@ def build_graph(files: DataFrame, parsed: DataFrame, name: str, analyzed_at: str
     nodes = file_nodes(files, parsed).unionByName(directory_nodes(files))
     edges = contains_edges(files).unionByName(import_edges(parsed))
     return Graph(project_row(files, name, analyzed_at, commit), nodes, edges, layers(nodes), tour(nodes))
+
+
+def build_rows(files: DataFrame, parsed: DataFrame, name: str, analyzed_at: str | None = None, commit: str = "unknown") -> GraphRows:
+    """The graph of ``build_graph`` with layers and tour as rows."""
+    nodes = file_nodes(files, parsed).unionByName(directory_nodes(files))
+    edges = contains_edges(files).unionByName(import_edges(parsed))
+    steps = tour(nodes, list_folders=False).drop("node_ids")
+    return GraphRows(project_row(files, name, analyzed_at, commit), nodes, edges, layer_rows(nodes), layer_positions(nodes), steps, tour_stops(nodes))
+
+
+def rows_of(graph: Graph) -> GraphRows:
+    """A graph with the arrays of its layers and tour as rows."""
+    layers = graph.layers.select("id", "name", "description", F.size("node_ids").alias("members"))
+    members = graph.layers.select(F.col("id").alias("layer"), F.posexplode("node_ids").alias("position", "id"))
+    stops = graph.tour.select("order", F.posexplode("node_ids").alias("position", "id"))
+    return GraphRows(graph.project, graph.nodes, graph.edges, layers, members, graph.tour.drop("node_ids"), stops, graph.version, graph.kind)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
-from graphloom.operators.graph import Graph
+from graphloom.operators.graph import Graph, GraphRows
 
 
 def label(path: str = "file_path", name: str = "name", id_: str = "id") -> Column:
@@ -19,7 +19,7 @@ def graph_complexity(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.when(n["complex"] > n["simple"] + n["moderate"], "complex").when(n["moderate"] > n["simple"], "moderate").otherwise("simple").alias("complexity"))
 
 
-def overview(graph: Graph) -> DataFrame:
+def overview(graph: Graph | GraphRows) -> DataFrame:
     """QRY1: one row of the project's name, languages, complexity, time, commit (null if unknown), description and counts."""
     count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
     parts = graph.project.join(graph_complexity(graph.nodes)).join(count(graph.nodes, "nodes")).join(count(graph.edges, "edges")).join(count(graph.layers, "layers"))
@@ -143,7 +143,7 @@ COLOURS = {"file": "#4e79a7", "module": "#f28e2b", "config": "#59a14f", "documen
 RADIUS = {"complex": "10", "moderate": "8"}
 
 
-def display(nodes: DataFrame) -> DataFrame:
-    """QRY17: (id, colour, radius, label): the label is the last 15 characters of the path, name or id."""
+def display(nodes: DataFrame, *more: str) -> DataFrame:
+    """QRY17: (id, colour, radius, label) and ``more`` columns: the label is the last 15 characters of the path, name or id."""
     radius = F.coalesce(C.lookup(RADIUS, F.col("complexity")), F.lit("6")).cast("int")
-    return nodes.select("id", F.coalesce(C.lookup(COLOURS, F.col("type")), F.lit("#bab0ac")).alias("colour"), radius.alias("radius"), F.right(label(), F.lit(15)).alias("label"))
+    return nodes.select("id", F.coalesce(C.lookup(COLOURS, F.col("type")), F.lit("#bab0ac")).alias("colour"), radius.alias("radius"), F.right(label(), F.lit(15)).alias("label"), *more)

@@ -65,12 +65,10 @@ def _place_graph(spark: SparkSession, d: str) -> G.Graph:
     return G.build_graph(files, P.Registry().parse(V.place_files(spark, d)), "places", "2025-01-01T00:00:00Z")
 
 
-def _folder_graph(spark: SparkSession, d: str) -> G.Graph:
-    """The graph of the parts' folders, each with one source file."""
+def _part_graph(spark: SparkSession, d: str) -> G.GraphRows:
+    """The graph of all parts' source files."""
     sources = V.part_sources(spark, d)
-    first = sources.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.min("path").alias("path")).select("path")
-    few = sources.join(first, "path", "left_semi")
-    return G.build_graph(N.inventory(few), P.Registry().parse(few), "parts", "2025-01-01T00:00:00Z")
+    return G.build_rows(N.inventory(sources), P.Registry().parse(sources), "parts", "2025-01-01T00:00:00Z")
 
 
 def project_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -195,8 +193,8 @@ def fallback_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fallback_tour(spark: SparkSession, d: str) -> DataFrame:
-    """The fallback tour of the parts' folders, of which there are as many as brands and types."""
-    return A.fallback_tour(_folder_graph(spark, d).nodes).select("order", "title", "description", F.array_join("node_ids", ",").alias("ids"))
+    """The fallback tour of all parts' source files, a row for each stop."""
+    return A.fallback_tour_rows(_all_nodes(N.inventory(V.part_sources(spark, d)))).drop("language_lesson")
 
 
 def tour_listing(spark: SparkSession, d: str) -> DataFrame:
@@ -210,23 +208,22 @@ def layer_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_json(spark: SparkSession, d: str) -> DataFrame:
-    """The folder graph as JSON, one row."""
-    return X.graph_json(_folder_graph(spark, d))
+    """The graph of all parts as JSON, a row for each of its objects."""
+    return X.json_rows(_part_graph(spark, d))
 
 
 def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
-    return X.markdown_lines(_folder_graph(spark, d))
+    return X.markdown_lines(_part_graph(spark, d))
 
 
 def dashboard_payload(spark: SparkSession, d: str) -> DataFrame:
-    return X.payload(_folder_graph(spark, d))
+    return X.payload_rows(_part_graph(spark, d))
 
 
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Headings of the Markdown report of the parts' folders."""
-    lines = markdown_lines(spark, d).select(F.col("section").cast("string").alias("path"), F.col("line").alias("content"))
-    found = P.Registry([P.MARKDOWN]).parse(lines.withColumn("path", F.concat("path", F.lit(".md"))))
-    return found.select("path", F.explode("sections").alias("s")).select("path", "s.title", "s.level")
+    """Headings of all documents, whose whole texts are parsed as Markdown files."""
+    found = P.Registry([P.MARKDOWN]).parse(V.markdown_files(spark, d))
+    return found.select("path", F.explode("sections").alias("s")).select("path", "s.title", "s.level", F.col("s.line_range")[0].alias("line"))
 
 
 def queries() -> dict[str, Query]:

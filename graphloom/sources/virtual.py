@@ -35,6 +35,14 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(path.alias("path"), F.col("text").alias("content")).where("path is not null")
 
 
+def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a Markdown file: a title, the whole text, and its source and language as headings below it."""
+    key = F.col("doc_id").cast("string")
+    heads = [F.concat(F.lit("# Document "), key), F.lit(""), F.coalesce("text", F.lit("")), "", "## Source ##", F.concat(F.lit("### "), F.coalesce("source", F.lit("none"))), F.concat(F.lit("###### "), F.coalesce("lang", F.lit("none")))]
+    body = F.concat_ws("\n", *[F.lit(h) if isinstance(h, str) else h for h in heads])
+    return table(spark, sf_dir, "documents").where("doc_id is not null").select(F.concat(F.lit("docs/doc_"), key, F.lit(".md")).alias("path"), body.alias("content"))
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by their address without scheme, query and fragment."""
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
