@@ -54,14 +54,15 @@ class WordTokens(dict):
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
     its words. Words of printable Latin characters are cut into pieces here by the vocabulary's own
-    pattern and go to its model directly; all others go through the whole tokenizer.
+    pattern and go to its model directly; all others, and those that hold an added token (such as
+    <|endoftext|>, which has an id of its own even inside a word), go through the whole tokenizer.
     """
 
     def __init__(self, path: str, bound: int = 500_000):
         super().__init__()
         self.pieces: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.bound = bound
@@ -79,7 +80,7 @@ class WordTokens(dict):
         if len(self) >= self.bound or len(self.pieces) >= self.bound:
             self.clear()
             self.pieces.clear()
-        if word and max(word) < "ɐ" and word.isprintable() and unicodedata.is_normalized("NFC", word):
+        if word and max(word) < "ɐ" and not any(t in word for t in self.added) and word.isprintable() and unicodedata.is_normalized("NFC", word):
             value = b"".join(map(self._piece, _PIECES.findall(word.lower())))
         else:
             value = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()

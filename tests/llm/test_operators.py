@@ -361,6 +361,16 @@ def test_word_tokens_equal_the_tokenizer():
         assert np.frombuffer(mine.text(text), "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_tokens_know_added_tokens():
+    mine, fresh = packing.WordTokens(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    assert np.frombuffer(mine.text("see <|endoftext|> here"), "<u4").tolist() == [862, 49407, 763]
+    for token in ("<|endoftext|>", "<|startoftext|>"):
+        for form in ("{}", "see {} here", "a{}b", "don{}'t", "Hello{}World {}", "{}{}", "x<|{}|>", "É{}日", "{}\x1ca", "a\n{}\tb", "a\u200b{}", "e{}\u0301"):
+            text = form.replace("{}", token)
+            for t in (text, text.upper(), text.replace("|>", "| >")):
+                assert np.frombuffer(mine.text(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
 # --- language model ---
 
 
