@@ -1,7 +1,8 @@
 """Benchmark decontamination: short test items inside long documents.
 
-Items are partitioned by size. For each size class documents are cut into overlapping
-windows three times as long as the class's longest item, so that an item that a document holds is a
+Items are partitioned by size. Those of up to 16 shingles are looked up exactly: a document that
+holds enough of an item's n shingles has one of any n - needed + 1 of them, and the rarest are taken.
+For each larger size class documents are cut into overlapping windows three times as long as the class's longest item, so that an item that a document holds is a
 large part of some window, however long the document is. Items and windows have MinHash
 signatures of 64 independent minima; one common minimum makes a candidate. Candidates
 are verified by exact containment: the share of the item's distinct shingles that the whole document has.
@@ -38,9 +39,9 @@ def _permuted(values: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
 
 
 class ItemIndex:
-    """The items of a block: their distinct shingles, and for each size class and hash the sorted minima."""
+    """The items of a block: their distinct shingles, those that short items are looked up by, and for each size class and hash the sorted minima."""
 
-    def __init__(self, texts: list[str], hashes: int = HASHES):
+    def __init__(self, texts: list[str], threshold: float = 0.8, hashes: int = HASHES):
         self.hashes = hashes
         words = [word_hashes(t) for t in texts]
         self.sets = [np.unique(shingles(w, WIDTH)) for w in words]
@@ -54,6 +55,7 @@ class ItemIndex:
             elif len(w):
                 level = max(0, int(np.ceil(np.log2((len(w) - WIDTH + 1) / BASE))))
                 classes.setdefault(level, []).append(k)
+        self.rare = self._rarest(classes.pop(0, []), threshold)
         self.classes = {}
         for level, own in classes.items():
             minima = np.stack([[_permuted(self.sets[k], a[h], b[h]).min() for h in range(hashes)] for k in own])
@@ -63,12 +65,40 @@ class ItemIndex:
             order = np.argsort(minima, axis=0, kind="stable")
             self.classes[level] = (seen, np.take_along_axis(minima, order, 0), np.array(own)[order])
 
+    def _rarest(self, own: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray, list[list[int]]] | None:
+        """A bit table and the sorted shingles of which a document has one at least if it holds one of the items, and each shingle's items."""
+        if not own:
+            return None
+        values, counts = np.unique(np.concatenate([self.sets[k] for k in own]), return_counts=True)
+        lists: dict[int, list[int]] = {}
+        for k in own:
+            shingle = self.sets[k]
+            needed = int(np.ceil(threshold * len(shingle) - 1e-9))
+            order = np.argsort(counts[np.searchsorted(values, shingle)], kind="stable")
+            for value in shingle[order[: len(shingle) - needed + 1]].tolist():
+                lists.setdefault(value, []).append(k)
+        keys = np.array(sorted(lists), np.uint64)
+        seen = np.zeros(1 << min(24, max(16, len(keys).bit_length() + 6)), bool)
+        seen[keys & np.uint64(len(seen) - 1)] = True
+        return seen, keys, [lists[v] for v in keys.tolist()]
+
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document, item) pairs with a common minimum; ``docs``: the shingle hashes of each, in order."""
+        """(document, item) pairs with a common rare shingle or minimum; ``docs``: the shingle hashes of each, in order."""
         found: set[tuple[int, int]] = set()
-        if not self.classes or not docs:
+        if not docs:
             return found
         n = np.array([len(d) for d in docs])
+        if self.rare:
+            seen, keys, lists = self.rare
+            values = np.concatenate(docs)
+            hit = np.flatnonzero(seen[values & np.uint64(len(seen) - 1)])
+            at = np.minimum(np.searchsorted(keys, values[hit]), len(keys) - 1)
+            same = keys[at] == values[hit]
+            doc = np.searchsorted(np.cumsum(n), hit[same], side="right")
+            for d, k in set(zip(doc.tolist(), at[same].tolist(), strict=True)):
+                found.update((d, i) for i in lists[k])
+        if not self.classes:
+            return found
         cells = -(-n // BASE)
         first = np.concatenate([[0], np.cumsum(cells)])
         values = np.concatenate(docs)
@@ -108,7 +138,7 @@ class ItemIndex:
 
 def _finder(items: list[tuple[object, str]], threshold: float, keep: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = ItemIndex([t for _, t in items])
+        index = ItemIndex([t for _, t in items], threshold)
         for frame in blocks(frames, "_text", 2_000_000):
             words = [word_hashes(t) for t in frame["_text"]]
             docs = [rolling(w, WIDTH) for w in words]
@@ -141,8 +171,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
     Whole texts are cut into lower-cased words; shingles are five words, and an item with fewer words is one
     shingle of all its words, sought among the documents' runs of as many. Items and documents
     that are null or without words take no part; repeated rows of either give repeated pairs, and null ids
-    are kept. Other columns take no part. An item that a document contains to ``threshold`` or more is missed
-    with a chance below one in a thousand (whole copies: below one in ten million).
+    are kept. Other columns take no part. An item of up to 20 words that a document contains to ``threshold`` or
+    more is always found, a longer one missed with a chance below one in a thousand (whole copies: below one in ten million).
 
     The items are sent with the tasks in blocks of about PASS_CHARS characters, each block one pass
     over the documents; documents are never shuffled.

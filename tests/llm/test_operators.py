@@ -173,6 +173,18 @@ def test_contamination_awkward_rows(spark):
     assert decontaminate.decontaminate(awkward(spark).limit(0), bench).count() == 0
 
 
+def test_short_items_in_long_documents_are_found(spark):
+    items = [(100 * n + k, words(n, 7000 + 100 * n + k)) for n in (5, 6, 7, 9, 14, 20) for k in range(60)]
+    rows = [(i, words(400, 20_000 + i) + " " + text + " " + words(300, 30_000 + i)) for i, text in items]
+    nine = dict(items)[900].split()
+    rows += [(1, " ".join(nine[:8])), (2, " ".join(nine[:7]))]  # four and three of its five shingles
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole = {(i, i) for i, _ in items}
+    for threshold, more in ((0.8, {(1, 900)}), (0.6, {(1, 900), (2, 900)})):
+        found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), table, threshold=threshold).collect()}
+        assert found == whole | more
+
+
 # --- quality ---
 
 
