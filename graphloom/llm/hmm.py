@@ -10,7 +10,7 @@ summed; the scaled forward recursion gives each text's exact likelihood.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -27,8 +27,10 @@ SUFFIXES = 1_024
 #: The most frequent words, which are sent with the tasks; the counts of all others are joined.
 SENT_WORDS = 100_000
 ITERATIONS = 2
-#: Training cuts texts into pieces of so many tokens, so that few long texts don't set the pace; scoring never does.
-PIECE = 256
+#: Tokens that a task lays side by side; a longer text is taken alone.
+HELD_TOKENS = 2_000_000
+#: Tokens whose recursion values are held at once in training, and steps between two rescalings.
+RUN_TOKENS, RESCALED = 200_000, 8
 _SPLIT = "[ \\t-\\r]+"
 _END = 0  # symbol of the end of a text; words follow, then suffix classes
 
@@ -136,32 +138,80 @@ class _Reader:
         self.suffix: dict[bytes, int] = {}
 
     def class_symbol(self, word: bytes) -> int:
-        tail = word[-8:]
+        tail = word[-2:]
+        if not tail.isascii():  # a character of several bytes
+            tail = word[-8:]
         value = self.suffix.get(tail)
         if value is None:
-            if len(self.suffix) > 500_000:
+            if len(self.suffix) > 200_000:
                 self.suffix.clear()
             value = self.suffix[tail] = 1 + self.held.symbols + _suffix(tail)
         return value
 
-    def ranks(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The rank of each word (-1: not sent) and the symbols, the end included."""
+    def read(self, text: str) -> tuple[bytes, int, float, float, str]:
+        """Symbols, the end included, as 16-bit integers; over the words that are sent how many, their base score and their log10 shares of their classes; and the other words, joined by spaces."""
         words = _words(text)
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        out = np.empty(len(words) + 1, np.int32)
+        out = np.empty(len(words) + 1, "<u2")
         out[:-1] = self.symbol[at]
         out[-1] = _END
-        for k in np.flatnonzero(at < 0).tolist():
-            out[k] = self.class_symbol(words[k])
-        return at, out
+        rare = [words[k] for k in np.flatnonzero(at < 0).tolist()]
+        if rare:
+            out[:-1][at < 0] = [self.class_symbol(w) for w in rare]
+        return out.tobytes(), len(words) - len(rare), float(self.base[at].sum()), float(self.share[at].sum()), b" ".join(rare).decode("utf-8", "replace")
 
-    def symbols(self, text: str) -> np.ndarray:
-        return self.ranks(text)[1]
 
-    def scored(self, text: str) -> tuple[np.ndarray, int, float, float]:
-        """Symbols; and over the words that are sent: how many, their base score, and their log10 shares of their classes."""
-        at, out = self.ranks(text)
-        return out, int((at >= 0).sum()), float(self.base[at].sum()), float(self.share[at].sum())
+def tokenised(docs: DataFrame, held: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each row's ``keep`` columns and its whole text as symbols, read once and written to the shared folder.
+
+    A null text is the end alone. Other columns: _row (a number of the row's own), _symbols, _rare (the words that are not
+    sent), _n, _base and _share (sums over the sent ones and the end).
+    """
+    if held.width > 1 << 16:
+        raise ValueError(f"{held.width} symbols do not fit 16 bits")
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    schema = rows.drop("_text").schema
+    for name, kind in (("_symbols", "binary"), ("_n", "long"), ("_base", "double"), ("_share", "double"), ("_rare", "string")):
+        schema = schema.add(name, kind)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _Reader(held)
+        end = float(held.base(np.array([held.ends]))[0])
+        for frame in blocks(frames, "_text", 1_000_000):
+            parts = [reader.read(t) for t in frame["_text"]]
+            frame = frame.drop(columns=["_text"])
+            frame["_symbols"] = [p[0] for p in parts]
+            frame["_n"] = [p[1] + (held.ends > 0) for p in parts]
+            frame["_base"] = [p[2] + end for p in parts]
+            frame["_share"] = [p[3] for p in parts]
+            frame["_rare"] = [p[4] for p in parts]
+            yield frame
+
+    return written(rows.mapInPandas(run, schema).withColumn("_row", F.monotonically_increasing_id()), "symbols")
+
+
+def _sequences(frames: Iterable[pd.DataFrame], most: int = HELD_TOKENS) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows of about ``most`` tokens, without their symbols, and these."""
+    for frame in frames:
+        if not len(frame):
+            continue
+        part = np.cumsum([len(s) // 2 for s in frame["_symbols"]]) // most
+        for own in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(part)) + 1):
+            rows = frame.iloc[own].reset_index(drop=True)
+            yield rows.drop(columns=["_symbols"]), [np.frombuffer(s, "<u2") for s in rows["_symbols"]]
+
+
+def _alike(texts: list[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """The sequences, longest first, in runs of at most ``most`` tokens or a single longer one: those of a run are of like length."""
+    held, total = [], 0
+    for text in sorted(texts, key=len, reverse=True):
+        if held and total + len(text) > most:
+            yield held
+            held, total = [], 0
+        held.append(text)
+        total += len(text)
+    if held:
+        yield held
 
 
 @dataclass(frozen=True)
@@ -203,33 +253,73 @@ def log_likelihood(model: HiddenMarkov, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expectations(model: HiddenMarkov, texts: list[np.ndarray]) -> HiddenMarkov:
-    """Expected counts of starts, moves and emissions, by forward and backward recursion."""
+def expectations(model: HiddenMarkov, texts: list[np.ndarray], most: int = RUN_TOKENS) -> HiddenMarkov:
+    """Expected counts of starts, moves and emissions in whole sequences, by forward and backward recursion.
+
+    The steps are cut into stretches of about ``most`` tokens. On the way forward each leaves its last step only, and on
+    the way back it is run again, so that memory is bounded for a text of any length. Rows are rescaled
+    now and then: an expectation is a share, in which a row's scale cancels out.
+    """
     states, width = model.emit.shape
     flat, first, _ = _columns(texts)
-    seen = np.ascontiguousarray(model.emit.T.astype(np.float32))[flat]
-    model = HiddenMarkov(model.start.astype(np.float32), model.move.astype(np.float32), model.emit)
-    alpha = np.empty((len(flat), states), np.float32)
-    scale = np.empty(len(flat), np.float32)
-    for t in range(len(first) - 1):
-        own = slice(first[t], first[t + 1])
-        n = first[t + 1] - first[t]
-        a = (model.start if t == 0 else alpha[first[t - 1] : first[t - 1] + n] @ model.move) * seen[own]
-        scale[own] = a.sum(axis=1)
-        alpha[own] = a / scale[own, None]
-    beta = np.ones((len(texts), states), np.float32)
-    gamma = np.empty_like(alpha)
-    move = np.zeros((states, states))
-    for t in range(len(first) - 2, -1, -1):
-        own = slice(first[t], first[t + 1])
-        n = first[t + 1] - first[t]
-        gamma[own] = alpha[own] * beta[:n]
-        if t:
-            back = beta[:n] * seen[own] / scale[own, None]
-            move += alpha[first[t - 1] : first[t - 1] + n].T @ back
-            beta[:n] = back @ model.move.T
-    counts = np.stack([np.bincount(flat, gamma[:, k], minlength=width) for k in range(states)])
-    return HiddenMarkov(gamma[: first[1]].sum(axis=0), move * model.move, counts)
+    alive = np.diff(first)
+    emit, back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    cuts = [0]
+    while cuts[-1] < len(alive):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + most, side="right")) - 1))
+
+    def forward(s: int, e: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = first[s]
+        seen = emit[flat[low : first[e]]]
+        seen /= seen.max(axis=1, keepdims=True)
+        alpha = np.empty_like(seen)
+        for t in range(s, e):
+            own = slice(first[t] - low, first[t + 1] - low)
+            now = alpha[own]
+            if t:
+                np.matmul(before[: len(now)], model.move, out=now)
+            else:
+                now[:] = model.start
+            now *= seen[own]
+            if t % RESCALED == 0:
+                now /= now.sum(axis=1, keepdims=True)
+            before = now
+        return seen, alpha
+
+    heads = [np.empty((0, states))]
+    for s, e in zip(cuts[:-2], cuts[1:-1], strict=True):
+        heads.append(forward(s, e, heads[-1])[1][first[e - 1] - first[s] :].copy())
+    start, move, counts = np.zeros(states), np.zeros((states, states)), np.zeros((states, width))
+    carry = np.empty((0, states))
+    for k in reversed(range(len(heads))):
+        s, e = cuts[k], cuts[k + 1]
+        low = first[s]
+        seen, alpha = forward(s, e, heads[k])
+        beta = np.ones_like(alpha)
+        beta[first[e - 1] - low :][: len(carry)] = carry
+        for t in range(e - 1, s, -1):
+            own = slice(first[t] - low, first[t + 1] - low)
+            before = beta[first[t - 1] - low :][: alive[t]]
+            np.matmul(beta[own] * seen[own], back, out=before)
+            if t % RESCALED == 0:
+                before /= before.max(axis=1, keepdims=True)
+        gamma = alpha * beta
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        if s == 0:
+            start = gamma[: first[1]].sum(axis=0)
+        own_symbols, gamma = flat[low : first[e]], np.ascontiguousarray(gamma.T)
+        counts += np.stack([np.bincount(own_symbols, gamma[j], minlength=width) for j in range(states)])
+        beta *= seen
+        carry = beta[: alive[s]] @ back
+        carry /= carry.max(axis=1, keepdims=True)
+        # Every step but the first, with the one before it.
+        after = max(s, 1)
+        place = np.arange(first[min(after, e)], first[e])
+        left = np.concatenate([heads[k], alpha])[place - np.repeat(alive[after - 1 : e - 1], alive[after:e]) - low + len(heads[k])]
+        right = beta[place - low]
+        right /= ((left @ model.move) * right).sum(axis=1, keepdims=True)
+        move += left.T @ right
+    return HiddenMarkov(start, move * model.move, counts)
 
 
 def _model(counts: HiddenMarkov, prior: np.ndarray) -> HiddenMarkov:
@@ -240,16 +330,15 @@ def _model(counts: HiddenMarkov, prior: np.ndarray) -> HiddenMarkov:
     return HiddenMarkov(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def _sums(docs: DataFrame, text: str, held: Vocabulary, states: int, expect: Callable[[list[np.ndarray]], HiddenMarkov]) -> HiddenMarkov:
+def _sums(tokens: DataFrame, held: Vocabulary, states: int, expect: Callable[[list[np.ndarray]], HiddenMarkov]) -> HiddenMarkov:
     """Expectations of all texts: each task sends one row for each symbol that it has met, and these are summed by symbol."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _Reader(held)
         total: HiddenMarkov | None = None
-        for frame in blocks(frames, "_text", 3_000_000):
-            whole = [reader.symbols(t) for t in frame["_text"]]
-            part = expect([x[k : k + PIECE] for x in whole for k in range(0, len(x), PIECE)])
-            total = part if total is None else HiddenMarkov(total.start + part.start, total.move + part.move, total.emit + part.emit)
+        for _, whole in _sequences(frames):
+            for texts in _alike(whole, RUN_TOKENS):
+                part = expect(texts)
+                total = part if total is None else HiddenMarkov(total.start + part.start, total.move + part.move, total.emit + part.emit)
         if total is not None:
             met = np.flatnonzero(total.emit.sum(axis=0))
             rows = np.concatenate([total.emit[:, met].T, total.start[None], total.move])
@@ -257,7 +346,7 @@ def _sums(docs: DataFrame, text: str, held: Vocabulary, states: int, expect: Cal
             yield pd.DataFrame({"symbol": names} | {f"s{k}": rows[:, k] for k in range(states)})
 
     columns = [f"s{k}" for k in range(states)]
-    rows = docs.select(F.col(text).alias("_text")).mapInPandas(partial, "symbol int, " + ", ".join(f"{c} double" for c in columns))
+    rows = tokens.select("_symbols").mapInPandas(partial, "symbol int, " + ", ".join(f"{c} double" for c in columns))
     found = rows.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     values = found[columns].to_numpy(float)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, held.width))
@@ -276,75 +365,65 @@ def _first_guess(states: int, width: int) -> Callable[[list[np.ndarray]], Hidden
 
     def count(texts: list[np.ndarray]) -> HiddenMarkov:
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, width))
+        own: dict[int, list[np.ndarray]] = {}
         for t in texts:
-            k = int(np.bincount(t).argmax()) % states
-            start[k] += 1
-            move[k, k] += len(t) - 1
-            np.add.at(emit[k], t, 1.0)
+            own.setdefault(int(np.bincount(t).argmax()) % states, []).append(t)
+        for k, mine in own.items():
+            start[k] = len(mine)
+            move[k, k] = sum(map(len, mine)) - len(mine)
+            emit[k] = np.bincount(np.concatenate(mine), minlength=width)
         return HiddenMarkov(start, move, emit)
 
     return count
 
 
-def fit(docs: DataFrame, held: Vocabulary, text: str = "text", states: int = STATES, iterations: int = ITERATIONS) -> HiddenMarkov:
-    """Baum-Welch over all whole texts. The driver holds states x symbols numbers, whose bound is SYMBOLS + SUFFIXES symbols."""
-    counts = _sums(docs, text, held, states, _first_guess(states, held.width))
+def fit(tokens: DataFrame, held: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> HiddenMarkov:
+    """Baum-Welch over all whole texts of a ``tokenised`` table. The driver holds states x symbols numbers, whose bound is SYMBOLS + SUFFIXES symbols."""
+    counts = _sums(tokens, held, states, _first_guess(states, held.width))
     prior = counts.emit.sum(axis=0)
     prior = prior / max(prior.sum(), 1.0)
     model = _model(counts, prior)
     for _ in range(iterations):
         now = model
-        model = _model(_sums(docs, text, held, states, lambda texts: expectations(now, texts)), prior)  # noqa: B023
+        model = _model(_sums(tokens, held, states, lambda texts: expectations(now, texts)), prior)  # noqa: B023
     return model
 
 
-def score(docs: DataFrame, held: Vocabulary, model: HiddenMarkov, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each row's ``keep`` columns with n_tokens, n_known, train_tokens, base_score and score.
+def score(tokens: DataFrame, held: Vocabulary, model: HiddenMarkov, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each row's ``keep`` columns with n_tokens, n_known, train_tokens, base_score and score, from a ``tokenised`` table.
 
-    docs is read twice and its rows must come in the same order both times, as files do; write others first.
     One output row per input row, repeated rows and null ids included; a null text counts as
     empty, which is the end token alone. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))) over the
     tokens, score is the model's log10 probability of the whole text. Other columns take no part.
 
-    Frequent words are counted where the text is read. All other words, some tenth of the tokens, meet their
+    Frequent words were counted where the text was read. All other words, some tenth of the tokens, meet their
     counts in a join, which no frequent word can skew; what a text's rare words add is then summed by row.
     """
-    rows = docs.select(*keep, F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    schema = rows.drop("_text").schema
-    for name, kind in (("n_tokens", "long"), ("n_sent", "long"), ("base_sent", "double"), ("share_sent", "double"), ("hmm", "double")):
-        schema = schema.add(name, kind)
+    rows = tokens.select(*keep, "_row", (F.length("_symbols") / 2).cast("bigint").alias("n_tokens"), "_n", "_base", "_share", "_symbols")
+    schema = rows.drop("_symbols").schema.add("_hmm", "double")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _Reader(held)
-        end = float(held.base(np.array([held.ends]))[0])
-        # Large blocks: each step of the recursion serves all texts that are long enough.
-        for frame in blocks(frames, "_text", 16_000_000):
-            parts = [reader.scored(t) for t in frame["_text"]]
-            frame = frame.drop(columns=["_text"])
-            frame["n_tokens"] = [len(p[0]) for p in parts]
-            frame["n_sent"] = [p[1] + (held.ends > 0) for p in parts]
-            frame["base_sent"] = [p[2] + end for p in parts]
-            frame["share_sent"] = [p[3] for p in parts]
-            frame["hmm"] = log_likelihood(model, [p[0] for p in parts])
+        for frame, whole in _sequences(frames):
+            frame["_hmm"] = log_likelihood(model, whole)
             yield frame
 
-    spark = docs.sparkSession
+    spark = tokens.sparkSession
     sent = F.broadcast(spark.createDataFrame([(w,) for w, _ in held.sent], "word string"))
-    rare = rows.select("_row", F.explode(words_of(F.col("_text"))).alias("word")).join(sent, "word", "left_anti")
+    rare = tokens.where(F.col("_rare") != "").select("_row", F.explode(F.split("_rare", " ")).alias("word"))
     rare_counts = counts.join(sent, "word", "left_anti")
     n = F.coalesce("n", F.lit(0))
     sizes = F.array(*[F.lit(float(x)) for x in held.class_sizes])
     share = F.log10((n + 0.1) / F.get(sizes, suffix_of(F.col("word"))))
     base = F.log10((n + 0.1) / F.lit(held.total + 0.1 * (held.distinct + 1)))
     joined = rare.join(rare_counts, "word", "left").select("_row", (n > 0).cast("bigint").alias("known"), base.alias("base"), share.alias("share"))
-    extra = joined.groupBy("_row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("share").alias("share"))
+    extra = joined.groupBy("_row").agg(F.sum("known").alias("_known"), F.sum("base").alias("_rare_base"), F.sum("share").alias("_rare_share"))
     both = rows.mapInPandas(run, schema).join(extra, "_row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return both.select(
         *keep,
         "n_tokens",
-        (F.col("n_sent") + zero("known")).alias("n_known"),
+        (F.col("_n") + zero("_known")).alias("n_known"),
         F.lit(held.total).cast("bigint").alias("train_tokens"),
-        (F.col("base_sent") + zero("base")).alias("base_score"),
-        (F.col("hmm") + F.col("share_sent") + zero("share")).alias("score"),
+        (F.col("_base") + zero("_rare_base")).alias("base_score"),
+        (F.col("_hmm") + F.col("_share") + zero("_rare_share")).alias("score"),
     )

@@ -75,8 +75,9 @@ def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     taught = docs.where(~held_out)
     counts = hmm.count_words(taught)
     words = hmm.vocabulary(counts, taught.count())
-    model = hmm.fit(taught, words)
-    return hmm.score(docs.withColumn("held_out", held_out), words, model, counts, keep=("doc_id", "held_out"))
+    tokens = hmm.tokenised(docs.withColumn("held_out", held_out), words, keep=("doc_id", "held_out"))
+    model = hmm.fit(tokens.where("not held_out"), words)
+    return hmm.score(tokens, words, model, counts, keep=("doc_id", "held_out"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

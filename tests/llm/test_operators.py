@@ -401,8 +401,23 @@ def test_forward_and_expectations_by_enumeration():
                 p *= model.move[path[t - 1], path[t]] * model.emit[path[t], text[t]]
             total += p
         assert got == pytest.approx(np.log10(total))
-    sums = hmm.expectations(model, texts)
-    assert sums.start.sum() == pytest.approx(3, abs=1e-4) and sums.move.sum() == pytest.approx(4, abs=1e-4) and sums.emit.sum() == pytest.approx(7, abs=1e-4)
+    texts += [rng.integers(0, 3, n) for n in (9, 40, 3)]
+    start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3))
+    for text in texts:  # the plain recursion, a text at a time
+        a, b = [model.start * model.emit[:, text[0]]], [np.ones(2)]
+        for x in text[1:]:
+            a.append(a[-1] @ model.move * model.emit[:, x])
+        for x in text[:0:-1]:
+            b.insert(0, model.move @ (model.emit[:, x] * b[0]))
+        whole = a[-1].sum()
+        start += a[0] * b[0] / whole
+        for t, x in enumerate(text):
+            emit[:, x] += a[t] * b[t] / whole
+            if t:
+                move += a[t - 1][:, None] * model.move * model.emit[:, x] * b[t] / whole
+    for most in (1, 5, 16, 1000):
+        sums = hmm.expectations(model, texts, most)
+        assert np.allclose(sums.start, start) and np.allclose(sums.move, move) and np.allclose(sums.emit, emit)
 
 
 def test_language_model_scores(spark):
@@ -410,8 +425,8 @@ def test_language_model_scores(spark):
     table = docs(spark, rows)
     counts = hmm.count_words(table)
     held = hmm.vocabulary(counts, table.count(), symbols=50, sent=120)
-    model = hmm.fit(table, held, states=3)
-    got = hmm.score(table.withColumn("word", F.lit(1)), held, model, counts).toPandas()
+    model = hmm.fit(hmm.tokenised(table, held), held, states=3)
+    got = hmm.score(hmm.tokenised(table.withColumn("word", F.lit(1)), held), held, model, counts).toPandas()
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     tokens = {i: [*re.findall("[^\x20\x09-\x0d]+", (t or "").translate(low)), None] for i, t in rows}
     n = Counter(w for t in tokens.values() for w in t)
@@ -421,7 +436,12 @@ def test_language_model_scores(spark):
         assert r.base_score == pytest.approx(sum(np.log10((n[w] + 0.1) / (sum(n.values()) + 0.1 * (len(n) + 1))) for w in own))
         assert r.score < 0
     assert got.score.sum() > got.base_score.sum()
-    assert hmm.score(awkward(spark), held, model, counts).count() == len(AWKWARD)
+    assert hmm.score(hmm.tokenised(awkward(spark), held), held, model, counts).count() == len(AWKWARD)
+    none = table.limit(0)
+    held = hmm.vocabulary(hmm.count_words(none), 0)
+    tokens = hmm.tokenised(none, held)
+    assert hmm.score(tokens, held, hmm.fit(tokens, held, states=3), counts).count() == 0
+    assert hmm.score(hmm.tokenised(awkward(spark), held), held, hmm.fit(tokens, held, states=3), counts).count() == len(AWKWARD)
     # All words, an unknown one of each class included, have probability 1 in every state.
     assert model.emit.sum(axis=1) == pytest.approx(np.ones(3))
 
