@@ -5,7 +5,8 @@ arrivals form a Poisson process with its weight as rate; every arrival falls on
 signature's registers, and a register keeps the shingle that arrives first. A shingle's process stops
 as soon as its next arrival is later than all registers' first ones. Two texts agree in a
 register with the probability Jaccard similarity of their sets. Bands of registers
-make candidates, which are verified exactly.
+make candidates, which are verified exactly. Large buckets are verified in pairs of bounded chunks,
+of which only links between different components leave.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 #: Buckets of at most so many texts are compared in full.
 SMALL = 16
-#: Bands and registers in a band for texts in larger buckets, level by level: each finds a pair of similarity 0.8 with a chance over 0.999.
+#: Larger buckets are compared chunk by chunk: texts and bytes of shingles in a chunk, about.
+CHUNK_TEXTS, CHUNK_BYTES = 512, 2 << 20
+#: Texts of buckets beyond this are first dealt to narrower ones, by such bands and registers in a band: each finds a pair of similarity 0.8 with a chance over 0.999.
+COMPARED = 8192
 FINER = ((40, 8), (100, 12))
-#: In the last level's larger buckets every text meets so many representatives of other components in a round.
-HEADS = 64
 #: Tables with at most so many 16-byte keys may be broadcast (some 40 MB).
 BROADCAST_KEYS = 500_000
 _UNIT = 1.0 / (1 << 53)
@@ -98,16 +100,26 @@ def similarity(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) ->
     return max(jaccard, float((1.0 / total).sum()))
 
 
+def _bands(sets: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) -> list[np.ndarray]:
+    """Band hashes of weighted sets; where shingles repeat also those of the unweighted set, so that pairs which are alike in either way meet."""
+    registers = bands * rows
+    keys = list(band_keys(signatures([x for x, _ in sets], [weights(n) for _, n in sets], registers), bands))
+    again = [k for k, (_, n) in enumerate(sets) if n.max() > 1]
+    if again:
+        plain = band_keys(signatures([sets[k][0] for k in again], [np.ones(len(sets[k][0])) for k in again], registers), bands)
+        for k, own in zip(again, plain, strict=True):
+            keys[k] = np.union1d(keys[k], own)
+    return keys
+
+
 def _sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in blocks(frames, "_text", 1_000_000):
-        lists = [shingles(word_hashes(t), WIDTH) for t in frame["_text"]]
-        pairs = [np.unique(s, return_counts=True) for s in lists]
-        full = [k for k, s in enumerate(lists) if len(s)]
-        bands: list[np.ndarray | None] = [None] * len(lists)
+        pairs = [np.unique(shingles(word_hashes(t), WIDTH), return_counts=True) for t in frame["_text"]]
+        full = [k for k, (x, _) in enumerate(pairs) if len(x)]
+        bands: list[np.ndarray | None] = [None] * len(pairs)
         if full:
-            keys = band_keys(signatures([pairs[k][0] for k in full], [weights(pairs[k][1]) for k in full]))
-            for k, row in zip(full, keys, strict=True):
-                bands[k] = row
+            for k, keys in zip(full, _bands([pairs[k] for k in full], BANDS, ROWS), strict=True):
+                bands[k] = keys
         frame = frame.drop(columns=["_text"])
         frame["bands"] = bands
         yield frame
@@ -141,12 +153,76 @@ def _banded(bands: int, rows: int):
             for first in range(0, len(frame), 256):
                 part = frame.iloc[first : first + 256]
                 sets = [_set(*s) for s in zip(part["shingles"], part["counts"], strict=True)]
-                keys = band_keys(signatures([x for x, _ in sets], [weights(n) for _, n in sets], bands * rows), bands)
-                yield pd.DataFrame({"node": part["node"], "bands": list(keys)})
+                yield pd.DataFrame({"node": part["node"], "bands": _bands(sets, bands, rows)})
 
     return sign
 
 
+def links(sets: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, own: np.ndarray, theirs: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs (of ``own`` and ``theirs``, indexes of the texts) of the threshold or more that join texts of different labels.
+
+    No pair within a label is given, nor one that earlier pairs make needless, so they are fewer than the labels. What texts share is
+    counted through postings: each text of ``own`` with all of ``theirs`` at once.
+    """
+    labels = labels.copy()
+    size = np.array([len(x) for x, _ in sets])
+    weighed = [weights(n) for _, n in sets]
+    whole = np.array([w.sum() for w in weighed])
+    uneven = whole > size  # some shingle repeats
+    value = np.concatenate([sets[k][0] for k in theirs])
+    owner = np.repeat(np.arange(len(theirs)), size[theirs])
+    order = np.argsort(value, kind="stable")
+    value, owner, weight = value[order], owner[order], np.concatenate([weighed[k] for k in theirs])[order]
+    begins = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    distinct, ends = value[begins], np.append(begins[1:], len(value))
+    out = []
+    for k, a in enumerate(own.tolist()):
+        wanted = labels[theirs] != labels[a]
+        if own is theirs:
+            wanted[: k + 1] = False
+        if not wanted.any():
+            continue
+        x = sets[a][0]
+        at = np.minimum(np.searchsorted(distinct, x), len(distinct) - 1)
+        known = distinct[at] == x
+        at = at[known]
+        many = ends[at] - begins[at]
+        place = np.arange(many.sum()) + np.repeat(begins[at] - np.cumsum(many) + many, many)
+        met = owner[place]
+        shared = np.bincount(met, minlength=len(theirs))
+        good = wanted & (shared >= (threshold - 1e-9) * (size[a] + size[theirs] - shared))
+        maybe = wanted & ~good & (shared > 0) & (uneven[a] | uneven[theirs])
+        if maybe.any():
+            # A shared shingle gives no more to the probability Jaccard than its share in either text.
+            mine = np.bincount(met, np.repeat(weighed[a][known], many), len(theirs)) / whole[a]
+            other = np.bincount(met, weight[place], len(theirs)) / whole[theirs]
+            maybe &= np.minimum(mine, other) >= threshold - 1e-9
+        near = theirs[good]
+        for b in [*near[np.unique(labels[near], return_index=True)[1]].tolist(), *theirs[maybe].tolist()]:
+            if labels[a] != labels[b] and similarity(*sets[a], *sets[b]) >= threshold - 1e-9:
+                out.append((a, b))
+                labels[labels == labels[b]] = labels[a]
+    return out
+
+
+def _linked(threshold: float):
+    """The links of a pair of chunks, or of a chunk with itself."""
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        labels = pd.factorize(frame["label"])[0]
+        found: list[tuple[int, int]] = []
+        if labels.max(initial=0):
+            sets = [_set(*s) for s in zip(frame["shingles"], frame["counts"], strict=True)]
+            one, two = (np.flatnonzero(frame["chunk"] == frame[c].iloc[0]) for c in ("one", "two"))
+            if frame["one"].iloc[0] == frame["two"].iloc[0]:
+                two = one
+            if len(one) and len(two):
+                found = links(sets, labels, one, two, threshold)
+        return pd.DataFrame({"a": [frame["node"].iloc[a] for a, _ in found], "b": [frame["node"].iloc[b] for _, b in found]})
+
+    return link
+
+
 def _key(text: str):
     """128 bits of the text's SHA-256; a null text counts as empty."""
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
@@ -182,12 +258,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     is chosen by its text. Null ids are allowed; class_id is null only where a class has no other id.
     Other columns take no part.
 
-    Candidates: buckets of one band hash. In buckets of up to 16 texts all pairs are candidates,
-    in larger ones each text with the bucket's smallest. Texts of larger buckets that are left with
-    several components are banded again by longer signatures, whose buckets are narrower, twice; in
-    what is then still large, each text meets the first 64 representatives of other components,
-    round by round, until all have been met. A first round verifies one candidate of each text,
-    later ones only those that still lie in different components.
+    Candidates: texts of one bucket, that is with one band hash. A first round verifies one candidate of each
+    text, its bucket's smallest; a second one those pairs of small buckets (up to 16 texts) that are still in different components.
+    Larger buckets that still hold several components are compared in full between these, in pairs of chunks, whose
+    rows are bounded and of which only links leave. Those of more than 8192 texts are dealt to narrower buckets by longer
+    signatures first, twice; what is then still larger is compared in full as well.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("node", _key("_text"))
     signed = base.mapInPandas(_sign, "id bigint, node binary, bands array<bigint>")
@@ -214,30 +289,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labels = components(edges)
     edges, labels = _extended(edges, labels, _candidates(members).join(nearest, ["a", "b"], "left_anti"), verified)
 
-    for bands, rows in FINER:
-        left = _unsettled(members, labels).select("node").distinct()
-        again = listed.join(left, "node", "left_semi").mapInPandas(_banded(bands, rows), "node binary, bands array<bigint>")
-        members = _members(again)
-        if not members.limit(1).count():
+    for finer in (*FINER, None):
+        large = written(_unsettled(members, labels, listed), "large")
+        now = large if finer is None else large.where(F.col("n") <= COMPARED)
+        edges, labels = _joined(edges, labels, _compared(now, listed, threshold))
+        if finer is None or not large.where(F.col("n") > COMPARED).limit(1).count():
             break
+        left = large.where(F.col("n") > COMPARED).select("node").distinct()
+        members = _members(listed.join(left, "node", "left_semi").mapInPandas(_banded(*finer), "node binary, bands array<bigint>"))
         edges, labels = _extended(edges, labels, _candidates(members), verified)
 
-    met: DataFrame | None = None
-    while True:
-        large = written(_unsettled(members, labels), "large")
-        heads = large.groupBy("bucket", "label").agg(F.min("node").alias("b"), F.max(F.col("node") == F.col("head")).alias("_has_head"))
-        heads = heads.where(~F.col("_has_head"))
-        if met is not None:
-            heads = heads.join(met, ["bucket", "b"], "left_anti")
-        order = Window.partitionBy("bucket").orderBy("b")
-        heads = heads.withColumn("k", F.row_number().over(order)).where(F.col("k") <= HEADS)
-        heads = written(heads.select("bucket", "b", F.col("label").alias("own")), "heads")
-        if not heads.limit(1).count():
-            break
-        met = heads.select("bucket", "b") if met is None else written(met.union(heads.select("bucket", "b")), "met")
-        pairs = large.join(heads, "bucket").where(F.col("label") != F.col("own"))
-        edges, labels = _extended(edges, labels, pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), verified)
-
     named = texts.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # Most classes are small, and minima are taken in each task first.
     lead = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("s"))
@@ -260,19 +321,34 @@ def _candidates(members: DataFrame) -> DataFrame:
     return star.union(inside).distinct()
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members, with their labels, of large buckets that hold several components."""
-    large = members.where(F.col("n") > SMALL).select("bucket", "node", "head").join(labels, "node", "left")
+def _unsettled(members: DataFrame, labels: DataFrame, listed: DataFrame) -> DataFrame:
+    """The members, with their labels and chunks, of large buckets that hold several components."""
+    sizes = listed.select("node", F.length("shingles").alias("bytes"))
+    large = members.where(F.col("n") > SMALL).select("bucket", "node", "n").join(sizes, "node").join(labels, "node", "left")
     large = large.withColumn("label", F.coalesce("label", "node"))
-    mixed = large.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return large.join(mixed.select("bucket"), "bucket", "left_semi")
+    mixed = large.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("n").alias("n"), F.sum("bytes").alias("bytes")).where("low < high")
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK_TEXTS, F.col("bytes") / CHUNK_BYTES)).cast("int").alias("chunks")
+    joined = large.select("bucket", "node", "label", "n").join(mixed.select("bucket", chunks), "bucket")
+    return joined.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+
+def _compared(large: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the components of each bucket. Every text meets its bucket's chunks one by one, each meeting a group of its own."""
+    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("bucket", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "node", "label")
+    return met.join(listed, "node").groupBy("bucket", "one", "two").applyInPandas(_linked(threshold), "a binary, b binary")
 
 
 def _extended(edges: DataFrame, labels: DataFrame, pairs: DataFrame, verified) -> tuple[DataFrame, DataFrame]:
     """The edges and labels with those of the pairs added that lie in different components and verify."""
     one, two = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     apart = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    new = written(verified(apart), "links")
+    return _joined(edges, labels, verified(apart))
+
+
+def _joined(edges: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges and labels with the found links added."""
+    new = written(found.distinct(), "links")
     if not new.limit(1).count():
         return edges, labels
     edges = written(edges.union(new), "links")
@@ -285,7 +361,8 @@ def _rows(rows: DataFrame, named: DataFrame, doc_id: str) -> DataFrame:
     Texts of many rows would gather in one task of a join, so their few keys (a thousandth of
     all rows each, hence a thousand at most) are answered by broadcast.
     """
-    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").persist()
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    counts = written(counts, "copies")
     total = rows.count()
     hot = named.join(F.broadcast(counts.where(F.col("c") > max(1000, total / 1000)).select("node")), "node", "left_semi")
     hot = F.broadcast(hot.select(F.col("node").alias("hot"), F.struct("first", "class_id", "lead").alias("hs")))

@@ -104,6 +104,53 @@ def test_near_duplicates_match_brute_force(spark):
     assert kept == set(found.doc_id[found.kept])
 
 
+def drifting(n, width=100, edits=3, seed=5):
+    """Texts of which each is the one before with a few words changed: neighbours are alike, far ones are not."""
+    out = [words(width, seed)]
+    for k in range(1, n):
+        out.append(edited(out[-1], edits, 5000 + k))
+    return out
+
+
+@pytest.mark.parametrize(("compared", "texts"), [(8192, 512), (8192, 7), (20, 7)])
+def test_large_groups_match_brute_force(spark, monkeypatch, compared, texts):
+    monkeypatch.setattr(neardup, "COMPARED", compared)
+    monkeypatch.setattr(neardup, "CHUNK_TEXTS", texts)
+    rows = list(enumerate(drifting(40)))
+    base, part = words(90, 31).split(" "), words(14, 32)
+    # Two tight clusters that one pair of texts bridges, and texts that differ in how often a part repeats.
+    for side in (0, 1):
+        for k in range(20):
+            w = list(base)
+            for e in range(7):
+                w[(40 * side + 6 * e) % 90] = f"s{side}e{e}"
+            w[80 + k % 9] = f"own{side}x{k}"
+            rows.append((100 + 50 * side + k, " ".join(w)))
+    rows += [(300 + k, words(30, 33) + " " + " ".join([part] * (1 + 3 * k)) + f" end{k}") for k in range(24)]
+    found = neardup.near_duplicates(docs(spark, rows)).toPandas()
+    assert dict(zip(found.doc_id, found.class_id, strict=True)) == brute_classes(rows)
+
+
+def test_links_join_what_brute_force_joins():
+    texts = drifting(30) + [words(20, 3) + " " + " ".join([words(9, 4)] * k) for k in range(1, 8)]
+    sets = [np.unique(neardup.shingles(neardup.word_hashes(t), 5), return_counts=True) for t in texts]
+    rows = list(enumerate(texts))
+    for labels in (np.arange(len(texts)), np.arange(len(texts)) // 3):
+        ids = np.arange(len(texts))
+        for own, theirs in ((ids, None), (ids[::2], ids[1::2])):
+            found = neardup.links(sets, labels, own, own if theirs is None else theirs, 0.8)
+            pairs = [(a, b) for a in own for b in (own if theirs is None else theirs) if a != b and exact_similarity(rows[a][1], rows[b][1]) >= 0.8 - 1e-9]
+            assert all((a, b) in pairs and labels[a] != labels[b] for a, b in found) and len(found) < len(set(labels))
+
+            def classes(links, labels=labels):
+                label = labels.copy()
+                for a, b in links:
+                    label[label == label[b]] = label[a]
+                return {frozenset(np.flatnonzero(label == x).tolist()) for x in set(label)}
+
+            assert classes(found) == classes(pairs)
+
+
 def test_similarity_equals_its_definition():
     for seed in range(8):
         a = words(40, seed) + " " + " ".join([words(8, 50)] * (seed % 4))
