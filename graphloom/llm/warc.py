@@ -25,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import written
+
 FILE_BYTES = 8 << 20
-#: Tables with at most so many rows of two longs and a digest may be broadcast (32 MB).
-BROADCAST_ROWS = 400_000
+#: Tables with at most so many rows of a digest, a record id, a url and a date may be broadcast (some 30 MB).
+BROADCAST_ROWS = 100_000
 
 # The header fields that each ARC version declares, in order.
 FIELDS = {
@@ -145,30 +147,33 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the ARC files in a folder: page_id, url, date (14 digits), mime, block, payload_bytes and payload_digest.
+    """All records of the ARC files in a folder: page_id, url, date (14 digits), mime, block, payload_bytes, payload_digest and record_id.
 
-    A record that is shorter than it declares, or has another number of header fields than its version, is an error.
+    A file without records gives none. A record that is shorter than it declares, or has another number of header fields than its version, is an error.
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
+            for source, content in zip(frame["path"], frame["content"], strict=True):
                 out = []
                 for head, block in arc_records(gzip.decompress(content)):
                     page, payload = _payload(block)
-                    out.append((page, head["URL"], head["Archive-date"], head["Content-type"], block.decode(), len(payload), sha1_base32(payload)))
-                yield _frame(out, ["page_id", "url", "date", "mime", "block", "payload_bytes", "payload_digest"])
+                    # The place of a record in the archive is its own, however often its content repeats.
+                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{source.rpartition('/')[2]} {len(out)}")
+                    out.append((page, head["URL"], head["Archive-date"], head["Content-type"], block.decode(), len(payload), sha1_base32(payload), f"urn:uuid:{name}"))
+                if out:
+                    yield _frame(out, ["page_id", "url", "date", "mime", "block", "payload_bytes", "payload_digest", "record_id"])
 
-    schema = "page_id bigint, url string, date string, mime string, block string, payload_bytes bigint, payload_digest string"
+    schema = "page_id bigint, url string, date string, mime string, block string, payload_bytes bigint, payload_digest string, record_id string"
     return _stored(spark, path).mapInPandas(parse, schema)
 
 
 def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """The records with refers_to: null for a response, else the page_id of the response with the same payload.
+    """The records with refers_to: null for a response, else the page_id of the response with the same payload, and that record's id, url and date.
 
     Among equal payloads of ``least_bytes`` or more the smallest page_id is the response; repeated
     rows of that id are all responses, and records without a page_id revisit it (alone among
@@ -179,11 +184,11 @@ def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     firsts = (
         records.where(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest", "payload_bytes")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "url", "date"))).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and first is not null")
         .select(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "first", "n")
-        .persist()
     )
+    firsts = written(firsts, "responses")
     same = (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
     groups, copies = firsts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if groups <= BROADCAST_ROWS:
@@ -192,20 +197,23 @@ def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
         hot = F.broadcast(firsts.where(F.col("n") > copies / 1000))
         marked = records.join(hot, same, "left").select(records["*"], F.col("first").alias("_hot"))
         # Records that the hot list answered get keys of their own, so that they spread.
-        key = F.when(F.col("_hot").isNull(), F.col("payload_digest")).otherwise(F.concat_ws("|", "page_id", "url"))
+        key = F.when(F.col("_hot").isNull(), F.col("payload_digest")).otherwise(F.col("record_id"))
         marked = marked.withColumn("_key", key)
         joined = marked.join(firsts, (F.col("_key") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
         joined = joined.select(records["*"], F.coalesce("_hot", "first").alias("first"))
-    refers = F.when(~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first"))
-    return joined.withColumn("refers_to", refers).drop("first")
+    revisit = ~F.coalesce(F.col("page_id") == F.col("first.page_id"), F.lit(False))
+    names = {"refers_to": "page_id", "refers_record": "record_id", "refers_url": "url", "refers_date": "date"}
+    return joined.withColumns({name: F.when(revisit, F.col(f"first.{c}")) for name, c in names.items()}).drop("first")
+
+
+def _stamp(date: str) -> str:
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
-def _warc_record(kind: str, url: str, date: str, digest: str, block: str, extra: str = "") -> str:
+def _warc_record(kind: str, name: str, url: str, date: str, digest: str, block: str, extra: str = "") -> str:
     data = block.encode()
-    stamp = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind} {url} {date} {digest} {extra}")
     return (
-        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {stamp}\r\n"
+        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nWARC-Date: {_stamp(date)}\r\n"
         f"WARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:{digest}\r\nWARC-Block-Digest: sha1:{sha1_base32(data)}\r\n{extra}"
         f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(data)}\r\n\r\n{block}{_BLOCK_END}"
     )
@@ -221,11 +229,12 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> N
         for r in frame.itertuples(index=False):
             extra = f"X-Payload-Length: {r.payload_bytes}\r\n"
             if r.refers_to is None:
-                yield _warc_record("response", r.url, r.date, r.payload_digest, r.block, extra)
+                yield _warc_record("response", r.record_id, r.url, r.date, r.payload_digest, r.block, extra)
             else:
                 extra += f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nX-Refers-To-Page: {r.refers_to}\r\n"
+                extra += f"WARC-Refers-To: <{r.refers_record}>\r\nWARC-Refers-To-Target-URI: {r.refers_url}\r\nWARC-Refers-To-Date: {_stamp(r.refers_date)}\r\n"
                 head = r.block[: r.block.find(_BLOCK_END) + 4]
-                yield _warc_record("revisit", r.url, r.date, r.payload_digest, head, extra)
+                yield _warc_record("revisit", r.record_id, r.url, r.date, r.payload_digest, head, extra)
 
     def files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         info = "software: graphloom\r\nformat: WARC file version 1.1\r\n"
@@ -234,7 +243,7 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> N
             for text in _packed(parts(frame), head, file_bytes):
                 yield pd.DataFrame({"value": [text[:-1]]})  # the writer ends it with the last line feed
 
-    rows = records.select("url", "date", "payload_bytes", "payload_digest", "block", F.col("refers_to").cast("string").alias("refers_to"))
+    rows = records.select("record_id", "url", "date", "payload_bytes", "payload_digest", "block", F.col("refers_to").cast("string").alias("refers_to"), "refers_record", "refers_url", "refers_date")
     _save(rows.mapInPandas(files, "value string"), path)
 
 
@@ -275,7 +284,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     text = payload.decode() if kind == "response" else None
                     out.append((page, head["WARC-Target-URI"], int(head["X-Payload-Length"]), digest, kind, refers, head["WARC-Record-ID"], text))
                 columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "payload"]
-                yield _frame(out, columns)
+                if out:
+                    yield _frame(out, columns)
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, payload string"
     return _stored(spark, path).mapInPandas(parse, schema)
