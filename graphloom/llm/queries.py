@@ -53,12 +53,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     Per document: the digest of the text as it was read back, its shard, that shard's
     bytes by the manifest, and the version.
     """
-    docs = _table(spark, sf_dir, "documents")
-    store = ShardStore(spark, scratch(spark, "shards"), target_bytes=64 << 20)
-    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(4))), by="arrival")
+    return stored(_table(spark, sf_dir, "documents"), ShardStore(spark, scratch(spark, "shards"), target_bytes=64 << 20))
+
+
+def stored(docs: DataFrame, store: ShardStore) -> DataFrame:
+    """The rows of ``op5_sharding`` for a new store; columns of docs other than those returned are stored too."""
+    arrival = "arrival"
+    while arrival in docs.columns:
+        arrival += "_"
+    store.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(4))), by=arrival)
     last = store.compact()
     store.vacuum()
-    listed = spark.createDataFrame([(s.path.rpartition("/")[2], s.bytes) for s in last.shards], "shard string, shard_bytes bigint")
+    listed = docs.sparkSession.createDataFrame([(s.path, s.bytes) for s in last.shards], "shard string, shard_bytes bigint")
     rows = store.read(last.version, shard="shard").join(F.broadcast(listed), "shard", "left")
     return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "n_chars", "shard", "shard_bytes", F.lit(last.version).alias("version"))
 

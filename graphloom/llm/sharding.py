@@ -132,7 +132,7 @@ class ShardStore:
         return made
 
     def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
-        """The rows of a version; ``shard`` names a column to add that holds each row's file name."""
+        """The rows of a version; ``shard`` names a column that holds each row's file, as ``Shard.path`` has it (a stored column of that name gives way)."""
         held = self.manifest(version)
         return self._rows(list(held.shards), StructType.fromJson(json.loads(held.schema)), shard)
 
@@ -141,7 +141,11 @@ class ShardStore:
             rows = self.spark.createDataFrame([], schema)
             return rows.withColumn(shard, F.lit("")) if shard else rows
         rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{s.path}" for s in shards])
-        return rows.withColumn(shard, F.col("_metadata.file_name")) if shard else rows
+        if not shard:
+            return rows
+        # File names alone repeat: a task gives all arrivals that it writes the same.
+        encoded = F.regexp_extract(F.col("_metadata.file_path"), "/(data/[0-9a-f]{32}/[^?#]*)$", 1)
+        return rows.withColumn(shard, F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))))
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.floor_bytes, self.fanout)) + 1)
