@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, mix, shingles, rolling, word_hashes
+from graphloom.llm.common import blocks, mix, rolling, shingles, word_hashes, written
 
 WIDTH = 5
 HASHES = 64
@@ -139,7 +139,7 @@ class ItemIndex:
 def _finder(items: list[tuple[object, str]], threshold: float, keep: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = ItemIndex([t for _, t in items], threshold)
-        for frame in blocks(frames, "_text", 2_000_000):
+        for frame in blocks(frames, "_text", 1_000_000):
             words = [word_hashes(t) for t in frame["_text"]]
             docs = [rolling(w, WIDTH) for w in words]
             rows: dict[tuple[int, int], tuple[int, int]] = {}
@@ -175,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
     more is always found, a longer one missed with a chance below one in a thousand (whole copies: below one in ten million).
 
     The items are sent with the tasks in blocks of about PASS_CHARS characters, each block one pass
-    over the documents; documents are never shuffled.
+    over the documents, of which the driver holds one at a time; documents are never shuffled.
     """
     items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
@@ -187,7 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
     found = []
     for k in range(passes):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).orderBy("i", "t").collect()
-        found.append(rows.mapInPandas(_finder([(r["i"], r["t"]) for r in own], threshold, list(keep)), schema))
+        pairs = rows.mapInPandas(_finder([(r["i"], r["t"]) for r in own], threshold, list(keep)), schema)
+        found.append(pairs if passes == 1 else written(pairs, "contaminated"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -198,7 +199,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     contaminated texts and by shuffle otherwise.
     """
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    bad = contaminated(docs.withColumn("_digest", digest), benchmark, text, ("_digest",), threshold=threshold).select("_digest").distinct().persist()
+    bad = contaminated(docs.withColumn("_digest", digest), benchmark, text, ("_digest",), threshold=threshold).select("_digest").distinct()
+    bad = written(bad, "digests")
     if bad.count() <= 200_000:  # 100 bytes each
         bad = F.broadcast(bad)
     return docs.withColumn("_digest", digest).join(bad, "_digest", "left_anti").select(*docs.columns)
