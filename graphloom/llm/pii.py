@@ -3,8 +3,9 @@
 The patterns (email, ip, card, phone) find the base spans. The network, trained in numpy on
 labelled spans, reads overlapping windows of characters; each window is decoded by the CRF, and
 the decodings are reconciled over the whole text: every character takes its tag
-from the window in which it lies deepest. Model spans are added to the base ones where
-they touch none.
+from the window in which it lies deepest. Among the labelled spans are base ones in other writing
+(other separators, no plus sign, dots and at signs in words), which the patterns do not match
+and the network so learns to find. Model spans are added to the base ones where they touch none.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ WINDOW, STEP = 96, 64
 TAGS = 1 + 2 * len(KINDS)
 HIDDEN = 24
 EMBED = 12
-#: A model span is taken only if its digits lie in this range (email: and it holds an @); windows without a digit or @ can't give one.
-DIGITS = {"email": (0, 1 << 30), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
+#: A model span is taken only if its digits lie in this range; windows without a digit or a sign of an address are outside.
+DIGITS = {"email": (0, 1 << 30), "ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -38,7 +39,8 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)+")
 _NUMBER = re.compile(r"[0-9]+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_AT = re.compile(r"@|[\[(] ?at ?[\])]", re.IGNORECASE)
+_TRIGGER = re.compile(rf"[0-9]|{_AT.pattern}", re.IGNORECASE)
 
 # The characters that the network tells apart; others share a class by kind.
 ALPHABET = "0123456789@.-+() _%:/,;|#*"
@@ -228,7 +230,7 @@ class Tagger:
 
 
 def windows_of(text: str, spans: list[tuple[str, int, int]] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(start, classes, tags) of the windows of a whole text that hold a digit or an @; short texts are padded."""
+    """(start, classes, tags) of the windows of a whole text that hold a digit or the sign of an address; short texts are padded."""
     x = classes(text)
     y = np.zeros(len(x), np.uint8)
     for kind, a, b in spans or ():
@@ -264,10 +266,37 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 260, batch: int = 48, rate:
     return model
 
 
-def fit(docs: DataFrame, text: str = "text", per_kind: int = 120, max_chars: int = 20_000, steps: int = 260) -> Tagger | None:
+def disguised(text: str, spans: list[tuple[str, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its spans in other writing, which the patterns mostly do not match, and these spans; overlapping ones are left out."""
+    pick = lambda *choices: choices[rng.integers(len(choices))]
+    out, made, at, size = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
+        if a < at:
+            continue
+        piece = text[a:b]
+        numbers = _NUMBER.findall(piece)
+        if kind == "email":
+            local, _, domain = piece.partition("@")
+            piece = local + pick(" [at] ", "[at]", "(at)", " (at) ", " @ ") + domain.replace(".", pick(".", " . ", "[.]", " [dot] "))
+        elif kind == "ip":
+            piece = pick(" . ", "[.]", ". ", "(.)").join(numbers)
+        elif kind == "card":
+            digits = "".join(numbers)
+            piece = pick(".", "/", "_", "  ").join(digits[k : k + 4] for k in range(0, len(digits), 4))
+        else:
+            piece = pick("", "00", "tel:") + pick(" ", "-", ".", "/").join(numbers)
+        out += [text[at:a], piece]
+        size += a - at
+        made.append((kind, size, size + len(piece)))
+        size += len(piece)
+        at = b
+    return "".join(out) + text[at:], made
+
+
+def fit(docs: DataFrame, text: str = "text", per_kind: int = 120, max_chars: int = 20_000, steps: int = 400) -> Tagger | None:
     """A tagger of a bounded sample of labelled spans: for each kind the ``per_kind`` texts first in hash order.
 
-    Labels are the base spans. Texts of more than ``max_chars`` characters are not learned from. Also learned are
+    Labels are the base spans, as they are and in other writing (``disguised``). Texts of more than ``max_chars`` characters are not learned from. Also learned are
     as many texts with digits but without spans. None if there is no span to learn from.
     """
 
@@ -289,29 +318,42 @@ def fit(docs: DataFrame, text: str = "text", per_kind: int = 120, max_chars: int
         return None
     keys = docs.sparkSession.createDataFrame([(h,) for h in sorted(chosen)], "h bigint")
     texts = {r["t"] for r in rows.join(F.broadcast(keys), "h").select("t").distinct().collect()}
-    xs, ys = zip(*[(x, y) for t in sorted(texts) for _, x, y in windows_of(t, base_spans(t))], strict=True)
-    x, y = np.stack(xs), np.stack(ys)
-    # All windows with spans, and as many without.
     rng = np.random.default_rng(3)
+    labelled = [(t, base_spans(t)) for t in sorted(texts)]
+    labelled += [disguised(t, spans, rng) for t, spans in labelled if spans]
+    xs, ys = zip(*[(x, y) for t, spans in labelled for _, x, y in windows_of(t, spans)], strict=True)
+    x, y = np.stack(xs), np.stack(ys)
+    # Windows with spans, and as many without.
     with_span = np.flatnonzero(y.any(axis=1))
     without = rng.permutation(np.flatnonzero(~y.any(axis=1)))[: len(with_span)]
-    own = rng.permutation(np.concatenate([with_span, without]))[: 10 * per_kind]
+    own = rng.permutation(np.concatenate([with_span, without]))[: 16 * per_kind]
     return train(x[own], y[own], steps)
 
 
 def _plausible(kind: str, piece: str) -> bool:
-    """Whether a model span could be of its kind: card numbers must pass Luhn, as those of the patterns must."""
-    digits = "".join(c for c in piece if c in "0123456789")
+    """Whether a model span could be of its kind, however it is written: a card number must pass Luhn, an address have four numbers up to 255, and a phone number a plus sign or parts."""
+    numbers = _NUMBER.findall(piece)
+    digits = "".join(numbers)
     low, high = DIGITS[kind]
-    return low <= len(digits) <= high and (kind != "email" or "@" in piece) and (kind != "card" or luhn(digits))
+    fine = {
+        "email": lambda: bool((m := _AT.search(piece)) and re.search(r"[A-Za-z0-9]", piece[: m.start()]) and re.search(r"[A-Za-z0-9].*(\.|dot).*[A-Za-z0-9]", piece[m.end() :])),
+        "ip": lambda: len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers),
+        "card": lambda: luhn(digits),
+        "phone": lambda: "+" in piece or len(numbers) > 2,
+    }[kind]
+    return low <= len(digits) <= high and fine()
 
 
 def text_digit(text: str, at: int) -> bool:
     return text[at] in "0123456789"
 
 
-def model_spans(model: Tagger, texts: list[str], batch: int = 2048) -> list[list[tuple[str, int, int]]]:
-    """The network's spans of whole texts, reconciled over their windows."""
+def model_spans(model: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[str, int, int]]]:
+    """The network's spans of whole texts, reconciled over their windows.
+
+    Each character takes the tag of the window where it lies deepest, which is the one whose middle part (its first part too, at the
+    text's start) it is in; so windows neither vie nor depend on their order. Windows without a digit or the sign of an address are outside.
+    """
     owner, starts, rows = [], [], []
     for k, t in enumerate(texts):
         for a, x, _ in windows_of(t):
@@ -319,25 +361,16 @@ def model_spans(model: Tagger, texts: list[str], batch: int = 2048) -> list[list
             starts.append(a)
             rows.append(x)
     tags: dict[int, np.ndarray] = {}
-    depth: dict[int, np.ndarray] = {}
-    inner = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1
+    edge = (WINDOW - STEP) // 2
     for first in range(0, len(rows), batch):
         part = slice(first, first + batch)
         decoded = model.decode(np.ascontiguousarray(np.stack(rows[part]).T)).T
         for k, a, y in zip(owner[part], starts[part], decoded, strict=True):
-            if not y.any() and k not in tags:
-                continue
-            n = len(texts[k])
-            if k not in tags:
-                tags[k], depth[k] = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-            b = min(a + WINDOW, n)
-            # At the text's own ends a window is as deep as it can be.
-            own = inner[: b - a].copy()
-            if a == 0:
-                own[: WINDOW // 2] = WINDOW
-            better = own > depth[k][a:b]
-            tags[k][a:b][better] = y[: b - a][better]
-            depth[k][a:b][better] = own[better]
+            low, high = (edge if a else 0), min(edge + STEP, len(texts[k]) - a)
+            if y[low:high].any():
+                if k not in tags:
+                    tags[k] = np.zeros(len(texts[k]), np.uint8)
+                tags[k][a + low : a + high] = y[low:high]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for k, y in tags.items():
         kind = (y.astype(np.int64) + 1) // 2
@@ -374,24 +407,24 @@ def all_spans(base: list[tuple[str, int, int]], found: list[tuple[str, int, int]
 
 
 def find_pii(docs: DataFrame, model: Tagger | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), redact: bool = False) -> DataFrame:
-    """Each row's ``keep`` columns with n_email, n_ip, n_card, n_phone, base_sha256, spans and n_added; with ``redact`` also redacted.
+    """Each row's ``keep`` columns with n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and n_spans; with ``redact`` also redacted.
 
     The counts and the digest are of the base spans, spans holds all, offsets are code points.
     One output row per input row, repeated rows and null ids included; a null text counts as empty and has no
-    spans. Whole texts are read: the patterns see every character, and the network every window with a digit or @ (others
-    cannot give a span that is taken). Without a model there are base spans only. redacted is the text with every span
+    spans. Whole texts are read: the patterns see every character, and the network every window with a digit or the sign of an
+    address (others are taken to be outside). Without a model there are base spans only. redacted is the text with every span
     replaced by its kind in brackets (overlapping base spans by the first one's); other columns take no part.
     """
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = rows.select(*keep).schema
     for k in KINDS:
         schema = schema.add(f"n_{k}", "long")
-    schema = schema.add("base_sha256", "string").add("spans", "string").add("n_added", "long")
+    schema = schema.add("base_sha256", "string").add("spans", "string").add("n_added", "long").add("n_spans", "long")
     if redact:
         schema = schema.add("redacted", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in blocks(frames, "_text", 2_000_000):
+        for frame in blocks(frames, "_text", 1_000_000):
             texts = list(frame["_text"])
             base = [base_spans(t) for t in texts]
             found = model_spans(model, texts) if model else [[] for _ in texts]
@@ -402,6 +435,7 @@ def find_pii(docs: DataFrame, model: Tagger | None, text: str = "text", keep: tu
             frame["base_sha256"] = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
             frame["spans"] = [joined(s) for s in spans]
             frame["n_added"] = [len(s) - len(b) for s, b in zip(spans, base, strict=True)]
+            frame["n_spans"] = [len(s) for s in spans]
             if redact:
                 frame["redacted"] = [_redacted(t, s) for t, s in zip(texts, spans, strict=True)]
             yield frame
