@@ -6,7 +6,7 @@ import math
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,21 +82,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+class Recent(dict):
+    """Values by key, made by ``make`` when first asked for. At most twice ``bound`` of those last used are remembered."""
 
-    def __init__(self, bound: int = 200_000):
+    def __init__(self, make: Callable[[str], object], bound: int):
         super().__init__()
-        self.bound = bound
+        self.make, self.bound, self.older = make, bound, {}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.bound:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[key] = value
         return value
 
 
-HASHES = WordHashes()
+HASHES = Recent(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), 60_000)
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.common import blocks
+from graphloom.llm.common import Recent, blocks
 
 CAPACITY = 2048
 END_ID = 1
@@ -35,7 +35,7 @@ SENTENCE_PENALTY = 1.0
 INSIDE_PENALTY = 12.0
 INSIDE_STEP = 16
 #: Tokens that one dynamic program covers at most, unless one document is longer.
-SPAN_TOKENS = 4_000_000
+SPAN_TOKENS = 2_000_000
 _ENDS = ".!?"
 # Fixed value: the pattern by which this vocabulary cuts text into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -49,8 +49,8 @@ def _byte_letters() -> list[str]:
     return [at[b] for b in range(256)]
 
 
-class WordTokens(dict):
-    """The ids of each word between white space, as little-endian 32-bit bytes, remembered up to a bound.
+class WordTokens:
+    """The ids of each word between white space, as little-endian 32-bit bytes; those of recent words are remembered.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
     its words. Words of printable Latin characters are cut into pieces here by the vocabulary's own
@@ -58,39 +58,28 @@ class WordTokens(dict):
     <|endoftext|>, which has an id of its own even inside a word), go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
-        super().__init__()
-        self.pieces: dict[str, bytes] = {}
+    def __init__(self, path: str, bound: int = 100_000):
+        self.pieces, self.words = Recent(self._piece, bound), Recent(self._word, bound)
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.bound = bound
         self.ends = sorted({i for w in (*_ENDS, "a.", "a!", "a?") for i in self.tokenizer.encode(w, add_special_tokens=False).ids[-1:]})
 
     def _piece(self, piece: str) -> bytes:
-        value = self.pieces.get(piece)
-        if value is None:
-            letters = self.letters
-            mapped = "".join([letters[b] for b in piece.encode()])
-            value = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return value
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.bound or len(self.pieces) >= self.bound:
-            self.clear()
-            self.pieces.clear()
+        letters = self.letters
+        mapped = "".join([letters[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         if word and max(word) < "ɐ" and not any(t in word for t in self.added) and word.isprintable() and unicodedata.is_normalized("NFC", word):
-            value = b"".join(map(self._piece, _PIECES.findall(word.lower())))
-        else:
-            value = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = value
-        return value
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: str) -> bytes:
         """The ids of a whole text."""
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _WORDS: dict[str, WordTokens] = {}
@@ -166,7 +155,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str,
     """Packs whole texts into windows of at most ``capacity`` tokens, one output row per piece.
 
     A document's tokens are its text's ids and then id 1, so a null or empty text is one token.
-    Each input partition is packed by itself, in its order and in spans of about four million
+    Each input partition is packed by itself, in its order and in spans of about two million
     tokens; the last window of a span is as short as what is left. Output: the ``keep`` columns of the piece's
     row (repeated rows and null ids are packed like others) and start, length,
     ids_crc32, doc_tokens, sequence_id, offset, padding. A sequence is padded to ``capacity``, except
@@ -199,7 +188,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str,
             return out
 
         held, tokens, size = [], [], 0
-        for frame in blocks(frames, "_text", 2_000_000):
+        for frame in blocks(frames, "_text", 1_000_000):
             got = [words.text(t) + end for t in frame["_text"]]
             held.append(frame.drop(columns=["_text"]))
             tokens += got
