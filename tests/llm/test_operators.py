@@ -1,6 +1,7 @@
 """The training-data operators on small fixtures: brute force, round trips, and awkward rows."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm import ann, decontaminate, hmm, langid, neardup, packing, pii, quality, sharding, warc
+from graphloom.llm import ann, decontaminate, hmm, langid, neardup, packing, pii, quality, queries, sharding, warc
 from graphloom.llm.common import WORD, scratch
 
 RNG = np.random.default_rng(5)
@@ -329,6 +330,63 @@ def test_tagger_learns_and_redacts(spark):
     assert pii.fit(awkward(spark)) is None
 
 
+def test_other_writing_is_found_and_clean_text_left_alone(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(400):
+        text = words(30, k).split(" ")
+        digits = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        card = next(digits + d for d in "0123456789" if pii.luhn(digits + d))
+        text.insert(int(rng.integers(0, 30)), (f"{words(1, k)}@mail{k}.example.com", ".".join(map(str, rng.integers(1, 255, 4))), f"+1 ({k % 900 + 100}) 555-{1000 + k}", card, str(int(rng.integers(100, 99_999))))[k % 5])
+        rows.append((k, " ".join(text)))
+    model = pii.fit(docs(spark, rows[:300]))
+    held = [pii.disguised(t, pii.base_spans(t), rng) for _, t in rows[300:]]
+    table = docs(spark, [(k, t) for k, (t, _) in enumerate(held)])
+    found = {r.doc_id: r for r in pii.find_pii(table, model).collect()}
+    hit = total = wrong = 0
+    for k, (text, spans) in enumerate(held):
+        got = set(found[k].spans.split(",")) - {""}
+        assert {pii.joined([s]) for s in plain_spans(text)} <= got and found[k].n_spans == len(got)
+        hit += sum(pii.joined([s]) in got for s in spans)
+        total += len(spans)
+        wrong += bool(got) and not spans
+    assert hit / total > 0.7 and wrong <= 1 and sum(r.n_added for r in found.values()) > 0
+
+
+def test_windows_are_reconciled_whatever_comes_first():
+    class Digits:
+        """Tags digits as a phone number where the window holds a plus sign, and as a card otherwise."""
+
+        def decode(self, x):
+            number, plus = (x >= 6) & (x <= 15), (x == 6 + pii.ALPHABET.index("+")).any(axis=0)
+            return np.where(number, np.where(plus, 8, 6), 0).astype(np.uint8)
+
+    base = "a" * 30 + "+" + "b" * 40 + "12 34 56 78 90 12 34" + "c" * 70 + "1234 5678 9012 34" + "d" * 9
+
+    def brute(text):
+        tags = []
+        for p in range(len(text)):
+            starts = [a for a in range(0, p + 1, pii.STEP) if p < a + pii.WINDOW]
+            a = max(starts, key=lambda a: 10**6 if a == 0 and p < pii.WINDOW // 2 else min(p - a, a + pii.WINDOW - 1 - p))
+            own = text[a : a + pii.WINDOW]
+            tags.append(0 if not text[p].isdigit() else 8 if "+" in own else 6)
+        return tags
+
+    held = {}
+    plausible, pii._plausible = pii._plausible, lambda kind, piece: True
+    try:
+        for lead in ("", "x" * 64, "7" + "x" * 127, "+7" + "x" * 126):
+            text = lead + base
+            (found,) = pii.model_spans(Digits(), [text])
+            tags = brute(text)
+            for kind, a, b in found:
+                assert {t for t, c in zip(tags[a:b], text[a:b], strict=True) if c.isdigit()} == {1 + 2 * pii.KINDS.index(kind) + 1}
+            held[lead] = [(k, a - len(lead), b - len(lead)) for k, a, b in found if a >= 128 + 16]
+    finally:
+        pii._plausible = plausible
+    assert held["7" + "x" * 127] == held["+7" + "x" * 126]
+
+
 def test_spans_are_added_without_overlap():
     base = [("ip", 10, 20), ("card", 15, 40)]
     found = [("card", 0, 10), ("card", 5, 12), ("phone", 39, 50), ("phone", 40, 50), ("email", 45, 60)]
@@ -360,6 +418,17 @@ def test_shards_round_trip_and_versions(spark):
         store.append(table)
 
 
+def test_shards_of_one_name_keep_their_rows(spark):
+    rows = docs(spark, [(k, words(12, k)) for k in range(400)]).coalesce(1).withColumn("arrival", F.lit(9)).withColumn("shard", F.lit("own"))
+    for fanout in (100, 4):
+        store = sharding.ShardStore(spark, scratch(spark, "t"), target_bytes=1 << 20, fanout=fanout)
+        found = queries.stored(rows, store).collect()
+        assert Counter(r.doc_id for r in found) == Counter(range(400))
+        assert {r.shard: r.shard_bytes for r in found} == {s.path: s.bytes for s in store.manifest().shards}
+        assert store.read().select("arrival").distinct().collect()[0][0] == 9
+    assert queries.stored(rows.limit(0), sharding.ShardStore(spark, scratch(spark, "t"))).count() == 0
+
+
 def test_empty_store(spark):
     store = sharding.ShardStore(spark, scratch(spark, "t"))
     assert store.read().count() == 0 and store.compact().version == 0
@@ -543,6 +612,22 @@ def test_archives_round_trip(spark):
         want[page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), kind, lead if kind == "revisit" else None] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert {r.payload for r in got if r.page_id == 6} == {html[6]}
+    assert len({r.record_id for r in got}) == len(got)
+    names = {(r.page_id, r.record_id) for r in got}
+    heads = [h for f in spark.read.format("binaryFile").load(out).collect() for h, _ in warc.warc_records(gzip.decompress(f.content)) if h["WARC-Type"] == "revisit"]
+    assert len(heads) == sum(r.record_type == "revisit" for r in got)
+    assert all((int(h["X-Refers-To-Page"]), h["WARC-Refers-To"]) in names and h["WARC-Refers-To-Target-URI"] and h["WARC-Refers-To-Date"] for h in heads)
+
+
+@pytest.mark.parametrize("rows", [[], [(7, "u", "x"), (7, "u", "x")]])
+def test_archives_of_empty_tables_and_partitions(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages = pages.limit(0).union(pages.coalesce(1))  # the first partitions are empty
+    arc, out = scratch(spark, "arc"), scratch(spark, "warc")
+    warc.write_arc(pages, arc)
+    warc.convert(spark, arc, out)
+    got = warc.read_warc(spark, out).collect()
+    assert [(r.page_id, r.record_type) for r in got] == [(7, "response")] * len(rows) and len({r.record_id for r in got}) == len(rows)
 
 
 def test_both_arc_versions_parse():
@@ -557,7 +642,7 @@ def test_both_arc_versions_parse():
 
 def test_revisits_by_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
-    rows = spark.createDataFrame([(k, "u", f"d{k % 3}", 4) for k in range(30)] + [(40, "u", "solo", 4)], "page_id bigint, url string, payload_digest string, payload_bytes bigint")
+    rows = spark.createDataFrame([(k, "u", f"d{k % 3}", 4, f"r{k}", "d") for k in range(30)] + [(40, "u", "solo", 4, "r", "d")], "page_id bigint, url string, payload_digest string, payload_bytes bigint, record_id string, date string")
     got = {r.page_id: r.refers_to for r in warc.mark_revisits(rows).collect()}
     assert got == {k: (None if k < 3 else k % 3) for k in range(30)} | {40: None}
 
