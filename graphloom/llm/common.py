@@ -100,6 +100,16 @@ class Recent(dict):
         return value
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in this Python worker from task to task; what others have kept is let go."""
+    for other in [name for name in _KEPT if name != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
 HASHES = Recent(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), 60_000)
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, mix, rolling, shingles, word_hashes, written
+from graphloom.llm.common import blocks, kept, mix, rolling, shingles, word_hashes, written
 
 WIDTH = 5
 HASHES = 64
@@ -138,6 +138,7 @@ class ItemIndex:
 
 def _finder(items: list[tuple[object, str]], threshold: float, keep: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("decontamination")
         index = ItemIndex([t for _, t in items], threshold)
         for frame in blocks(frames, "_text", 1_000_000):
             words = [word_hashes(t) for t in frame["_text"]]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks
+from graphloom.llm.common import blocks, kept
 
 UNKNOWN = "und"
 PROFILE = 300
@@ -74,6 +74,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count_part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept("language")
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for frame in blocks(frames, "text", _CHARS, _ROWS):
         owner, langs = pd.factorize(frame["lang"])
@@ -103,6 +104,7 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", s
 
 def _scorer(langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("language")
         for frame in blocks(frames, "_read", _CHARS, _ROWS):
             n = len(frame)
             group, gram, count = gram_counts(list(frame["_read"]), np.arange(n))

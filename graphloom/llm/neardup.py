@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, mix, shingles, word_hashes, written
+from graphloom.llm.common import blocks, kept, mix, shingles, word_hashes, written
 
 WIDTH = 5
 BANDS, ROWS = 16, 4
@@ -113,6 +113,7 @@ def _bands(sets: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) ->
 
 
 def _sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept("near duplicates")
     for frame in blocks(frames, "_text", 1_000_000):
         pairs = [np.unique(shingles(word_hashes(t), WIDTH), return_counts=True) for t in frame["_text"]]
         full = [k for k, (x, _) in enumerate(pairs) if len(x)]
@@ -376,7 +377,7 @@ def _rows(rows: DataFrame, named: DataFrame, doc_id: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """The rows of docs that ``near_duplicates`` keeps, one for each class, with all their columns."""
-    kept = near_duplicates(docs, text, doc_id, threshold).where("kept").select(F.col(doc_id).cast("bigint").alias("_id"), F.col("text_key").alias("_text_key")).distinct()
+    leads = near_duplicates(docs, text, doc_id, threshold).where("kept").select(F.col(doc_id).cast("bigint").alias("_id"), F.col("text_key").alias("_text_key")).distinct()
     own = docs.withColumn("_text_key", F.lower(F.hex(_key(text))))
-    rows = own.join(kept, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & (own["_text_key"] == kept["_text_key"]), "left_semi").select(*docs.columns, "_text_key")
+    rows = own.join(leads, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & (own["_text_key"] == leads["_text_key"]), "left_semi").select(*docs.columns, "_text_key")
     return rows.dropDuplicates(["_text_key", doc_id]).select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphloom.llm.common import Recent, blocks
+from graphloom.llm.common import Recent, blocks, kept
 
 CAPACITY = 2048
 END_ID = 1
@@ -58,7 +58,7 @@ class WordTokens:
     <|endoftext|>, which has an id of its own even inside a word), go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 100_000):
+    def __init__(self, path: str, bound: int = 250_000):
         self.pieces, self.words = Recent(self._piece, bound), Recent(self._word, bound)
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -82,14 +82,12 @@ class WordTokens:
         return b"".join(map(self.words.__getitem__, words))
 
 
-_WORDS: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
     """The worker's tokenizer for a vocabulary file."""
-    if path not in _WORDS:
-        _WORDS[path] = WordTokens(path)
-    return _WORDS[path]
+    own = kept("packing")
+    if path not in own:
+        own[path] = WordTokens(path)
+    return own[path]
 
 
 def best_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int) -> np.ndarray:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, first_by_hash, written
+from graphloom.llm.common import blocks, first_by_hash, kept, written
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP = 96, 64
@@ -424,6 +424,7 @@ def find_pii(docs: DataFrame, model: Tagger | None, text: str = "text", keep: tu
         schema = schema.add("redacted", "string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("personal data")
         for frame in blocks(frames, "_text", 1_000_000):
             texts = list(frame["_text"])
             base = [base_spans(t) for t in texts]
