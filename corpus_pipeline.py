@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from graphloom.llm.langid import UNKNOWN, identify, language_profiles
 from graphloom.llm.neardup import deduplicate
 from graphloom.llm.packing import pack
 
+#: Rows in an Arrow batch: texts are long, and a batch is held by Spark and by its Python worker at the same time.
+BATCH_ROWS = 2_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rank orders, similarity components, learned spans and dynamic programming are beyond SQL.
 ORACLE_SQL = None
@@ -53,12 +58,23 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with small Arrow batches set for the session."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", language_stage),
-    ("near-duplicates", dedup_stage),
-    ("decontamination", decontamination_stage),
-    ("personal data", pii_stage),
-    ("packing", packing_stage),
+    ("language", _bounded(language_stage)),
+    ("near-duplicates", _bounded(dedup_stage)),
+    ("decontamination", _bounded(decontamination_stage)),
+    ("personal data", _bounded(pii_stage)),
+    ("packing", _bounded(packing_stage)),
 ]
 
 
