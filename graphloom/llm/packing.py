@@ -35,7 +35,9 @@ SENTENCE_PENALTY = 1.0
 INSIDE_PENALTY = 12.0
 INSIDE_STEP = 16
 #: Tokens that one dynamic program covers at most, unless one document is longer.
-SPAN_TOKENS = 2_000_000
+SPAN_TOKENS = 1_000_000
+#: Words, and as many pieces of words, whose ids a worker remembers, twice as many at most (some 200 bytes each).
+REMEMBERED = 250_000
 _ENDS = ".!?"
 # Fixed value: the pattern by which this vocabulary cuts text into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -58,7 +60,7 @@ class WordTokens:
     <|endoftext|>, which has an id of its own even inside a word), go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = REMEMBERED):
         self.pieces, self.words = Recent(self._piece, bound), Recent(self._word, bound)
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -82,12 +84,12 @@ class WordTokens:
         return b"".join(map(self.words.__getitem__, words))
 
 
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, remembered: int) -> WordTokens:
     """The worker's tokenizer for a vocabulary file."""
     own = kept("packing")
-    if path not in own:
-        own[path] = WordTokens(path)
-    return own[path]
+    if (path, remembered) not in own:
+        own[path, remembered] = WordTokens(path, remembered)
+    return own[path, remembered]
 
 
 def best_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int) -> np.ndarray:
@@ -149,16 +151,16 @@ def pack_tokens(texts: list[bytes], capacity: int, sentence_ids: list[int]) -> p
     return pd.DataFrame({"doc": doc, "start": begins - (ends - lengths)[doc], "length": stops - begins, "ids_crc32": np.array(sums, np.int64), "doc_tokens": lengths[doc], "window": window, "offset": begins - opened})
 
 
-def pack(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """Packs whole texts into windows of at most ``capacity`` tokens, one output row per piece.
 
     A document's tokens are its text's ids and then id 1, so a null or empty text is one token.
-    Each input partition is packed by itself, in its order and in spans of about two million
+    Each input partition is packed by itself, in its order and in spans of about one million
     tokens; the last window of a span is as short as what is left. Output: the ``keep`` columns of the piece's
     row (repeated rows and null ids are packed like others) and start, length,
     ids_crc32, doc_tokens, sequence_id, offset, padding. A sequence is padded to ``capacity``, except
     when its length is a power of two; its id holds the partition in the bits from the 33rd.
-    Other columns take no part. An empty table gives no rows.
+    Other columns take no part. An empty table gives no rows. ``remembered`` trades a worker's memory for time, never results.
     """
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = rows.select(*keep).schema
@@ -166,7 +168,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str,
         schema = schema.add(name, "long")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_tokens(vocabulary)
+        words = word_tokens(vocabulary, remembered)
         end = np.array([END_ID], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 33
         used = 0
