@@ -18,6 +18,8 @@ from graphloom.llm.packing import pack
 
 #: Rows in an Arrow batch: texts are long, and a batch is held by Spark and by its Python worker at the same time.
 BATCH_ROWS = 2_000
+#: Words that a packing worker remembers: fewer than by default, as the executor's heap is full by then.
+REMEMBERED = 50_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rank orders, similarity components, learned spans and dynamic programming are beyond SQL.
 ORACLE_SQL = None
@@ -55,7 +57,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
