@@ -32,6 +32,13 @@ def layer_listing(layers: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, "id").select("layer", "members", "position", F.coalesce("file_path", "name").alias("label"))
 
 
+def layer_listing_rows(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """QRY3 for ``layer_positions``: (layer, members, position, label), without gathering a layer."""
+    sizes = members.groupBy("layer").agg(F.count(F.lit(1)).alias("members"))  # a row for each layer of a fixed table
+    rows = members.join(F.broadcast(sizes), "layer").join(nodes.select("id", F.coalesce("file_path", "name").alias("label")), "id")
+    return rows.select("layer", "members", "position", "label")
+
+
 def file_inventory(nodes: DataFrame) -> DataFrame:
     """QRY4: (path, language, lines, type) of the nodes of files; lines as the summary names them."""
     return nodes.where("file_path is not null").select(F.col("file_path").alias("path"), F.get("tags", F.lit(0)).alias("language"), C.summary_lines(F.col("summary")).alias("lines"), "type")
@@ -60,13 +67,18 @@ def tree(files: DataFrame) -> DataFrame:
     return paths.select((F.size(F.split("path", "/")) - 1).alias("depth"), "path", F.translate("path", "/", "\u0001").alias("sort_key"))
 
 
-def tree_of_graph(edges: DataFrame, nodes: DataFrame, most_depth: int = 64) -> DataFrame:
-    """QRY7 for a loaded graph: (id, depth, label) of all that the roots contain, each at its least depth; a step for each level."""
-    inside = edges.where("type = 'contains'").select("source", "target").persist()
-    level = tree_roots(edges).select("id", F.lit(0).alias("depth"))
-    seen = level
-    for depth in range(1, most_depth + 1):
-        level = level.join(inside, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth")).checkpoint()
+def tree_of_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """QRY7 for a loaded graph: (id, depth, label) of all that the roots contain, each at its least depth; a step for each level, however deep.
+
+    Levels are cut off by checkpoints where the session has a folder for them, else recomputed.
+    """
+    cut = (lambda rows: rows.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda rows: rows.persist())
+    inside = edges.where("type = 'contains'").select("source", "target")
+    seen = level = tree_roots(edges).select("id", F.lit(0).alias("depth"))
+    depth = 0
+    while True:
+        depth += 1
+        level = cut(level.join(inside, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth")))
         if not level.limit(1).count():
             break
         seen = seen.unionByName(level)
@@ -74,9 +86,9 @@ def tree_of_graph(edges: DataFrame, nodes: DataFrame, most_depth: int = 64) -> D
 
 
 def tour_listing(tour: DataFrame, nodes: DataFrame) -> DataFrame:
-    """QRY8: (order, title, position, label) of all ids of all steps; steps without ids have one row without a label."""
+    """QRY8: (order, title, position, label) of all ids of all steps; steps without ids have one row, at position 0, without a label."""
     rows = tour.select("order", "title", F.posexplode_outer("node_ids").alias("position", "id"))
-    return rows.join(nodes.select("id", "file_path"), "id", "left").select("order", "title", "position", F.coalesce("file_path", "id").alias("label"))
+    return rows.join(nodes.select("id", "file_path"), "id", "left").select("order", "title", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("file_path", "id").alias("label"))
 
 
 def valid_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,7 +120,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int = 10) -> DataFrame:
     """QRY10: for each of ``ids`` (id) its first ``most`` links in edge order, outgoing and incoming ones, without loops: (id, rank, total, other, way, type, label)."""
     way = lambda a, b, name: edges.where("source <> target").select(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(name).alias("way"), "type", "ord")
-    links = way("source", "target", "out").unionByName(way("target", "source", "in")).join(F.broadcast(ids), "id", "left_semi")
+    links = way("source", "target", "out").unionByName(way("target", "source", "in")).join(ids, "id", "left_semi")
     totals = links.groupBy("id").agg(F.count(F.lit(1)).alias("total"))
     order = Window.partitionBy("id").orderBy("ord", "way", "other")
     few = links.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

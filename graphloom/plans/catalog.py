@@ -101,8 +101,7 @@ def edge_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layers(spark: SparkSession, d: str) -> DataFrame:
-    found = G.layers(G.directory_nodes(_places(spark, d)))
-    return found.select("id", "name", F.array_join("node_ids", ",").alias("node_ids"))
+    return G.layer_positions(_all_nodes(_docs(spark, d)))
 
 
 def tour_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -118,9 +117,8 @@ def import_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    part = F.concat(F.lit("parts/p_"), F.col("p_partkey").cast("string"), F.lit(".rs"))
-    asked = V.table(spark, d, "part").where("p_size = 1").select(C.node_id(part).alias("id"))
-    return Q.neighbours(*_mixed(spark, d), asked)
+    edges, nodes = _mixed(spark, d)
+    return Q.neighbours(edges, nodes, nodes.select("id"))
 
 
 def search_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +154,7 @@ def _snapshot(operator: Callable[[DataFrame, DataFrame], DataFrame], spark: Spar
 
 
 def batches(spark: SparkSession, d: str) -> DataFrame:
-    return A.batches(_docs(spark, d), A.AnalysisConfig(max_file_lines=40))
+    return A.batches(_docs(spark, d))
 
 
 def alias_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -203,8 +201,8 @@ def tour_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layer_listing(spark: SparkSession, d: str) -> DataFrame:
-    nodes = G.directory_nodes(_places(spark, d))
-    return Q.layer_listing(G.layers(nodes), nodes)
+    nodes = _all_nodes(_docs(spark, d))
+    return Q.layer_listing_rows(G.layer_positions(nodes), nodes)
 
 
 def graph_json(spark: SparkSession, d: str) -> DataFrame:

@@ -159,7 +159,13 @@ def sql() -> dict[str, str]:
         "edge_union": f"{doc_nodes}, {ORDER_IMPORTS} SELECT type, count(*) AS edges, count(DISTINCT source) AS sources FROM (SELECT source, type FROM contains_edges UNION ALL SELECT source, type FROM import_edges) GROUP BY type",
         "layer_membership": f"{doc_nodes} SELECT {LAYER} AS layer, id FROM nodes",
         "layer_summary": f"{doc_nodes} SELECT id, {LAYER_NAME} AS name, nodes FROM (SELECT {LAYER} AS id, count(*) AS nodes FROM nodes GROUP BY 1)",
-        "layers": f"{place_nodes} SELECT id, {LAYER_NAME} AS name, node_ids FROM (SELECT {LAYER} AS id, string_agg(nodes.id, ',' ORDER BY ord) AS node_ids FROM nodes WHERE type = 'module' GROUP BY 1)",
+        "layers": f"{doc_nodes} SELECT {LAYER} AS layer, (row_number() OVER (PARTITION BY {LAYER} ORDER BY ord) - 1)::INT AS position, id FROM nodes",
+        "layer_listing": f"{doc_nodes} SELECT {LAYER} AS layer, count(*) OVER (PARTITION BY {LAYER}) AS members, (row_number() OVER (PARTITION BY {LAYER} ORDER BY ord) - 1)::INT AS position, coalesce(file_path, name) AS label FROM nodes",
+        "tour_listing": f"""{place_nodes}, listed_files AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS k, file_path AS label FROM file_nodes), listed_folders AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS k, id AS label FROM folder_nodes)
+            SELECT 1 AS "order", 'Project Overview' AS title, k::INT AS position, label FROM listed_files WHERE k < 5
+            UNION ALL SELECT 2, 'Directory Structure', k::INT, label FROM listed_folders
+            UNION ALL SELECT 3, 'Configuration Files', k::INT, label FROM listed_files WHERE k < 10
+            UNION ALL SELECT 4, 'Explore Connections', 0, NULL""",
         "tour_steps": f"""{place_nodes}, counts AS (SELECT count(*) FILTER (file_path IS NOT NULL) AS files, count(*) FILTER (file_path IS NULL) AS folders FROM nodes)
             SELECT 1 AS "order", 'Project Overview' AS title, 'This project contains ' || files || ' files organized across ' || folders || ' directories. Start here to understand the high-level structure.' AS description,
                 (SELECT string_agg(id, ',' ORDER BY ord) FROM (SELECT id, ord FROM file_nodes ORDER BY ord LIMIT 5)) AS ids FROM counts
@@ -173,7 +179,7 @@ def sql() -> dict[str, str]:
         "import_list": f"{mixed} SELECT coalesce(s.file_path, s.name, e.source) AS source, coalesce(t.file_path, t.name, e.target) AS target FROM edges e LEFT JOIN known s ON s.id = e.source LEFT JOIN known t ON t.id = e.target WHERE type = 'imports'",
         "tree_roots": f"{doc_nodes} SELECT DISTINCT source AS id FROM contains_edges WHERE source NOT IN (SELECT target FROM contains_edges)",
         "tree_preorder": f"{docs}, {PREFIXES} SELECT len(string_split(path, '/'))::INT - 1 AS depth, path, translate(path, '/', chr(1)) AS sort_key FROM (SELECT parent AS path FROM prefixes UNION SELECT child FROM prefixes)",
-        "neighbours": f"""{mixed}, asked AS (SELECT {_id("'parts/p_' || p_partkey || '.rs'")} AS id FROM part WHERE p_size = 1),
+        "neighbours": f"""{mixed}, asked AS (SELECT id FROM known),
             both_ways AS (SELECT source AS id, target AS other, 'out' AS way, type, ord FROM edges WHERE source <> target UNION ALL SELECT target, source, 'in', type, ord FROM edges WHERE source <> target),
             ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord, way, other) AS rank, count(*) OVER (PARTITION BY id) AS total FROM both_ways WHERE id IN (SELECT id FROM asked))
             SELECT r.id, rank::INT AS rank, total, other, way, type, coalesce(file_path, name, other) AS label FROM ranked r LEFT JOIN known k ON k.id = other WHERE rank <= 10""",
@@ -188,7 +194,7 @@ def sql() -> dict[str, str]:
         "fingerprints": f"WITH raw AS ({DOCS}) SELECT path, sha256(content) AS hash FROM raw",
         "changed_files": f"WITH {_SNAP} SELECT path FROM new LEFT JOIN old USING (path) WHERE old.hash IS NULL OR old.hash <> new.hash",
         "snapshot_status": f"WITH {_SNAP} SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.hash IS NULL THEN 'added' WHEN new.hash IS NULL THEN 'deleted' WHEN old.hash <> new.hash THEN 'modified' ELSE 'unchanged' END AS status FROM old FULL JOIN new ON old.path = new.path",
-        "batches": f"{docs} SELECT (row_number() OVER (ORDER BY path) - 1) // 5 AS batch, path FROM files WHERE size_lines <= 40",
+        "batches": f"{docs} SELECT (row_number() OVER (ORDER BY path) - 1) // 5 AS batch, path FROM files WHERE size_lines <= 2000",
         "project_context": f"{docs} SELECT 'The project has ' || n || ' files and ' || l || ' lines in ' || replace(languages, ',', ', ') || '; its complexity is ' || {LEVEL} || '.' AS context FROM ({stats})",
         "alias_nodes": f"SELECT event_id, {_cases('lower(s)', _NODE_SPELLINGS, 'NULL')} AS type FROM (SELECT event_id, ['fn', 'FUNC', 'mod', 'doc', 'route', 'view', 'click', 'Terraform'][event_id % 8 + 1] AS s FROM events)",
         "alias_edges": f"SELECT event_id, {_cases('lower(s)', _EDGE_SPELLINGS, chr(39) + 'related' + chr(39))} AS type FROM (SELECT event_id, ['calls', 'Invokes', 'extends', 'reads', 'depends', 'BuildsOn', 'x'][event_id % 7 + 1] AS s FROM events)",
