@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import first_by_hash
 
 CENTRES = 16
-BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 1_024
+#: Rows meet BLOCK_QUERIES queries at a time, so they are shuffled once for each block of queries, and queries once for each block of rows.
+BLOCK_ROWS = 8_192
+BLOCK_QUERIES = 16_384
+#: Queries whose tables are in memory at a time.
+TABLE_QUERIES = 512
 
 
 @dataclass(frozen=True)
@@ -104,8 +107,12 @@ def train(sample: np.ndarray, parts: int = 32, parallel: float = 4.0, rounds: in
 
 
 def valid_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part: no null id, no null, empty or zero vector, no null, infinite or NaN component."""
-    v = F.col(vector).cast("array<double>")
+    """(vec_id, v) of the rows that take part: no null id, no null, empty or zero vector, no null, infinite or NaN component.
+
+    Single-precision vectors stay so, as they are shuffled; products are in double precision either way.
+    """
+    single = rows.schema[vector].dataType.simpleString() == "array<float>"
+    v = F.col(vector).cast("array<float>" if single else "array<double>")
     fine = ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
     return rows.select(F.col(key).cast("bigint").alias("vec_id"), v.alias("v")).where("vec_id is not null").where(F.coalesce(fine, F.lit(False)))
 
@@ -114,39 +121,59 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in vectors])
 
 
+def _coded(vectors: DataFrame, book: Codebook) -> DataFrame:
+    """``vectors`` with their codes, one byte for each two subspaces; vectors of another width have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            codes = np.full(len(frame), None, object)
+            fits = np.flatnonzero([book.width - len(v) in range(book.centres.shape[2]) for v in frame["v"]])
+            if len(fits):
+                four_bits = book.encode(_matrix(frame["v"].iloc[fits]))
+                if four_bits.shape[1] % 2:
+                    four_bits = np.pad(four_bits, ((0, 0), (0, 1)))
+                codes[fits] = [row.tobytes() for row in four_bits[:, 0::2] * 16 + four_bits[:, 1::2]]
+            yield frame.assign(code=codes)
+
+    kind = vectors.schema["v"].dataType.simpleString()
+    return vectors.mapInPandas(run, f"vec_id bigint, v {kind}, code binary")
+
+
 class _Block:
-    """The distinct vectors of a block of rows, coded, with the ids of each in ascending order."""
+    """The distinct vectors of a block of rows with their codes, and the ids of each in ascending order."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, book: Codebook):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: pd.Series):
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], np.ascontiguousarray(x[order]) + 0.0  # -0.0 becomes 0.0
         _, first, group = np.unique(x.view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
         self.x = x[first]
         by = np.argsort(group, kind="stable")
         self.ids, self.start = ids[by], np.searchsorted(group[by], np.arange(len(first) + 1))
-        codes = book.encode(self.x)
-        if codes.shape[1] % 2:
-            codes = np.pad(codes, ((0, 0), (0, 1)))
-        self.pairs = np.ascontiguousarray((codes[:, 0::2] * 16 + codes[:, 1::2]).T)
+        codes = codes.to_numpy()[order][first]
+        self.pairs = None if codes[0] is None else np.ascontiguousarray(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1).T)
+
+    def near(self, queries: np.ndarray, book: Codebook, rerank: int) -> Iterator[np.ndarray]:
+        """For each query the places of the ``rerank`` vectors that the tables put first, and of all that tie with the last; without codes all places."""
+        n = len(self.x)
+        if self.pairs is None or n <= rerank:
+            yield from (np.arange(n) for _ in queries)
+            return
+        for at in range(0, len(queries), TABLE_QUERIES):
+            tables = book.tables(queries[at : at + TABLE_QUERIES])
+            if tables.shape[1] % 2:
+                tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
+            # Two four-bit tables side by side make one of 256 entries.
+            tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(tables), -1, 256)
+            for table in tables:
+                rough = table[0][self.pairs[0]]
+                for s in range(1, len(self.pairs)):
+                    rough += table[s][self.pairs[s]]
+                yield np.flatnonzero(rough >= np.partition(rough, n - rerank)[n - rerank])
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, book: Codebook, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its at most k best rows here: (query id, row ids, exact scores)."""
-        tables = book.tables(queries)
-        if tables.shape[1] % 2:
-            tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
-        # Two four-bit tables side by side make one of 256 entries.
-        tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(queries), -1, 256)
-        n = len(self.x)
-        for q in range(len(queries)):
-            rough = tables[q, 0][self.pairs[0]]
-            for s in range(1, len(self.pairs)):
-                rough += tables[q, s][self.pairs[s]]
-            if n > rerank:
-                least = np.partition(rough, n - rerank)[n - rerank]
-                near = np.flatnonzero(rough >= least)
-            else:
-                near = np.arange(n)
-            exact = (self.x[near] * queries[q]).sum(axis=1)
+        for query, vector, near in zip(query_ids, queries, self.near(queries, book, rerank)):
+            exact = (self.x[near] * vector).sum(axis=1)
             order = np.argsort(-exact, kind="stable")
             # Rows of as many distinct vectors as could hold the k best, ties included.
             near, exact = near[order], exact[order]
@@ -156,10 +183,10 @@ class _Block:
             ids = [self.ids[self.start[g] : min(self.start[g + 1], self.start[g] + k + 1)] for g in near]
             scores = np.repeat(exact, [len(i) for i in ids])
             ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
-            other = ids != query_ids[q]
+            other = ids != query
             ids, scores = ids[other], scores[other]
             best = np.lexsort((ids, -scores))[:k]
-            yield query_ids[q], ids[best], scores[best]
+            yield query, ids[best], scores[best]
 
 
 def fit(vectors: DataFrame, sample_rows: int = 20_000, parts: int = 32, parallel: float = 4.0) -> Codebook | None:
@@ -176,7 +203,7 @@ def search(vectors: DataFrame, queries: DataFrame, book: Codebook, k: int = 20,
     """Each query's k best rows by exact inner product: query_id, rank (from 1), vec_id, score.
 
     ``vectors`` and ``queries``: (vec_id, v) of ``valid_vectors``. Rows and queries meet in
-    blocks, each pair of blocks a task's group of bounded size; in it the four-bit tables
+    blocks, each pair of blocks a task's group of bounded size; rows are coded once, before that. In a pair of blocks the four-bit tables
     choose ``rerank`` distinct vectors (and all that tie with the last) for each query, whose exact products
     decide. So the number of reranked candidates grows with the blocks. A query is never its own candidate; ties
     go to the smaller id; fewer candidates than k give fewer rows. Vectors of other widths than
@@ -188,23 +215,22 @@ def search(vectors: DataFrame, queries: DataFrame, book: Codebook, k: int = 20,
     row_blocks, query_blocks = -(-rows_n // block_rows) or 1, -(-queries_n // block_queries) or 1
     place = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("vec_id", "v", place(row_blocks).alias("row_block"), F.lit(False).alias("query")).withColumn("query_block", every(query_blocks))
-    right = queries.dropDuplicates(["vec_id"]).select("vec_id", "v", F.lit(True).alias("query"), place(query_blocks).alias("query_block")).withColumn("row_block", every(row_blocks))
-    both = left.unionByName(right)
+    left = _coded(vectors.select("vec_id", "v"), book).select("vec_id", "v", "code", place(row_blocks).alias("row_block"), F.lit(False).alias("query")).withColumn("query_block", every(query_blocks))
+    asked = queries.dropDuplicates(["vec_id"]).select("vec_id", "v", F.lit(None).cast("binary").alias("code"), F.lit(True).alias("query"), place(query_blocks).alias("query_block"))
+    both = left.unionByName(asked.withColumn("row_block", every(row_blocks)))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, own in frame.groupby(frame["v"].map(len)):
-            theirs, asked = own[~own["query"]], own[own["query"]]
-            if not len(theirs) or not len(asked):
+            theirs, mine = own[~own["query"]], own[own["query"]]
+            if not len(theirs) or not len(mine):
                 continue
-            x, q = _matrix(theirs["v"]), _matrix(asked["v"])
-            fitting = book if book.width - x.shape[1] in range(book.centres.shape[2]) else Codebook(np.zeros((1, CENTRES, x.shape[1]), np.float32), 1.0)
-            block = _Block(theirs["vec_id"].to_numpy(np.int64), x, fitting)
-            depth = rerank if fitting is book else len(x)
-            for query, ids, scores in block.search(asked["vec_id"].to_numpy(np.int64), q, fitting, k, depth):
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": scores}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            block = _Block(theirs["vec_id"].to_numpy(np.int64), _matrix(theirs["v"]), theirs["code"])
+            out += block.search(mine["vec_id"].to_numpy(np.int64), _matrix(mine["v"]), book, k, rerank)
+        if not out:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        query, ids, scores = zip(*out)
+        return pd.DataFrame({"query_id": np.repeat(query, [len(i) for i in ids]), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     found = both.groupBy("row_block", "query_block").applyInPandas(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -589,6 +589,20 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert found[found.query_id == 9020].vec_id.tolist() == [9004]
 
 
+def test_neighbours_of_single_precision_and_no_vectors(spark):
+    x = np.random.default_rng(6).standard_normal((300, 9)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    vectors = ann.valid_vectors(table, "vec_id", "embedding")
+    book = ann.fit(vectors, parts=3)
+    found = ann.search(vectors, vectors.where("vec_id < 7"), book, k=5, rerank=60, block_rows=100, block_queries=3).toPandas()
+    assert len(found) == 35
+    exact = x.astype(np.float64) @ x[:7].astype(np.float64).T
+    assert found.score.tolist() == pytest.approx([exact[v, q] for q, v in zip(found.query_id, found.vec_id)], abs=1e-12)
+    assert sum(len({*rows.vec_id} & {*sorted({*range(300)} - {q}, key=lambda v: -exact[v, q])[:5]}) for q, rows in found.groupby("query_id")) > 31
+    assert ann.search(vectors.limit(0), vectors, book).count() == ann.search(vectors, vectors.limit(0), book).count() == 0
+    assert ann.fit(vectors.limit(0)) is None
+
+
 # --- archives ---
 
 
