@@ -138,20 +138,20 @@ class Tagger:
         """Hidden states (time, batch, hidden) of one direction, and what the backward pass needs."""
         p, n = self.p, x.shape[1]
         table = p["embed"] @ p[f"w{d}"] + p[f"b{d}"]
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        out, held = np.empty((len(x), n, HIDDEN), np.float32), []
+        h, c = np.zeros((n, HIDDEN), table.dtype), np.zeros((n, HIDDEN), table.dtype)
+        out, held = np.empty((len(x), n, HIDDEN), table.dtype), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             z = table[x[t]] + h @ p[f"u{d}"]
             gates = _sigmoid(z[:, : 3 * HIDDEN])
             i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
-            before = (h, c)
+            before = c
             c = f * c + i * g
             tc = np.tanh(c)
             h = o * tc
             out[t] = h
             if keep:
-                held.append((t, i, f, o, g, tc, *before))
+                held.append((t, i, f, o, g, tc, before))
         return out, held
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
@@ -182,48 +182,47 @@ class Tagger:
         hidden = np.concatenate([held[d][0] for d in "fb"], axis=2)
         e = (hidden @ p["out"] + p["out_b"]).astype(np.float64)
         move, rows = p["move"].astype(np.float64), np.arange(n)
-        # Forward and backward sums in logs.
-        a = np.empty((steps, n, TAGS))
-        a[0] = e[0] + p["start"]
-        for t in range(1, steps):
-            s = a[t - 1][:, :, None] + move
-            top = s.max(axis=1)
-            a[t] = np.log(np.exp(s - top[:, None]).sum(axis=1)) + top + e[t]
-        top = a[-1].max(axis=1)
-        whole = np.log(np.exp(a[-1] - top[:, None]).sum(axis=1)) + top
-        gold = e[0][rows, y[0]] + p["start"][y[0]]
-        for t in range(1, steps):
-            gold = gold + e[t][rows, y[t]] + move[y[t - 1], y[t]]
-        g = {k: np.zeros(v.shape) for k, v in p.items()}
-        ge = np.empty_like(e)
-        b = np.zeros((n, TAGS))
-        for t in range(steps - 1, -1, -1):
-            ge[t] = np.exp(a[t] + b - whole[:, None])
-            if t:
-                s = move + (e[t] + b)[:, None, :]
-                g["move"] += np.exp(a[t - 1][:, :, None] + s - whole[:, None, None]).sum(axis=0)
-                np.subtract.at(g["move"], (y[t - 1], y[t]), 1.0)
-                peak = s.max(axis=2)
-                b = np.log(np.exp(s - peak[:, :, None]).sum(axis=2)) + peak
-            ge[t][rows, y[t]] -= 1.0
-        g["start"] = ge[0].sum(axis=0)
-        g["out"] = np.einsum("tnh,tnk->hk", hidden, ge, optimize=True)
-        g["out_b"] = ge.sum(axis=(0, 1))
-        gh = ge @ p["out"].T.astype(np.float64)
+        # Scaled forward and backward sums: ``a`` adds up to 1 at each time, and so does ``a`` times ``b``.
+        peak, most = e.max(axis=2), move.max()
+        likely, step = np.exp(e - peak[:, :, None]), np.exp(move - most)
+        a, b, scale = np.empty_like(e), np.ones_like(e), np.empty((steps, n))
+        for t in range(steps):
+            a[t] = likely[t] * (a[t - 1] @ step if t else np.exp(p["start"].astype(np.float64)))
+            scale[t] = a[t].sum(axis=1)
+            a[t] /= scale[t][:, None]
+        ahead = likely / scale[:, :, None]
+        for t in range(steps - 1, 0, -1):
+            ahead[t] *= b[t]
+            b[t - 1] = ahead[t] @ step.T
+        whole = (np.log(scale) + peak).sum(axis=0) + (steps - 1) * most
+        gold = e[np.arange(steps)[:, None], rows, y].sum(axis=0) + p["start"][y[0]] + move[y[:-1], y[1:]].sum(axis=0)
+        pairs = np.bincount((y[:-1].astype(np.int64) * TAGS + y[1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
+        g = {"move": a[:-1].reshape(-1, TAGS).T @ ahead[1:].reshape(-1, TAGS) * step - pairs}
+        ge = a * b
+        ge[np.arange(steps)[:, None], rows, y] -= 1.0
+        g["start"], g["out_b"] = ge[0].sum(axis=0), ge.sum(axis=(0, 1))
+        g["out"] = hidden.reshape(-1, 2 * HIDDEN).T @ ge.reshape(-1, TAGS)
+        gh = ge.astype(hidden.dtype) @ p["out"].T
+        of_class = (x.ravel() == np.arange(CLASSES)[:, None]).astype(hidden.dtype)
+        g["embed"] = np.zeros(p["embed"].shape)
         for k, d in enumerate("fb"):
-            gz = np.empty((steps, n, 4 * HIDDEN), np.float32)
-            carry_h, carry_c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-            gu = np.zeros_like(p[f"u{d}"], dtype=np.float64)
-            for t, i, f, o, c_in, tc, h, c in reversed(held[d][1]):
+            out, kept_steps = held[d]
+            gz = np.empty((steps, n, 4 * HIDDEN), out.dtype)
+            carry_h = carry_c = np.zeros((n, HIDDEN), out.dtype)
+            back = np.ascontiguousarray(p[f"u{d}"].T)
+            for t, i, f, o, c_in, tc, c in reversed(kept_steps):
                 dh = gh[t][:, k * HIDDEN : (k + 1) * HIDDEN] + carry_h
                 dc = dh * o * (1 - tc * tc) + carry_c
-                z = np.concatenate([dc * c_in * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - c_in * c_in)], axis=1)
-                carry_h, carry_c = z @ p[f"u{d}"].T, dc * f
-                gu += h.T @ z
-                gz[t] = z
-            g[f"u{d}"], g[f"b{d}"] = gu, gz.sum(axis=(0, 1))
-            by_class = np.zeros((CLASSES, 4 * HIDDEN))
-            np.add.at(by_class, x.ravel(), gz.reshape(-1, 4 * HIDDEN))
+                gz[t] = np.concatenate([dc * c_in * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - c_in * c_in)], axis=1)
+                carry_h, carry_c = gz[t] @ back, dc * f
+            before = np.zeros_like(out)
+            if d == "f":
+                before[1:] = out[:-1]
+            else:
+                before[:-1] = out[1:]
+            flat = gz.reshape(-1, 4 * HIDDEN)
+            g[f"u{d}"], g[f"b{d}"] = before.reshape(-1, HIDDEN).T @ flat, flat.sum(axis=0)
+            by_class = of_class @ flat
             g[f"w{d}"] = p["embed"].T @ by_class
             g["embed"] += by_class @ p[f"w{d}"].T
         return float((whole - gold).mean()), {k: v / n for k, v in g.items()}
