@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
@@ -62,12 +62,26 @@ def file_prompts(files: DataFrame, contents: DataFrame, config: AnalysisConfig =
     return grouped.select("batch", F.array_join(F.transform("ps", lambda x: x["p"]), "\n").alias("prompt"))
 
 
-def ask(prompts: DataFrame, dispatch: Dispatcher, path: str, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def graph_prompts(agent: str, context: DataFrame, nodes: DataFrame, edges: DataFrame, lines: int = 500) -> DataFrame:
+    """LLM6-8: (batch, prompt): the whole graph for an agent, its nodes in order and then its edges, ``lines`` of them in a prompt.
+
+    A graph of up to ``lines`` nodes and edges is one prompt; a graph without any gives none.
+    """
+    node = F.to_json(F.struct("id", "type", "name", "file_path", "summary", "tags", "complexity"))
+    edge = F.to_json(F.struct("source", "target", "type", "direction"))
+    shown = nodes.select(F.lit(0).alias("part"), "ord", node.alias("line")).unionByName(edges.select(F.lit(1).alias("part"), "ord", edge.alias("line")))
+    rows = numbered(shown, "part", "ord", "line").withColumn("batch", F.floor((F.col("n") - 1) / lines).cast("bigint"))
+    grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"))
+    text = F.concat_ws("\n", F.lit(_AGENT_PROMPTS[agent].rstrip()), "context", F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    return grouped.join(F.broadcast(context)).select("batch", text.alias("prompt"))
+
+
+def ask(prompts: DataFrame, dispatch: Dispatcher, path: str, config: AnalysisConfig = AnalysisConfig(), agent: str = "file-analyzer") -> DataFrame:
     """(batch, response) of all prompts, by ``max_concurrent`` tasks at a time, written to ``path`` so that no prompt is asked again."""
 
     def run(frames):
         for frame in frames:
-            frame["response"] = [dispatch("file-analyzer", p) for p in frame["prompt"]]
+            frame["response"] = [dispatch(agent, p) for p in frame["prompt"]]
             yield frame[["batch", "response"]]
 
     answers = prompts.repartition(max(1, config.max_concurrent)).mapInPandas(run, "batch bigint, response string")
@@ -221,38 +235,59 @@ def _fallback_steps(whole: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def merged_layers(answers: DataFrame) -> DataFrame:
+    """The layers of ``answer_layers`` over all batches: one row for each layer id, named as where it comes first, with the distinct node ids of all."""
+    rows = answers.select("batch", F.posexplode("layers").alias("pos", "x"))
+    place = F.struct("batch", "pos")
+    ids = F.array_sort(F.collect_list(F.struct("batch", "pos", "x.node_ids")))
+    one = rows.groupBy("x.id").agg(F.min(place).alias("first"), F.min_by("x", place).alias("x"), F.array_distinct(F.flatten(F.transform(ids, lambda i: i["node_ids"]))).alias("node_ids"))
+    return one.orderBy("first").select("id", "x.name", "x.description", "node_ids")
+
+
+def merged_tour(answers: DataFrame) -> DataFrame:
+    """The steps of ``answer_tour`` over all batches, numbered from 1 by batch and then by their own numbers."""
+    rows = answers.select("batch", F.posexplode("tour").alias("pos", "x")).select("batch", "pos", F.col("x.order").alias("own"), "x.title", "x.description", "x.node_ids", "x.language_lesson")
+    at = numbered(rows, "batch", "own", "pos")
+    return at.select(F.col("n").cast("int").alias("order"), "title", "description", "node_ids", "language_lesson")
+
+
 def review_findings(responses: DataFrame) -> DataFrame:
-    """LLM23: (message) of the errors in a reviewer's answers; they never change the graph."""
-    kind = "struct<issues: array<struct<severity: string, message: string>>>"
-    rows = responses.select(F.explode(F.from_json(C.extract_json(F.col("response")), kind)["issues"]).alias("i"))
-    return rows.where("i.severity = 'error'").select("i.message")
+    """LLM23: (kind, message) of the errors and improvements in a reviewer's answers; they never change the graph."""
+    parts = "struct<issues: array<struct<severity: string, message: string>>, improvements: array<string>>"
+    rows = responses.select(F.from_json(C.extract_json(F.col("response")), parts).alias("r"))
+    issues = rows.select(F.explode("r.issues").alias("i")).where("i.severity = 'error'").select(F.lit("error").alias("kind"), "i.message")
+    better = rows.select(F.lit("improvement").alias("kind"), F.explode("r.improvements").alias("message"))
+    return issues.unionByName(better).where("message is not null")
 
 
 def build_with_model(files: DataFrame, contents: DataFrame, name: str, dispatch: Dispatcher, folder: str, config: AnalysisConfig, analyzed_at: str | None = None, commit: str = "unknown") -> G.Graph:
     """LLM9, LLM18: the graph that a model describes; files it left out get nodes, and missing layers or tour are made by rule.
 
-    The answers are kept below ``folder``. Repeated node ids keep their first node. Raises if model analysis is not enabled.
+    The answers are kept below ``folder``. Repeated node ids keep their first node. A review of the finished graph is in its findings;
+    one that fails is left out. Raises if model analysis is not enabled.
     """
     if not config.use_llm_analysis:
         raise ValueError("model analysis is not enabled")
-    spark: SparkSession = files.sparkSession
     items = answer_items(ask(file_prompts(files, contents, config), dispatch, f"{folder}/answers", config))
     answered = answer_nodes(items)
     first = answered.groupBy("id").agg(F.min("ord").alias("ord"))
     nodes = ensure_file_nodes(files, answered.join(first, ["id", "ord"], "left_semi").select(*answered.columns), answered.count())
     edges = answer_edges(items)
     project = G.project_row(files, name, analyzed_at, commit, "%s: LLM-analyzed project with %d files across %d languages. Complexity: %s.")
-    asked = {a: spark.createDataFrame([(dispatch(a, p + summary(nodes, edges)),)], "response string") for a, p in _AGENT_PROMPTS.items() if a != "graph-reviewer"}
-    found = answer_layers(asked["architecture-analyzer"]).where("layers is not null")
-    layers = found.select(F.explode("layers").alias("x")).select("x.*") if found.count() else fallback_layers(nodes)
-    steps = answer_tour(asked["tour-builder"]).where("tour is not null")
-    tour = steps.select(F.explode("tour").alias("x")).select("x.*") if steps.count() else fallback_tour(nodes)
-    return G.Graph(project, nodes, edges, layers, tour, kind="llm-analyzed-codebase")
-
-
-def summary(nodes: DataFrame, edges: DataFrame, most: int = 500) -> str:
-    """LLM6-8: what a prompt about a whole graph shows of it: the counts of its types and its first nodes."""
-    kinds = nodes.groupBy("type").count().orderBy("type").collect()
-    links = edges.groupBy("type").count().orderBy("type").collect()
-    first = nodes.orderBy("ord").limit(most).select("id", "type", "name", "file_path").toJSON().collect()
-    return "\n".join([*[f"{r['type']} nodes: {r['count']}" for r in kinds], *[f"{r['type']} edges: {r['count']}" for r in links], *first])
+    context = project_context(project_stats(files))
+
+    def asked(agent: str, dispatch: Dispatcher) -> DataFrame:
+        return ask(graph_prompts(agent, context, nodes, edges), dispatch, f"{folder}/{agent}", config, agent)
+
+    def review(agent: str, prompt: str) -> str:
+        try:
+            return dispatch(agent, prompt)
+        except Exception:  # noqa: BLE001 - whatever a host's dispatcher raises, the graph doesn't depend on its review
+            return ""
+
+    found = answer_layers(asked("architecture-analyzer", dispatch)).where("layers is not null")
+    layers = merged_layers(found) if found.count() else fallback_layers(nodes)
+    steps = answer_tour(asked("tour-builder", dispatch)).where("tour is not null")
+    tour = merged_tour(steps) if steps.count() else fallback_tour(nodes)
+    findings = review_findings(asked("graph-reviewer", review))
+    return G.Graph(project, nodes, edges, layers, tour, kind="llm-analyzed-codebase", findings=findings)

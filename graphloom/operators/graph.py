@@ -30,7 +30,7 @@ TOUR_LAST_LESSON = "Imports edges show module dependencies. Contains edges show
 
 @dataclass(frozen=True)
 class Graph:
-    """A finished graph. nodes and edges carry ``ord``, which orders them and isn't exported."""
+    """A finished graph. nodes and edges carry ``ord``, which orders them and isn't exported; nor are a model's findings (kind, message)."""
 
     project: DataFrame
     nodes: DataFrame
@@ -39,6 +39,7 @@ class Graph:
     tour: DataFrame
     version: str = VERSION
     kind: str | None = "codebase"
+    findings: DataFrame | None = None
 
 
 @dataclass(frozen=True)

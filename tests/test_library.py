@@ -296,6 +296,9 @@ def test_model_build(spark, inventory, tmp_path):
     def dispatch(agent, prompt):
         if agent == "file-analyzer":
             return 'Sure:\n```json\n{"nodes": [{"id": "f1", "type": "fn", "name": "calc", "file_path": "src/main.rs", "line_range": [10, 25], "tags": ["math", 3]}, {}], "edges": [{"source": "f1", "target": "f2", "type": "invokes"}]}\n```'
+        if agent == "graph-reviewer":
+            assert '"id":"f1"' in prompt and '"source":"f1"' in prompt
+            return '{"issues": [{"severity": "error", "message": "no tests"}, {"severity": "warning", "message": "w"}], "improvements": ["name node-2"]}'
         return "no JSON here" if agent == "tour-builder" else '[{"id": "core", "name": "Core", "node_ids": ["f1"]}]'
 
     with pytest.raises(ValueError, match="not enabled"):
@@ -307,6 +310,20 @@ def test_model_build(spark, inventory, tmp_path):
     assert [(r.type, r.weight) for r in made.edges.collect()] == [("calls", 0.5)]
     assert [r.id for r in made.layers.collect()] == ["core"]
     assert [r.title for r in made.tour.orderBy("order").collect()] == ["Project Overview", "Key Files"]
+    assert {tuple(r) for r in made.findings.collect()} == {("error", "no tests"), ("improvement", "name node-2")}
+
+
+def test_prompts_show_the_whole_graph_and_their_answers_are_merged(spark):
+    files = N.inventory(spark.createDataFrame([(f"src/f{k}.rs", "fn a() {}\n") for k in range(7)], "path string, content string"))
+    nodes, edges = G.file_nodes(files), G.contains_edges(files)
+    prompts = A.graph_prompts("tour-builder", A.project_context(N.project_stats(files)), nodes, edges, lines=4).orderBy("batch").collect()
+    shown = [line for r in prompts for line in r.prompt.split("\n")[2:]]
+    assert [r.batch for r in prompts] == [0, 1, 2, 3] and len(shown) == nodes.count() + edges.count() == 14
+    assert all(sum(f'"id":"{r.id}"' in line for line in shown) == 1 for r in nodes.collect())
+    layers = A.answer_layers(spark.createDataFrame([(1, '[{"id": "a", "name": "Late", "node_ids": ["z", "x"]}, {"id": "b", "name": "B"}]'), (0, '[{"id": "a", "name": "A", "node_ids": ["x", "y"]}]')], "batch bigint, response string"))
+    assert [(r.id, r.name, r.node_ids) for r in A.merged_layers(layers).collect()] == [("a", "A", ["x", "y", "z"]), ("b", "B", [])]
+    tours = A.answer_tour(spark.createDataFrame([(1, '[{"order": 1, "title": "c"}]'), (0, '[{"order": 2, "title": "b"}, {"order": 1, "title": "a"}]')], "batch bigint, response string"))
+    assert [(r.order, r.title) for r in A.merged_tour(tours).orderBy("order").collect()] == [(1, "a"), (2, "b"), (3, "c")]
 
 
 def test_answers_that_are_wrong(spark):
