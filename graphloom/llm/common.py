@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import tempfile
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,15 +101,23 @@ class Recent(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 _KEPT: dict[str, dict] = {}
 
 
 def kept(owner: str) -> dict:
     """What an operator keeps in this Python worker from task to task; what others have kept is let go."""
-    for other in [name for name in _KEPT if name != owner]:
-        del _KEPT[other]
-    return _KEPT.setdefault(owner, {})
+    if owner not in _KEPT:
+        _KEPT.clear()
+        HASHES.forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
 
 
 HASHES = Recent(lambda word: xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), 60_000)
