@@ -145,3 +145,35 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the shingles; a shorter text is one shingle, an empty one has none."""
     return rolling(words, min(width, len(words))) if len(words) else np.empty(0, np.uint64)
+
+
+def free_name(name: str, *taken: str) -> str:
+    """``name``, or the same with as many underscores behind it as it takes to differ from all others."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
+def text_batches(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most ``size`` bytes of text each, and their texts in UTF-8, the last column; nulls are empty.
+
+    A longer text forms a slice by itself.
+    """
+    for batch in batches:
+        texts = batch.column(column).cast(pa.binary()).to_pylist()
+        rest = batch.drop_columns([column])
+        total, first = 0, 0
+        for i, text in enumerate(texts):
+            n = len(text) if text else 0
+            if i > first and total + n > size:
+                yield rest.slice(first, i - first), [t or b"" for t in texts[first:i]]
+                total, first = 0, i
+            total += n
+        if texts:
+            yield rest.slice(first), [t or b"" for t in texts[first:]]
+
+
+def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """The batch with more columns behind its own."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])

@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, hmm, pii, warc
+from graphloom.llm import ann, bpe, hmm, pii, vectorcode, warc
 from graphloom.llm.common import id_hash, scratch
 from graphloom.llm.decontaminate import contaminated
 from graphloom.llm.langid import identify, language_profiles
 from graphloom.llm.neardup import near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.quality import fit_quality, score_quality
+from graphloom.llm.runs import periodic_runs
 from graphloom.llm.sharding import ShardStore
 
 
@@ -111,6 +112,47 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.withColumn("held_out", held_out), profiles, keep=("doc_id", "held_out"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of all whole vectors, four parts with 256 entries each after four rounds."""
+    return vectorcode.encode(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents and the bytes that they decode to, as digests."""
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, pattern)
+    decoded = bpe.decode(encoded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens")), vocabulary, pattern, keep=("doc_id", "ids", "n_tokens"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """documents in which the words of every tenth text, by its id's hash, repeat from some word on."""
+    h = id_hash()
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    g, n = F.floor(h / 10).cast("bigint"), F.size("_words").cast("bigint")
+    docs = docs.select("doc_id", "text", words.alias("_words"), g.alias("_g"))
+    docs = docs.select("*", F.when(n > 0, F.col("_g") % n).alias("_a"))
+    period = 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))
+    docs = docs.select("*", period.cast("int").alias("_p"), F.col("_a").cast("int").alias("_from"))
+    again = F.array_repeat(F.slice("_words", F.col("_from") + 1, F.col("_p")), F.ceil((n - F.col("_a")) / F.col("_p")).cast("int"))
+    whole = F.slice(F.concat(F.slice("_words", F.lit(1), F.col("_from")), F.flatten(again)), F.lit(1), n.cast("int"))
+    return docs.select("doc_id", F.when(F.col("_a").isNull(), F.col("text")).otherwise(F.array_join(whole, " ")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of all documents, with repetitions planted in a tenth of them, as counts and digests."""
+    found = periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda held, r: F.when(better(held, r), r).otherwise(held))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    rows = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("_best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    top = [F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")]
+    return rows.select("doc_id", "n_runs", *top, F.expr("_best.length * 1000 div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neardup": op1_neardup,
@@ -123,6 +165,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ann": op8_ann,
         "op9_warc": op9_warc,
         "op10_language": op10_language,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_runs": op13_runs,
     }
 
 
