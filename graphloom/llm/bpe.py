@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from graphloom.llm.common import Recent, free_name, kept, text_batches, with_columns
+from graphloom.llm.common import free_name, kept, text_batches, with_columns
 
-#: Pre-tokens whose ids a worker remembers, twice as many at most; longer ones than LONGEST are not.
-REMEMBERED = 100_000
-LONGEST = 64
+#: Pre-tokens whose ids a worker remembers from one slice to the next.
+REMEMBERED = 200_000
 BLOCK_BYTES = 1 << 20
 #: Characters of a text that are cut into pre-tokens at a time.
 SLICE = 1 << 18
@@ -101,15 +100,20 @@ class Codec:
         self.rank_of = np.array(own, "<i4")
         self.bytes_of = {rank: to_bytes(self.model.IdToPiece(k)) for k, rank in enumerate(own)}
         self.cut = regex.compile(self.pattern)
-        self.recent = Recent(self.piece, REMEMBERED)
-
-    def piece(self, pre_token: str) -> bytes:
-        """The ids of a pre-token, as 32-bit little-endian bytes. A pre-token that is a token is that token, whatever joins lead to it."""
-        data = pre_token.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return struct.pack("<i", whole)
-        return self.rank_of[self.model.EncodeAsIds(to_letters(data))].tobytes()
+        self.recent: dict[str, bytes] = {}
+
+    def learn(self, pre_tokens: set[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens, as 32-bit little-endian bytes. A pre-token that is a token is that token, whatever joins lead to it."""
+        data = {p: p.encode("utf-8", "surrogatepass") for p in pre_tokens}
+        made = {p: struct.pack("<i", self.ranks[d]) for p, d in data.items() if d in self.ranks}
+        rest = [p for p in data if p not in made]
+        encoded = self.model.Encode([to_letters(data[p]) for p in rest], num_threads=1)
+        flat = self.rank_of[[k for ids in encoded for k in ids]].tobytes()
+        at = 0
+        for p, ids in zip(rest, encoded, strict=True):
+            made[p] = flat[at : at + 4 * len(ids)]
+            at += 4 * len(ids)
+        return made
 
     def slices(self, text: str) -> Iterator[str]:
         """Parts of a text between which pre-tokens end: no pre-token goes on from another character into white space."""
@@ -126,10 +130,31 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, as 32-bit little-endian bytes."""
-        out = []
-        for part in self.slices(text):
-            out += [self.recent[p] if len(p) <= LONGEST else self.piece(p) for p in self.cut.findall(part)]
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Pre-tokens that are not remembered go to the model together, for all texts of a slice's length at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for part in self.slices(text):
+                group.append((k, self.cut.findall(part)))
+                size += len(part)
+                if size >= SLICE:
+                    self._look_up(group, out)
+                    group, size = [], 0
+        self._look_up(group, out)
+        return [b"".join(parts) for parts in out]
+
+    def _look_up(self, group: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        if len(self.recent) > REMEMBERED:
+            self.recent.clear()
+        new = {p for _, found in group for p in found if p not in self.recent}
+        if new:
+            self.recent |= self.learn(new)
+        for k, found in group:
+            out[k] += map(self.recent.__getitem__, found)
 
     def decode(self, ids: Iterable[int]) -> bytes | None:
         """The bytes of all ids; None if there is an id that the vocabulary lacks."""
@@ -162,7 +187,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(vocabulary, pattern)
         for batch, texts in text_batches(batches, own, BLOCK_BYTES):
-            data = [made.encode(t.decode()) for t in texts]
+            data = made.encode_all([t.decode() for t in texts])
             stops = np.cumsum([0, *(len(d) // 4 for d in data)])
             ids = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4")))
             yield with_columns(batch, ids=ids)
