@@ -93,7 +93,11 @@ def file_nodes(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
 
 def directory_nodes(files: DataFrame) -> DataFrame:
     """GRF8: one module node for each folder above a file."""
-    folders = files.select(F.explode(C.ancestors(F.col("path"))).alias("p")).distinct()
+    return folder_nodes(files.select(F.explode(C.ancestors(F.col("path"))).alias("p")).distinct())
+
+
+def folder_nodes(folders: DataFrame) -> DataFrame:
+    """The module node of each folder (p)."""
     return node_rows(
         folders,
         id=C.node_id(F.col("p")),
@@ -108,9 +112,18 @@ def directory_nodes(files: DataFrame) -> DataFrame:
 
 def contains_edges(files: DataFrame) -> DataFrame:
     """GRF9: folder to folder and folder to file, each once; files at the root have none."""
+    return contains_rows(contains_pairs(files).distinct())
+
+
+def contains_pairs(files: DataFrame) -> DataFrame:
+    """(p, c): each folder above each file and what lies next below it on the way to the file."""
     chain = F.concat(C.ancestors(F.col("path")), F.array("path"))
     steps = F.when(F.size(chain) > 1, F.transform(F.slice(chain, 2, F.greatest(F.size(chain) - 1, F.lit(1))), lambda c, k: F.struct(F.get(chain, k).alias("p"), c.alias("c"))))
-    pairs = files.select(F.explode(steps).alias("s")).select("s.p", "s.c").distinct()
+    return files.select(F.explode(steps).alias("s")).select("s.p", "s.c")
+
+
+def contains_rows(pairs: DataFrame) -> DataFrame:
+    """The edges of pairs (p, c)."""
     return pairs.select(
         C.node_id(F.col("p")).alias("source"),
         C.node_id(F.col("c")).alias("target"),
@@ -128,23 +141,42 @@ def import_edges(parsed: DataFrame, parent_fallback: bool = False) -> DataFrame:
     An import is looked up by its last part, else by its whole source; with ``parent_fallback`` then by the
     part before the last. Imports of itself are dropped; of several imports of one file the first gives the description.
     """
+    return import_rows(import_links(imports_of(parsed), import_keys(parsed), parent_fallback))
+
+
+def import_keys(parsed: DataFrame) -> DataFrame:
+    """(key, path): the names by which each parsed file can be imported, its stem and its whole path."""
     paths = parsed.select("path").distinct()
-    keys = paths.select(F.explode(F.array_distinct(F.array(C.display_name(F.col("path")), F.col("path")))).alias("key"), "path")
+    return paths.select(F.explode(F.array_distinct(F.array(C.display_name(F.col("path")), F.col("path")))).alias("key"), "path")
+
+
+def imports_of(parsed: DataFrame) -> DataFrame:
+    """(path, position, source, last) of all imports."""
+    return parsed.select("path", F.posexplode("imports").alias("position", "i")).select("path", "position", "i.source", F.element_at(F.split("i.source", "::"), -1).alias("last"))
+
+
+def import_links(imports: DataFrame, keys: DataFrame, parent_fallback: bool = False) -> DataFrame:
+    """(path, target_path, position, source): the files that imports name, each once for an importing file, by its first import of it."""
     index = keys.groupBy("key").agg(F.min("path").alias("target_path"))
-    rows = parsed.select("path", F.posexplode("imports").alias("position", "i")).select("path", "position", "i.source", F.element_at(F.split("i.source", "::"), -1).alias("last"))
+    rows = imports
     looks = [F.col("last"), F.col("source")] + ([F.when(F.size(F.split("source", "::")) > 1, F.element_at(F.split("source", "::"), -2))] if parent_fallback else [])
     for k, look in enumerate(looks):
         rows = rows.withColumn(f"_k{k}", look).join(index.select(F.col("key").alias(f"_k{k}"), F.col("target_path").alias(f"_t{k}")), f"_k{k}", "left")
     found = rows.withColumn("target_path", F.coalesce(*[F.col(f"_t{k}") for k in range(len(looks))])).where("target_path is not null and target_path <> path")
     one = found.groupBy("path", "target_path").agg(F.min(F.struct("position", "source")).alias("first"))
-    return one.select(
+    return one.select("path", "target_path", "first.position", "first.source")
+
+
+def import_rows(links: DataFrame) -> DataFrame:
+    """The edges of ``import_links``."""
+    return links.select(
         C.node_id(F.col("path")).alias("source"),
         C.node_id(F.col("target_path")).alias("target"),
         F.lit("imports").alias("type"),
         F.lit("forward").alias("direction"),
-        F.format_string("%s imports %s", "path", "first.source").alias("description"),
+        F.format_string("%s imports %s", "path", "source").alias("description"),
         F.lit(0.5).cast("float").alias("weight"),
-        F.concat(F.lit("2"), F.col("path"), F.lit("\u0000"), F.lpad(F.col("first.position").cast("string"), 9, "0")).alias("ord"),
+        F.concat(F.lit("2"), F.col("path"), F.lit("\u0000"), F.lpad(F.col("position").cast("string"), 9, "0")).alias("ord"),
     )
 
 
