@@ -130,9 +130,12 @@ def neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int = 1
 
 
 def search(nodes: DataFrame, text: str) -> DataFrame:
-    """QRY11: the nodes whose path, name or tags hold the text in any case, with a score from 0 (equal) to 1; an empty text finds all."""
+    """QRY11: the nodes whose path, name or tags hold the text in any case, with a score from 0 (equal) to 1; an empty text finds all.
+
+    The id counts only for a node without a path and a name.
+    """
     wanted = F.lit(text.lower())
-    hay = F.lower(F.concat_ws(" ", "file_path", "name", "id", F.array_join("tags", " ")))
+    hay = F.lower(F.concat_ws(" ", label(), F.when(F.col("file_path").isNotNull(), F.col("name")), F.array_join("tags", " ")))
     shown = F.lower(label())
     far = F.levenshtein(F.lower(F.col("name")), wanted) / F.greatest(F.length("name"), F.lit(len(text)), F.lit(1))
     return nodes.where(hay.contains(wanted)).select("id", shown.alias("label"), far.cast("float").alias("score"))

@@ -31,10 +31,12 @@ def category_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("file_category").agg(F.count(F.lit(1)).alias("files"))
 
 
-def project_stats(files: DataFrame) -> DataFrame:
-    """AGG2, PRJ5: one row with total_files, total_lines, languages, filtered_by_ignore (0: there are no ignore files) and estimated_complexity."""
+def project_stats(files: DataFrame, left_out: DataFrame | None = None) -> DataFrame:
+    """AGG2, PRJ5: one row with total_files, total_lines, languages, filtered_by_ignore and estimated_complexity; ``left_out``: the rows that ignore files leave out."""
     total = files.agg(F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("size_lines"), F.lit(0)).alias("total_lines"), F.sort_array(F.collect_set("language")).alias("languages"))
-    return total.select("*", F.lit(0).cast("bigint").alias("filtered_by_ignore"), C.project_complexity(F.col("total_files"), F.col("total_lines")).alias("estimated_complexity"))
+    none = F.lit(0).cast("bigint").alias("filtered_by_ignore")
+    counted = total.select("*", none) if left_out is None else total.join(left_out.agg(F.count(F.lit(1)).alias("filtered_by_ignore")))
+    return counted.select("*", C.project_complexity(F.col("total_files"), F.col("total_lines")).alias("estimated_complexity"))
 
 
 def code_files(files: DataFrame) -> DataFrame:

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.functions import taxonomy as T
+from graphloom.functions.storage import held
 from graphloom.operators import assist as A
+from graphloom.operators import definitions as D
 from graphloom.operators import export as X
 from graphloom.operators import graph as G
+from graphloom.operators import ignore as R
 from graphloom.operators import incremental as I
+from graphloom.operators import merge as M
 from graphloom.operators import parse as P
 from graphloom.operators import query as Q
 from graphloom.operators import scan as N
+from graphloom.operators import search as S
 from graphloom.plans import oracle
 from graphloom.sources import virtual as V
 
@@ -122,7 +127,7 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return Q.search(_all_nodes(_docs(spark, d)), "SRC1/fr").drop("score")
+    return Q.search(_all_nodes(_docs(spark, d)), "C0").drop("score")
 
 
 def layer_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -224,6 +229,63 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", F.explode("sections").alias("s")).select("path", "s.title", "s.level", F.col("s.line_range")[0].alias("line"))
 
 
+def _merged(spark: SparkSession, d: str) -> M.GraphState:
+    """The state of the old sources after the changes to the new ones are merged."""
+    old, new = V.source_versions(spark, d)
+    found = held(N.inventory(old))
+    parsed = held(P.Registry().parse(old.join(N.code_files(found).select("path"), "path", "left_semi")))
+    state = M.GraphState(**{name: held(rows) for name, rows in M.full(found, parsed).tables().items()})
+    status = held(I.snapshot_status(I.fingerprints(old), I.fingerprints(new)).where("status <> 'unchanged'"))
+    return M.merge(state, *I.changes(new, status, P.Registry()))
+
+
+def merged_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(_merged(spark, d).all_nodes())
+
+
+def merged_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).edges().drop("ord")
+
+
+def merged_layers(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).layer_rows().drop("description")
+
+
+def _program_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sources = V.program_sources(spark, d)
+    parsed = P.Registry().parse(sources)
+    return D.definition_graph(sources, G.import_links(G.imports_of(parsed), G.import_keys(parsed)))
+
+
+def definition_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _program_graph(spark, d)[0]
+    return nodes.select("id", "type", "name", "file_path", F.array_join("line_range", "-").alias("lines"), "summary", F.array_join("tags", ",").alias("tags"), "complexity")
+
+
+def definition_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _program_graph(spark, d)[1].drop("ord")
+
+
+def part_definition_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = D.definition_graph(V.part_sources(spark, d))[0]
+    return nodes.select("type", "name", "file_path", F.array_join("line_range", "-").alias("lines"))
+
+
+def ignored_files(spark: SparkSession, d: str) -> DataFrame:
+    files = V.ignoring_files(spark, d, R.IGNORE_FILE)
+    return R.ignored(V.document_files(spark, d), files.where(C.file_name(F.col("path")) == R.IGNORE_FILE))
+
+
+def ignoring_stats(spark: SparkSession, d: str) -> DataFrame:
+    kept, left_out = R.without_ignored(V.ignoring_files(spark, d, R.IGNORE_FILE))
+    return N.project_stats(N.inventory(kept), left_out).withColumn("languages", F.array_join("languages", ","))
+
+
+def scored_search(spark: SparkSession, d: str) -> DataFrame:
+    nodes, asked = V.name_queries(spark, d)
+    return S.search_names(S.build_index(nodes), asked)
+
+
 def queries() -> dict[str, Query]:
     one = lambda operator, source: lambda s, d: operator(source(s, d))
     return {
@@ -281,6 +343,15 @@ def queries() -> dict[str, Query]:
         "graph_json": graph_json,
         "markdown_lines": markdown_lines,
         "markdown_sections": markdown_sections,
+        "merged_nodes": merged_nodes,
+        "merged_edges": merged_edges,
+        "merged_layers": merged_layers,
+        "definition_nodes": definition_nodes,
+        "definition_edges": definition_edges,
+        "part_definition_nodes": part_definition_nodes,
+        "ignored_files": ignored_files,
+        "ignoring_stats": ignoring_stats,
+        "scored_search": scored_search,
         "dashboard_payload": dashboard_payload,
     }
 

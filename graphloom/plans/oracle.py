@@ -130,6 +130,34 @@ _NODE_SPELLINGS = {s: kind for kind, others in T.NODE_ALIASES.items() for s in (
 _EDGE_SPELLINGS = {t: t for t in T.EDGE_TYPES} | T.EDGE_ALIASES
 
 
+_NEW_SOURCES = f"""new_lines AS (SELECT *, 'orders/b_' || (l_orderkey % 50) || '/o_' || l_orderkey || '.rs' AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS position
+        FROM lineitem WHERE l_orderkey % 11 <> 0 AND NOT (l_orderkey % 7 = 0 AND l_linenumber % 2 = 0)),
+    seconds AS (SELECT p_partkey AS p, 'alt/f_' || (p_partkey % 40) || '/p_' || p_partkey || '.rs' AS path FROM part WHERE p_partkey % 10 = 0),
+    firsts_ AS (SELECT p_partkey AS p, 'parts/p_' || p_partkey || '.rs' AS path FROM part WHERE p_partkey % 9 <> 0),
+    files AS (SELECT path, 'rust' AS language, 'file' AS type, count(*) AS n, 0 AS d, count(*) AS i FROM new_lines GROUP BY path
+        UNION ALL SELECT path, 'rust', 'file', 1, 1, 0 FROM firsts_ UNION ALL SELECT path, 'rust', 'file', 1, 1, 0 FROM seconds
+        UNION ALL SELECT 'notes/p_' || p_partkey || '.md', 'markdown', 'document', 1, 0, 0 FROM part WHERE p_partkey % 8 = 0
+        UNION ALL SELECT 'conf/p_' || p_partkey || '.toml', 'toml', 'config', 1, 0, 0 FROM part WHERE p_partkey % 12 = 0),
+    {PREFIXES}, {FOLDERS}, {CONTAINS},
+    new_nodes AS (SELECT {_id("path")} AS id, type, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') AS name, path AS file_path,
+        language || CASE WHEN d + i > 0 THEN ' (' || n || ' lines, ' || d || ' definitions, ' || i || ' imports)' ELSE ' (' || n || ' lines)' END AS summary, language AS tags, 'simple' AS complexity FROM files
+        UNION ALL SELECT id, type, name, file_path, summary, tags, complexity FROM folder_nodes),
+    targets AS (SELECT p, min(path) AS target FROM (SELECT * FROM firsts_ UNION ALL SELECT * FROM seconds) GROUP BY p),
+    new_imports AS (SELECT path, target, min(position) AS position, any_value(p) AS p FROM new_lines JOIN targets ON p = l_partkey GROUP BY path, target)"""
+_PROGRAMS = f"""prog AS (SELECT p_partkey AS k, 'prog/p_' || p_partkey || '.rs' AS path, p_partkey % 5 AS o FROM part),
+    defs AS (SELECT k, path, 'class' AS type, 'Part' || k AS name, 'struct' AS kind, 3 + o AS a, 3 + o AS b FROM prog UNION ALL SELECT k, path, 'function', 'helper_' || k, 'fn', 4 + o, 8 + o FROM prog
+        UNION ALL SELECT k, path, 'function', 'shared_' || k, 'fn', 9 + o, 12 + o FROM prog UNION ALL SELECT k, path, 'function', 'inner', 'fn', 10 + o, 10 + o FROM prog),
+    ids AS (SELECT *, {_id("path || '#' || type || ' ' || name || '#1'")} AS id FROM defs)"""
+_IGNORED = """placed AS (SELECT doc_id AS k, coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l FROM documents WHERE doc_id IS NOT NULL),
+    decided AS (SELECT *, CASE WHEN k % 9 = 7 AND k % 10 = 7 THEN TRUE WHEN k % 9 = 5 AND k BETWEEN 10 AND 99 THEN FALSE WHEN l = 'en' AND k % 9 = 2 AND k % 10 = 9 THEN FALSE WHEN l = 'en' THEN TRUE END AS below,
+        CASE WHEN l = 'fr' AND k % 9 = 1 AND k % 10 = 1 THEN TRUE WHEN k % 9 = 6 AND k < 10 THEN TRUE WHEN k % 9 = 5 THEN NOT starts_with(k::VARCHAR, '7') END AS above FROM placed),
+    marks AS (SELECT k, (s = 'src1' AND l = 'de') OR (k % 9 = 7 AND (k % 10 IN (0, 5) OR l = 'en')) OR coalesce(below, above, FALSE) AS ignored FROM decided)"""
+_NAMES = """named AS (SELECT 'part-' || p_partkey AS id, lower(p_name || ' ' || p_partkey) AS name FROM part UNION ALL SELECT 'nation-' || n_nationkey, lower(n_name) FROM nation UNION ALL SELECT 'region-' || r_regionkey, lower(substr(r_name, 1, 4)) FROM region),
+    wrong AS (SELECT p_partkey * 10 AS q, p_name || ' ' || p_partkey AS t FROM part WHERE p_partkey % 100 = 0),
+    asked AS (SELECT q AS query_id, t AS text FROM wrong UNION ALL SELECT q + 1, substr(t, 1, 2) || substr(t, 4) FROM wrong UNION ALL SELECT q + 2, 'x' || substr(t, 1, 4) || 'yz' || substr(t, 6) FROM wrong
+        UNION ALL SELECT q + 3, substr(t, 1, 3) FROM wrong UNION ALL SELECT -1 - n_nationkey, substr(n_name, 2) || 'a' FROM nation)"""
+
+
 def sql() -> dict[str, str]:
     docs, pages, places, parts = (f"WITH {inventory(x)}" for x in (DOCS, PAGES, PLACES, PARTS))
     doc_nodes, place_nodes = f"{docs}, {NODES}", f"{places}, {NODES}"
@@ -183,7 +211,7 @@ def sql() -> dict[str, str]:
             both_ways AS (SELECT source AS id, target AS other, 'out' AS way, type, ord FROM edges WHERE source <> target UNION ALL SELECT target, source, 'in', type, ord FROM edges WHERE source <> target),
             ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord, way, other) AS rank, count(*) OVER (PARTITION BY id) AS total FROM both_ways WHERE id IN (SELECT id FROM asked))
             SELECT r.id, rank::INT AS rank, total, other, way, type, coalesce(file_path, name, other) AS label FROM ranked r LEFT JOIN known k ON k.id = other WHERE rank <= 10""",
-        "search_nodes": f"{doc_nodes} SELECT id, lower(coalesce(file_path, name)) AS label FROM nodes WHERE contains(lower(concat_ws(' ', file_path, name, id, tags)), 'src1/fr')",
+        "search_nodes": f"{doc_nodes} SELECT id, lower(coalesce(file_path, name)) AS label FROM nodes WHERE contains(lower(concat_ws(' ', coalesce(file_path, name, id), CASE WHEN file_path IS NOT NULL THEN name END, tags)), 'c0')",
         "valid_links": f"{mixed} SELECT source, target, type FROM edges WHERE source IN (SELECT id FROM known) AND target IN (SELECT id FROM known)",
         "dangling_edges": f"{mixed} SELECT source, target, type, CASE WHEN NOT s AND NOT t THEN 'both' WHEN NOT s THEN 'source' ELSE 'target' END AS missing FROM (SELECT *, source IN (SELECT id FROM known) AS s, target IN (SELECT id FROM known) AS t FROM edges) WHERE NOT s OR NOT t",
         "degrees": f"WITH {ORDER_IMPORTS} SELECT id, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT source AS id, 1 AS o, 0 AS i FROM import_edges UNION ALL SELECT target, 0, 1 FROM import_edges) GROUP BY id",
@@ -208,5 +236,21 @@ def sql() -> dict[str, str]:
             SELECT x->>'$.source' AS source, x->>'$.target' AS target, {_cases("lower(x->>'$.type')", _EDGE_SPELLINGS, chr(39) + 'related' + chr(39))} AS type,
             CASE lower(x->>'$.direction') WHEN 'reverse' THEN 'backward' WHEN 'both' THEN 'bidirectional' ELSE 'forward' END AS direction, coalesce((x->>'$.weight')::FLOAT, 0.5::FLOAT) AS weight FROM e""",
         "ensure_files": f"{docs} SELECT 'file-' || (row_number() OVER (ORDER BY path) + (SELECT count(*) FROM files WHERE file_category = 'code')) AS id, path AS file_path, split_part(path, '/', -1) AS name, language || ' file (' || size_lines || ' lines, ' || path || ')' AS summary FROM files WHERE file_category <> 'code'",
+        "merged_nodes": f"WITH {_NEW_SOURCES} SELECT * FROM new_nodes",
+        "merged_edges": f"""WITH {_NEW_SOURCES} SELECT source, target, type, direction, description, weight FROM contains_edges
+            UNION ALL SELECT {_id("path")}, {_id("target")}, 'imports', 'forward', path || ' imports crate::parts::p_' || p, CAST(0.5 AS FLOAT) FROM new_imports""",
+        "merged_layers": f"WITH {_NEW_SOURCES} SELECT id, {LAYER_NAME} AS name, members FROM (SELECT {LAYER} AS id, count(*) AS members FROM new_nodes GROUP BY 1)",
+        "definition_nodes": f"WITH {_PROGRAMS} SELECT id, type, name, path AS file_path, a || '-' || b AS lines, kind || ' (' || (b - a + 1) || ' lines)' AS summary, 'rust' AS tags, 'simple' AS complexity FROM ids",
+        "definition_edges": f"""WITH {_PROGRAMS}, links AS (
+                SELECT CASE WHEN d.name = 'inner' THEN s.id ELSE {_id("d.path")} END AS source, d.id AS target, 'contains' AS type, d.path, d.a AS line, d.name FROM ids d JOIN ids s ON s.k = d.k AND s.name = 'shared_' || s.k
+                UNION ALL SELECT h.id, t.id, 'calls', h.path, 7 + h.k % 5, t.name FROM ids h JOIN ids t ON t.k = h.k + 1 AND t.name = 'shared_' || t.k WHERE h.name = 'helper_' || h.k
+                UNION ALL SELECT c.id, t.id, 'calls', c.path, c.k % 5 + CASE WHEN c.name = 'inner' THEN 10 ELSE 11 END, t.name FROM ids c JOIN ids t ON t.k = c.k AND t.type = 'function' AND t.name <> c.name AND t.name NOT LIKE 'shared%' WHERE c.name = 'inner' OR c.name LIKE 'shared%')
+            SELECT source, target, type, 'forward' AS direction, path || ' line ' || line || ' ' || type || ' ' || name AS description, CAST(CASE type WHEN 'calls' THEN 0.8 ELSE 0.3 END AS FLOAT) AS weight FROM links""",
+        "part_definition_nodes": f"""WITH raw AS (SELECT split_part(path, '/p_', -1) AS k, path FROM ({PARTS})), named AS (SELECT path, replace(k, '.rs', '') AS k FROM raw)
+            SELECT type, replace(name, '@', k) AS name, path AS file_path, lines FROM named, (VALUES ('class', 'Part@', '5-5'), ('class', 'Kind', '6-6'), ('function', 'load_@', '9-9'), ('function', 'inner', '10-10'),
+                ('function', 'main', '11-11'), ('class', 'Shape', '12-12'), ('function', 'area', '12-12'), ('function', 'area', '14-14'), ('function', 'skipped', '16-16')) AS v(type, name, lines) WHERE lines <> '16-16' OR k::BIGINT % 3 = 0""",
+        "ignored_files": f"WITH {_IGNORED} SELECT path, ignored FROM marks JOIN (SELECT doc_id, x.path FROM ({DOCS.replace('SELECT CASE', 'SELECT doc_id, CASE', 1)}) x) ON doc_id = k",
+        "ignoring_stats": f"{docs.replace('FROM raw\n)', 'FROM raw WHERE path IN (SELECT path FROM kept_paths)\n)').replace('WITH ', f'WITH {_IGNORED}, kept_paths AS (SELECT path FROM marks JOIN (SELECT doc_id, x.path FROM ({DOCS.replace('SELECT CASE', 'SELECT doc_id, CASE', 1)}) x) ON doc_id = k WHERE NOT ignored), ', 1)} SELECT n AS total_files, l AS total_lines, languages, (SELECT count(*) FROM marks WHERE ignored) AS filtered_by_ignore, {LEVEL} AS estimated_complexity FROM ({stats})",
+        "scored_search": f"WITH {_NAMES}, far AS (SELECT DISTINCT query_id, id, name, levenshtein(lower(text), name)::INT AS distance, lower(text) AS t FROM named, asked) SELECT query_id, id, name, distance, (distance / greatest(length(t), length(name), 1))::FLOAT AS score FROM far WHERE distance <= 2",
         "fallback_layers": f"{place_nodes} SELECT id, CASE id WHEN 'code' THEN 'Core Code' ELSE 'Configuration' END AS name, nodes FROM (SELECT {LAYER} AS id, count(*) AS nodes FROM nodes GROUP BY 1)",
     }

@@ -132,3 +132,78 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("  \n"), body, F.lit("\n ")))
     )
     return table(spark, sf_dir, "events").select(k.alias("batch"), wrapped.alias("response"))
+
+
+def source_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(old, new) files of a project of orders, which import the parts of their lines, and of parts.
+
+    Orders, lines of orders, parts, their notes and settings come and go; some parts have a second file of the same stem that sorts before
+    the first, so that imports of files that did not change lead elsewhere.
+    """
+    order, key = F.col("l_orderkey"), F.col("p_partkey")
+    line = F.concat(F.lit("use crate::parts::p_"), F.col("l_partkey").cast("string"), F.lit(";\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))), lambda x: x["line"]), "")
+    path = F.concat(F.lit("orders/b_"), (order % 50).cast("string"), F.lit("/o_"), order.cast("string"), F.lit(".rs"))
+    named = lambda before, after: F.concat(F.lit(before), key.cast("string"), F.lit(after))
+    second = F.concat(F.lit("alt/f_"), (key % 40).cast("string"), named("/p_", ".rs"))
+    body = F.concat(F.lit("pub struct P"), key.cast("string"), F.lit(";\n"))
+    parts = table(spark, sf_dir, "part")
+
+    def version(orders: str, kinds: tuple[tuple[object, str], ...]) -> DataFrame:
+        rows = table(spark, sf_dir, "lineitem").where(orders).groupBy(path.alias("path")).agg(text.alias("content"))
+        for at, when in kinds:
+            rows = rows.unionByName(parts.where(when).select(at.alias("path"), body.alias("content")))
+        return rows
+
+    old = version("l_orderkey % 10 <> 0", ((named("parts/p_", ".rs"), "p_partkey % 6 <> 0"), (second, "p_partkey % 5 = 0"), (named("notes/p_", ".md"), "p_partkey % 4 = 0")))
+    new = version("l_orderkey % 11 <> 0 and not (l_orderkey % 7 = 0 and l_linenumber % 2 = 0)", ((named("parts/p_", ".rs"), "p_partkey % 9 <> 0"), (second, "p_partkey % 10 = 0"), (named("notes/p_", ".md"), "p_partkey % 8 = 0"), (named("conf/p_", ".toml"), "p_partkey % 12 = 0")))
+    return old, new
+
+
+def program_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program for each part: functions, one inside another, a type, calls of them and of the next part's, and code in comments and strings."""
+    key, other = F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
+    lines = (
+        ("use crate::prog::p_", other, ";"),
+        ("/* fn ghost() { /* deeper { */ call_ghost(); */"),
+        ("pub struct Part", key, " { size: [u8; 4] }"),
+        ("fn helper_", key, "(x: [u8; 4]) -> u32 {"),
+        ("    // helper_", other, "(x) in a remark {"),
+        ('    let s = "shared_', key, '() { \\" fn no() {"; let c = \'{\';'),
+        ("    shared_", other, "(x)"),
+        ("}"),
+        ("pub fn shared_", key, "(x: u32) -> u32 {"),
+        ("    fn inner() { helper_", key, "([0; 4]); }"),
+        ("    if (x > 1) { inner(); helper_", key, "(make(x)) } else { missing(x) }"),
+        ("}"),
+    )
+    text = [F.lit(x) if isinstance(x, str) else F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x]) for x in lines]
+    body = F.concat(F.repeat(F.lit("\n"), (F.col("p_partkey") % 5).cast("int")), F.concat_ws("\n", *text), F.lit("\n"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("prog/p_"), key, F.lit(".rs")).alias("path"), body.alias("content"))
+
+
+# Fixed values of this made project: the ignore files of its root and of each source's folder.
+ROOT_RULES = "# made files\n*.csv\n\n!doc_7*.csv\n/src1/de/\nsvc_*[05]/\ntest_?.rs\n**/fr/doc_*1.py  \n"
+FOLDER_RULES = "en/**\n!en/doc_*9.md\n!doc_??.csv\n*/svc_*\\7/Dockerfile\n"
+
+
+def ignoring_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The documents as files, with an ignore file at the root and in the folder of each source."""
+    files = document_files(spark, sf_dir)
+    folders = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source")).distinct()
+    below = folders.select(F.concat(F.col("source"), F.lit(f"/{name}")).alias("path"), F.lit(FOLDER_RULES).alias("content"))
+    root = spark.createDataFrame([(name, ROOT_RULES)], "path string, content string")
+    return files.unionByName(below).unionByName(root)
+
+
+def name_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, queries): parts, nations and regions as nodes (id, name); of every hundredth part its name as written in three wrong ways, and three letters of it."""
+    part, nation, region = (table(spark, sf_dir, t) for t in ("part", "nation", "region"))
+    nodes = part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"))
+    nodes = nodes.unionByName(nation.select(F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")), F.col("n_name").alias("name")).toDF("id", "name"))
+    nodes = nodes.unionByName(region.select(F.concat(F.lit("region-"), F.col("r_regionkey").cast("string")), F.substring("r_name", 1, 4)).toDF("id", "name"))
+    rows = part.where("p_partkey % 100 = 0").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("t"))
+    wrong = F.array(F.upper("t"), F.expr("concat(substring(t, 1, 2), substring(t, 4))"), F.expr("concat('x', substring(t, 1, 4), 'yz', substring(t, 6))"), F.substring("t", 1, 3))
+    asked = rows.select((F.col("p_partkey") * 10).alias("base"), F.posexplode(wrong).alias("k", "text")).select((F.col("base") + F.col("k")).alias("query_id"), "text")
+    names = nation.select((-1 - F.col("n_nationkey")).cast("bigint").alias("query_id"), F.expr("concat(substring(n_name, 2), 'a')").alias("text"))
+    return nodes, asked.withColumn("query_id", F.col("query_id").cast("bigint")).unionByName(names)
