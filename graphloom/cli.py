@@ -9,6 +9,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import held
 from graphloom.operators import export as X
 from graphloom.operators.graph import Graph
 from graphloom.operators.incremental import build_full, build_incremental
@@ -26,7 +27,7 @@ def _session() -> SparkSession:
 def build(spark: SparkSession, root: str, out: str, incremental: bool = False) -> tuple[Graph | None, DataFrame]:
     """The graph of a project folder, and its files; with ``incremental`` None if nothing has changed since the snapshot below ``out``."""
     root = os.path.abspath(root)
-    files = project_files(spark, root).persist()
+    files = held(project_files(spark, root))
     maker = build_incremental if incremental else build_full
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     return maker(files, os.path.basename(root), f"{out}/state", commit_hash(root), now), files
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
         X.export(graph, args.format, path, inventory(files))
         print(path)
         return 0
-    files = project_files(spark, os.path.abspath(args.root)).persist()
+    files = held(project_files(spark, os.path.abspath(args.root)))
     found = inventory(files)
     if args.command == "json":
         print(X.scan_json(project_stats(found)).first()["json"])

@@ -45,9 +45,9 @@ DOC_NAMES = ("readme.md", "changelog.md", "contributing.md", "license", "licence
 TEST_PATHS = ("/tests/", "/__tests__/", "/test/")
 DATA_EXTENSIONS = ("csv", "tsv", "jsonl")
 CODE_LANGUAGES = (
-    "rust typescript javascript python go java kotlin swift c cpp csharp ruby php lua sql powershell "
-    "terraform protobuf graphql dockerfile css makefile"
-).split()
+    "rust", "typescript", "javascript", "python", "go", "java", "kotlin", "swift", "c", "cpp", "csharp", "ruby", "php", "lua", "sql", "powershell",
+    "terraform", "protobuf", "graphql", "dockerfile", "css", "makefile",
+)
 CATEGORIES = ("code", "config", "docs", "infra", "data", "script", "test", "unknown")
 
 # The node type that a file of each category becomes.

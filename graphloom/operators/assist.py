@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import columns as C
 from graphloom.functions import taxonomy as T
 from graphloom.functions.numbering import numbered
+from graphloom.functions.storage import held
 from graphloom.operators import graph as G
 from graphloom.operators.scan import project_stats
 
@@ -62,18 +63,31 @@ def file_prompts(files: DataFrame, contents: DataFrame, config: AnalysisConfig =
     return grouped.select("batch", F.array_join(F.transform("ps", lambda x: x["p"]), "\n").alias("prompt"))
 
 
-def graph_prompts(agent: str, context: DataFrame, nodes: DataFrame, edges: DataFrame, lines: int = 500) -> DataFrame:
+def graph_prompts(agent: str, context: DataFrame, nodes: DataFrame, edges: DataFrame, lines: int = 500, layers: DataFrame | None = None, tour: DataFrame | None = None) -> DataFrame:
     """LLM6-8: (batch, prompt): the whole graph for an agent, its nodes in order and then its edges, ``lines`` of them in a prompt.
 
-    A graph of up to ``lines`` nodes and edges is one prompt; a graph without any gives none.
+    With ``layers`` each node names its layer, and a line for each layer follows; with ``tour`` a line for each step and each of its stops. So no line
+    grows with a layer. A graph of up to ``lines`` lines is one prompt; a graph without any gives none.
     """
-    node = F.to_json(F.struct("id", "type", "name", "file_path", "summary", "tags", "complexity"))
-    edge = F.to_json(F.struct("source", "target", "type", "direction"))
-    shown = nodes.select(F.lit(0).alias("part"), "ord", node.alias("line")).unionByName(edges.select(F.lit(1).alias("part"), "ord", edge.alias("line")))
+    node = ["id", "type", "name", "file_path", "summary", "tags", "complexity"]
+    line = lambda rows, part, order, *columns: rows.select(F.lit(part).alias("part"), order.alias("ord"), F.to_json(F.struct(*columns)).alias("line"))
+    number = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    more = []
+    if layers is not None:
+        member = layers.select(F.col("id").alias("layer"), F.explode("node_ids").alias("id")).groupBy("id").agg(F.min("layer").alias("layer"))
+        nodes, node = nodes.join(member, "id", "left"), [*node, "layer"]
+        more.append(line(layers, 2, F.col("id"), F.col("id").alias("layer"), "name", "description"))
+    if tour is not None:
+        more.append(line(tour, 3, number("order"), F.col("order").alias("step"), "title", "description", "language_lesson"))
+        stops = tour.select("order", F.posexplode("node_ids").alias("position", "node_id"))
+        more.append(line(stops, 4, F.concat(number("order"), number("position")), F.col("order").alias("step"), "node_id"))
+    shown = line(nodes, 0, F.col("ord"), *node).unionByName(line(edges, 1, F.col("ord"), "source", "target", "type", "direction"))
+    for part in more:
+        shown = shown.unionByName(part)
     rows = numbered(shown, "part", "ord", "line").withColumn("batch", F.floor((F.col("n") - 1) / lines).cast("bigint"))
     grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"))
     text = F.concat_ws("\n", F.lit(_AGENT_PROMPTS[agent].rstrip()), "context", F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    return grouped.join(F.broadcast(context)).select("batch", text.alias("prompt"))
+    return grouped.join(F.broadcast(context)).select("batch", text.alias("prompt"))  # one row
 
 
 def ask(prompts: DataFrame, dispatch: Dispatcher, path: str, config: AnalysisConfig = AnalysisConfig(), agent: str = "file-analyzer") -> DataFrame:
@@ -116,25 +130,32 @@ def _text(key: str):
     return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get("v", f"$.{key}", "string"))
 
 
+_NODE_TEXTS = ("id", "type", "name", "file_path", "summary", "complexity", "language_notes")
+
+
 def answer_nodes(items: DataFrame) -> DataFrame:
     """LLM12, LLM13: nodes in the order of batch, item and place, absent fields by default; ``node-{number}`` for an absent id."""
-    rows = numbered(_elements(items, "nodes"), "batch", "item", "pos")
-    line = lambda k: F.coalesce(F.try_variant_get("v", f"$.line_range[{k}]", "int"), F.lit(0))
-    has_lines = F.try_variant_get("v", "$.line_range[1]", "variant").isNotNull()
-    tags = F.try_variant_get("v", "$.tags", "array<variant>")
+    # Fields are taken out of each node at once, before the numbers' sort, which then moves texts only.
+    parts = ", ".join(f"{c}: variant" for c in (*_NODE_TEXTS, "line_range", "tags"))
+    v = F.try_variant_get("v", "$", f"struct<{parts}>")
+    read = _elements(items, "nodes").select("batch", "item", "pos", v.alias("v")).select("batch", "item", "pos", "v.*")
+    lines, tags = F.try_variant_get("line_range", "$", "array<variant>"), F.try_variant_get("tags", "$", "array<variant>")
+    texts = [F.try_variant_get(F.when(F.schema_of_variant(c) == "STRING", F.col(c)), "$", "string").alias(c) for c in _NODE_TEXTS]
     tag_texts = F.transform(F.filter(tags, lambda t: F.schema_of_variant(t) == "STRING"), lambda t: F.variant_get(t, "$", "string"))
-    level = F.lower(_text("complexity"))
+    line = F.when(F.size(lines) >= 2, F.transform(F.slice(lines, 1, 2), lambda n: F.coalesce(F.try_variant_get(n, "$", "int"), F.lit(0))))
+    rows = numbered(read.select("batch", "item", "pos", *texts, line.alias("line_range"), tag_texts.alias("tags")), "batch", "item", "pos")
+    level = F.lower("complexity")
     return G.node_rows(
         rows,
-        id=F.coalesce(_text("id"), F.concat(F.lit("node-"), F.col("n").cast("string"))),
-        type=F.coalesce(C.node_alias(_text("type")), F.lit("file")),
-        name=F.coalesce(_text("name"), F.lit("unknown")),
-        file_path=_text("file_path"),
-        line_range=F.when(has_lines, F.array(line(0), line(1))),
-        summary=F.coalesce(_text("summary"), F.lit("")),
-        tags=F.coalesce(tag_texts, F.array()),
+        id=F.coalesce("id", F.concat(F.lit("node-"), F.col("n").cast("string"))),
+        type=F.coalesce(C.node_alias(F.col("type")), F.lit("file")),
+        name=F.coalesce("name", F.lit("unknown")),
+        file_path=F.col("file_path"),
+        line_range=F.col("line_range"),
+        summary=F.coalesce("summary", F.lit("")),
+        tags=F.coalesce("tags", F.array().cast("array<string>")),
         complexity=F.when(level.isin("complex", "moderate"), level).otherwise("simple"),
-        language_notes=_text("language_notes"),
+        language_notes=F.col("language_notes"),
         ord=F.lpad(F.col("n").cast("string"), 12, "0"),
     )
 
@@ -203,6 +224,11 @@ def fallback_layers(nodes: DataFrame) -> DataFrame:
     return G.layers(nodes, T.FALLBACK_LAYERS, other=False)
 
 
+def fallback_layer_rows(nodes: DataFrame) -> DataFrame:
+    """LLM21 as rows: (id, name, description, members), without gathering a layer."""
+    return G.layer_rows(nodes, T.FALLBACK_LAYERS, other=False)
+
+
 def fallback_tour(nodes: DataFrame) -> DataFrame:
     """LLM22: an overview with the first five files, and all files."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"])
@@ -223,6 +249,7 @@ def fallback_tour_rows(nodes: DataFrame) -> DataFrame:
 
 def _fallback_steps(whole: DataFrame) -> DataFrame:
     """The two steps of the fallback tour of all files' ids (node_ids) and their number (n)."""
+    # The titles and sentences of the two steps.
     first = whole.select(
         F.lit(1).alias("order"), F.lit("Project Overview").alias("title"),
         F.format_string("This project contains %d files. Start here to understand the high-level structure.", "n").alias("description"),
@@ -244,6 +271,29 @@ def merged_layers(answers: DataFrame) -> DataFrame:
     return one.orderBy("first").select("id", "x.name", "x.description", "node_ids")
 
 
+def layer_members(answers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(layer, node, first): the one layer of each node, and of each id that an answer names: the first that names it, by batch, layer and place.
+
+    A node that no answer names, as one of a batch whose answer can't be read, has the layer that the rules give its type.
+    """
+    named = answers.select("batch", F.posexplode("layers").alias("pos", "x")).select("batch", "pos", F.col("x.id").alias("layer"), F.posexplode("x.node_ids").alias("place", "node"))
+    first = named.groupBy("node").agg(F.min(F.struct("batch", "pos", "place", "layer")).alias("first")).select("first.layer", "node", F.struct("first.batch", "first.pos", "first.place").alias("first"))
+    rest = nodes.select(F.col("id").alias("node"), C.layer_of(F.col("type"), T.FALLBACK_LAYERS).alias("layer"), "ord").join(first, "node", "left_anti")
+    # After all answers, in node order.
+    last = F.struct(F.lit((1 << 62)).alias("batch"), F.lit(0).alias("pos"), F.lit(0).alias("place"))
+    return first.withColumn("ord", F.lit("")).unionByName(rest.select("layer", "node", last.alias("first"), "ord"))
+
+
+def covering_layers(answers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, name, description, node_ids): the layers of ``merged_layers`` that keep a node, and those that the rules add; every node is in exactly one."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("first", "ord", "node"))), lambda x: x["node"])
+    members = layer_members(answers, nodes).groupBy(F.col("layer").alias("id")).agg(ids.alias("node_ids"))
+    answered = merged_layers(answers).select("id", F.struct("name", "description").alias("own"))
+    words = lambda at: C.lookup({layer[0]: layer[at] for layer in T.FALLBACK_LAYERS}, F.col("id"))
+    rows = members.join(answered, "id", "left")
+    return rows.select("id", F.coalesce("own.name", words(1)).alias("name"), F.coalesce("own.description", words(2)).alias("description"), "node_ids").orderBy("id")
+
+
 def merged_tour(answers: DataFrame) -> DataFrame:
     """The steps of ``answer_tour`` over all batches, numbered from 1 by batch and then by their own numbers."""
     rows = answers.select("batch", F.posexplode("tour").alias("pos", "x")).select("batch", "pos", F.col("x.order").alias("own"), "x.title", "x.description", "x.node_ids", "x.language_lesson")
@@ -261,7 +311,9 @@ def review_findings(responses: DataFrame) -> DataFrame:
 
 
 def build_with_model(files: DataFrame, contents: DataFrame, name: str, dispatch: Dispatcher, folder: str, config: AnalysisConfig, analyzed_at: str | None = None, commit: str = "unknown") -> G.Graph:
-    """LLM9, LLM18: the graph that a model describes; files it left out get nodes, and missing layers or tour are made by rule.
+    """LLM9, LLM18: the graph that a model describes; files it left out get nodes, and a missing tour and missing layers, also of single nodes, are made by rule.
+
+    The tour is asked for with the layers shown, the review with both.
 
     The answers are kept below ``folder``. Repeated node ids keep their first node. A review of the finished graph is in its findings;
     one that fails is left out. Raises if model analysis is not enabled.
@@ -276,8 +328,8 @@ def build_with_model(files: DataFrame, contents: DataFrame, name: str, dispatch:
     project = G.project_row(files, name, analyzed_at, commit, "%s: LLM-analyzed project with %d files across %d languages. Complexity: %s.")
     context = project_context(project_stats(files))
 
-    def asked(agent: str, dispatch: Dispatcher) -> DataFrame:
-        return ask(graph_prompts(agent, context, nodes, edges), dispatch, f"{folder}/{agent}", config, agent)
+    def asked(agent: str, dispatch: Dispatcher, **more: DataFrame) -> DataFrame:
+        return ask(graph_prompts(agent, context, nodes, edges, **more), dispatch, f"{folder}/{agent}", config, agent)
 
     def review(agent: str, prompt: str) -> str:
         try:
@@ -286,8 +338,8 @@ def build_with_model(files: DataFrame, contents: DataFrame, name: str, dispatch:
             return ""
 
     found = answer_layers(asked("architecture-analyzer", dispatch)).where("layers is not null")
-    layers = merged_layers(found) if found.count() else fallback_layers(nodes)
-    steps = answer_tour(asked("tour-builder", dispatch)).where("tour is not null")
-    tour = merged_tour(steps) if steps.count() else fallback_tour(nodes)
-    findings = review_findings(asked("graph-reviewer", review))
+    layers = held(covering_layers(found, nodes) if found.count() else fallback_layers(nodes))
+    steps = answer_tour(asked("tour-builder", dispatch, layers=layers)).where("tour is not null")
+    tour = held(merged_tour(steps) if steps.count() else fallback_tour(nodes))
+    findings = review_findings(asked("graph-reviewer", review, layers=layers, tour=tour))
     return G.Graph(project, nodes, edges, layers, tour, kind="llm-analyzed-codebase", findings=findings)

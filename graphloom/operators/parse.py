@@ -28,6 +28,7 @@ SCHEMA = {
 }
 _MARK, _REST = "\u0001", "\u0002"
 _START = r"(?mdU)^\s*"
+# Fixed value: how visibility is written.
 _VISIBLE = r"(?:pub(?:\s*\([^)]*\))?\s+)?"
 # For each kind of definition the pattern of its head, whose group is the name.
 RUST_DEFINITIONS = (
@@ -37,6 +38,7 @@ RUST_DEFINITIONS = (
     ("enum", _VISIBLE + r"enum\s+(\w+)"),
     ("implementation", _VISIBLE + r"(?:unsafe\s+)?impl(?:\s*<[^>]*>\s*)?\s+(\S+)"),
 )
+# Fixed value: how an import is written.
 RUST_IMPORT = r"use\s+([^;]+);"
 
 

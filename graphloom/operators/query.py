@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
+from graphloom.functions.storage import held
 from graphloom.operators.graph import Graph, GraphRows
 
 
@@ -70,15 +71,14 @@ def tree(files: DataFrame) -> DataFrame:
 def tree_of_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """QRY7 for a loaded graph: (id, depth, label) of all that the roots contain, each at its least depth; a step for each level, however deep.
 
-    Levels are cut off by checkpoints where the session has a folder for them, else recomputed.
+    Each level is held in a checkpoint. Nodes on a cycle that no root leads to are in no tree.
     """
-    cut = (lambda rows: rows.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() else (lambda rows: rows.persist())
     inside = edges.where("type = 'contains'").select("source", "target")
     seen = level = tree_roots(edges).select("id", F.lit(0).alias("depth"))
     depth = 0
     while True:
         depth += 1
-        level = cut(level.join(inside, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth")))
+        level = held(level.join(inside, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth")))
         if not level.limit(1).count():
             break
         seen = seen.unionByName(level)
@@ -91,6 +91,14 @@ def tour_listing(tour: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.select("id", "file_path"), "id", "left").select("order", "title", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("file_path", "id").alias("label"))
 
 
+def tour_listing_rows(steps: DataFrame, stops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """QRY8 for ``tour_stops``: (order, title, position, label), without gathering a step."""
+    named = stops.join(F.broadcast(steps.select("order", "title")), "order")  # a step for each type of file and three more
+    bare = steps.join(stops.groupBy("order").agg(F.count(F.lit(1)).alias("n")), "order", "left_anti").select("order", "title", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("id"))
+    rows = named.select("order", "title", "position", "id").unionByName(bare)
+    return rows.join(nodes.select("id", "file_path"), "id", "left").select("order", "title", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("file_path", "id").alias("label"))
+
+
 def valid_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """QRY9: the edges with two known ends."""
     ids = nodes.select("id").distinct()
@@ -153,12 +161,23 @@ def highlighted(nodes: DataFrame, tour: DataFrame, step: int) -> DataFrame:
     return nodes.select("id").join(ids, "id", "left").select("id", F.coalesce("in_step", F.lit(False)).alias("in_step"))
 
 
-# The colour of each node type on the page, and its radius by complexity.
-COLOURS = {"file": "#4e79a7", "module": "#f28e2b", "config": "#59a14f", "document": "#edc948", "resource": "#b07aa1", "schema": "#76b7b2", "function": "#e15759", "class": "#9c755f"}
+def highlighted_rows(nodes: DataFrame, stops: DataFrame, step: int) -> DataFrame:
+    """QRY15 for ``tour_stops``: (id, in_step) of all nodes."""
+    ids = stops.where(F.col("order") == step).select("id").distinct().withColumn("in_step", F.lit(True))
+    return nodes.select("id").join(ids, "id", "left").select("id", F.coalesce("in_step", F.lit(False)).alias("in_step"))
+
+
+# The colour of each node type, of unknown types, and the radius by complexity.
+COLOURS = {
+    "file": "#58a6ff", "function": "#79c0ff", "class": "#1f6feb", "module": "#a5d6ff", "config": "#d29922", "document": "#3fb950", "service": "#f0883e",
+    "table": "#bc8cff", "endpoint": "#f778ba", "pipeline": "#e5534b", "schema": "#a371f7", "resource": "#db6d28", "concept": "#56d364",
+    "domain": "#ff7b72", "flow": "#ffa198", "step": "#ffc2bb", "article": "#7ee787", "entity": "#68e0b8", "topic": "#aff5b4", "claim": "#d2a8ff", "source": "#e3b341",
+}
+UNKNOWN_COLOUR = "#8b949e"
 RADIUS = {"complex": "10", "moderate": "8"}
 
 
 def display(nodes: DataFrame, *more: str) -> DataFrame:
     """QRY17: (id, colour, radius, label) and ``more`` columns: the label is the last 15 characters of the path, name or id."""
     radius = F.coalesce(C.lookup(RADIUS, F.col("complexity")), F.lit("6")).cast("int")
-    return nodes.select("id", F.coalesce(C.lookup(COLOURS, F.col("type")), F.lit("#bab0ac")).alias("colour"), radius.alias("radius"), F.right(label(), F.lit(15)).alias("label"), *more)
+    return nodes.select("id", F.coalesce(C.lookup(COLOURS, F.col("type")), F.lit(UNKNOWN_COLOUR)).alias("colour"), radius.alias("radius"), F.right(label(), F.lit(15)).alias("label"), *more)

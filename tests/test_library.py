@@ -1,6 +1,7 @@
 """Operators of the library on small fixtures and a project on disk."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,11 +309,38 @@ def test_model_build(spark, inventory, tmp_path):
     assert nodes["f1"].type == "function" and nodes["f1"].tags == ["math"] and nodes["f1"].line_range == [10, 25]
     assert nodes["node-2"].name == "unknown" and nodes["file-3"].file_path == "Cargo.toml"
     assert [(r.type, r.weight) for r in made.edges.collect()] == [("calls", 0.5)]
-    assert [r.id for r in made.layers.collect()] == ["core"]
+    layers = {r.id: r.node_ids for r in made.layers.collect()}
+    assert layers["core"] == ["f1"] and sorted(i for ids in layers.values() for i in ids) == sorted(nodes)
     assert [r.title for r in made.tour.orderBy("order").collect()] == ["Project Overview", "Key Files"]
     assert {tuple(r) for r in made.findings.collect()} == {("error", "no tests"), ("improvement", "name node-2")}
 
 
+def test_layers_cover_all_nodes_when_an_answer_fails(spark, tmp_path):
+    """Two prompts about the architecture, one answered badly and one naming a node twice; the later prompts show layers and tour."""
+    files = N.inventory(spark.createDataFrame([(f"src/f{k:03}.{'md' if k % 3 == 0 else 'rs'}", "x\n") for k in range(700)], "path string, content string"))
+    contents = spark.createDataFrame([("src/f001.rs", "x")], "path string, content string")
+
+    def dispatch(agent, prompt):
+        ids = re.findall(r'"id":"(file-[0-9]+)"', prompt)
+        if agent == "architecture-analyzer":
+            return json.dumps([{"id": "a", "name": "A", "node_ids": ids}, {"id": "b", "name": "B", "node_ids": ids[:2] + ["f1"]}]) if '"f1"' in prompt else "I can't."
+        if agent == "tour-builder":
+            assert '"layer":' in prompt
+            return json.dumps([{"order": 1, "title": "T", "node_ids": ids[:1]}])
+        if agent == "graph-reviewer":
+            return json.dumps({"improvements": [line for line in prompt.split("\n") if '"step":' in line or '"layer":' in line and '"name":"A"' in line]})
+        return '{"nodes": [{"id": "f1", "name": "one", "file_path": "src/f001.rs"}]}'
+
+    made = A.build_with_model(files, contents, "demo", dispatch, str(tmp_path), A.AnalysisConfig(use_llm_analysis=True), "0")
+    nodes = [r.id for r in made.nodes.collect()]
+    layers = {r.id: (r.name, r.node_ids) for r in made.layers.collect()}
+    assert len(nodes) == 700 and sorted(i for _, ids in layers.values() for i in ids) == sorted(nodes)
+    assert layers["a"][0] == "A" and len(layers["a"][1]) == 499 and layers["b"] == ("B", ["f1"]) and {*layers} - {"a", "b"} == {"code"}
+    assert made.layers.join(made.nodes, F.array_contains("node_ids", made.nodes.id)).count() == 700
+    shown = " ".join(r.message for r in made.findings.collect())
+    assert '"title":"T"' in shown and '"node_id":"file-' in shown and '"layer":"a"' in shown
+
+
 def test_prompts_show_the_whole_graph_and_their_answers_are_merged(spark):
     files = N.inventory(spark.createDataFrame([(f"src/f{k}.rs", "fn a() {}\n") for k in range(7)], "path string, content string"))
     nodes, edges = G.file_nodes(files), G.contains_edges(files)
