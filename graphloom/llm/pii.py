@@ -229,17 +229,26 @@ class Tagger:
 
 
 def windows_of(text: str, spans: list[tuple[str, int, int]] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(start, classes, tags) of the windows of a whole text that hold a digit or the sign of an address; short texts are padded."""
+    """(start, classes, tags) of the windows of a whole text that hold a digit, the sign of an address or a part of a span; short texts are padded."""
     x = classes(text)
     y = np.zeros(len(x), np.uint8)
+    wanted = {k for m in _TRIGGER.finditer(text) for k in _windows_at(m.start(), m.start() + 1)}
     for kind, a, b in spans or ():
         k = 1 + 2 * KINDS.index(kind)
         y[a], y[a + 1 : b] = k, k + 1
-    wanted = sorted({k for m in _TRIGGER.finditer(text) for k in range(max(0, (m.start() - WINDOW) // STEP + 1), m.start() // STEP + 1)})
-    for k in wanted:
-        a = k * STEP
-        pad = (0, max(0, a + WINDOW - len(x)))
-        yield a, np.pad(x[a : a + WINDOW], pad), np.pad(y[a : a + WINDOW], pad)
+        wanted.update(_windows_at(a, b))
+    for k in sorted(wanted):
+        yield k * STEP, _window(x, k), _window(y, k)
+
+
+def _windows_at(a: int, b: int) -> range:
+    """The numbers of the windows that hold any of the characters from a to b."""
+    return range(max(0, (a - WINDOW) // STEP + 1), (b - 1) // STEP + 1)
+
+
+def _window(x: np.ndarray, k: int) -> np.ndarray:
+    a = k * STEP
+    return np.pad(x[a : a + WINDOW], (0, max(0, a + WINDOW - len(x))))
 
 
 def train(x: np.ndarray, y: np.ndarray, steps: int = 260, batch: int = 48, rate: float = 0.01, seed: int = 11) -> Tagger:
@@ -351,25 +360,33 @@ def model_spans(model: Tagger, texts: list[str], batch: int = 512) -> list[list[
     """The network's spans of whole texts, reconciled over their windows.
 
     Each character takes the tag of the window where it lies deepest, which is the one whose middle part (its first part too, at the
-    text's start) it is in; so windows neither vie nor depend on their order. Windows without a digit or the sign of an address are outside.
+    text's start) it is in; so windows neither vie nor depend on their order. Windows with a digit or the sign of an address are decoded, and then, on
+    both sides, those that a span goes on into, as far as it goes: a span without any such character can be of no kind.
     """
-    owner, starts, rows = [], [], []
-    for k, t in enumerate(texts):
-        for a, x, _ in windows_of(t):
-            owner.append(k)
-            starts.append(a)
-            rows.append(x)
+    read = [classes(t) for t in texts]
     tags: dict[int, np.ndarray] = {}
     edge = (WINDOW - STEP) // 2
-    for first in range(0, len(rows), batch):
-        part = slice(first, first + batch)
-        decoded = model.decode(np.ascontiguousarray(np.stack(rows[part]).T)).T
-        for k, a, y in zip(owner[part], starts[part], decoded, strict=True):
-            low, high = (edge if a else 0), min(edge + STEP, len(texts[k]) - a)
-            if y[low:high].any():
+    todo = [(k, w) for k, t in enumerate(texts) for w in sorted({w for m in _TRIGGER.finditer(t) for w in _windows_at(m.start(), m.start() + 1)})]
+    seen = set(todo)
+    while todo:
+        more = []
+        for first in range(0, len(todo), batch):
+            part = todo[first : first + batch]
+            decoded = model.decode(np.ascontiguousarray(np.stack([_window(read[k], w) for k, w in part]).T)).T
+            for (k, w), y in zip(part, decoded, strict=True):
+                a = w * STEP
+                low, high = (edge if a else 0), min(edge + STEP, len(texts[k]) - a)
+                if low >= high or not y[low:high].any():
+                    continue
                 if k not in tags:
                     tags[k] = np.zeros(len(texts[k]), np.uint8)
                 tags[k][a + low : a + high] = y[low:high]
+                if y[low] and a:
+                    more.append((k, w - 1))
+                if y[high - 1] and a + high < len(texts[k]):
+                    more.append((k, w + 1))
+        todo = sorted({*more} - seen)
+        seen.update(todo)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for k, y in tags.items():
         kind = (y.astype(np.int64) + 1) // 2
@@ -411,7 +428,7 @@ def find_pii(docs: DataFrame, model: Tagger | None, text: str = "text", keep: tu
     The counts and the digest are of the base spans, spans holds all, offsets are code points.
     One output row per input row, repeated rows and null ids included; a null text counts as empty and has no
     spans. Whole texts are read: the patterns see every character, and the network every window with a digit or the sign of an
-    address (others are taken to be outside). Without a model there are base spans only. redacted is the text with every span
+    address and all that a span reaches from there. Without a model there are base spans only. redacted is the text with every span
     replaced by its kind in brackets (overlapping base spans by the first one's); other columns take no part.
     """
     rows = docs.select(*keep, F.col(text).alias("_text"))
