@@ -44,12 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def first_by_hash(rows: DataFrame, n: int, *columns: str) -> DataFrame:
-    """``n`` rows chosen by hashes of their columns, in the order of column ``_h``; nearly all others go before anything is sorted."""
+    """``n`` rows chosen by hashes of their columns, in the order of column ``_h``; nearly all others go before anything is sorted.
+
+    Copies of a row stay or go together, so that too few may stay; then all rows are sorted.
+    """
     total = max(1, rows.count())
     share = min(1.0, (2 * n + 100) / total)
     hashed = rows.withColumn("_h", F.xxhash64(*columns))
     near = hashed.where(F.pmod(F.hash("_h"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    return near.orderBy("_h", *columns).limit(n)
+    first = near.orderBy("_h", *columns).limit(n)
+    return first if first.count() >= min(n, total) else hashed.orderBy("_h", *columns).limit(n)
 
 
 def id_hash(column: str = "doc_id") -> Column:
