@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, kept, mix, rolling, shingles, word_hashes, written
+from graphloom.llm.common import blocks, free_name, kept, mix, rolling, shingles, word_hashes, written
 
 WIDTH = 5
 HASHES = 64
@@ -200,8 +200,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     contaminated texts and by shuffle otherwise.
     """
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    bad = contaminated(docs.withColumn("_digest", digest), benchmark, text, ("_digest",), threshold=threshold).select("_digest").distinct()
+    own = free_name("_digest", *docs.columns)
+    bad = contaminated(docs.select(text, digest.alias(own)), benchmark, text, (own,), threshold=threshold).select(own).distinct()
     bad = written(bad, "digests")
     if bad.count() <= 200_000:  # 100 bytes each
         bad = F.broadcast(bad)
-    return docs.withColumn("_digest", digest).join(bad, "_digest", "left_anti").select(*docs.columns)
+    return docs.withColumn(own, digest).join(bad, own, "left_anti").select(*docs.columns)

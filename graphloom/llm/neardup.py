@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import blocks, kept, mix, shingles, word_hashes, written
+from graphloom.llm.common import blocks, free_name, kept, mix, shingles, word_hashes, written
 
 WIDTH = 5
 BANDS, ROWS = 16, 4
@@ -377,7 +377,8 @@ def _rows(rows: DataFrame, named: DataFrame, doc_id: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """The rows of docs that ``near_duplicates`` keeps, one for each class, with all their columns."""
-    leads = near_duplicates(docs, text, doc_id, threshold).where("kept").select(F.col(doc_id).cast("bigint").alias("_id"), F.col("text_key").alias("_text_key")).distinct()
-    own = docs.withColumn("_text_key", F.lower(F.hex(_key(text))))
-    rows = own.join(leads, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & (own["_text_key"] == leads["_text_key"]), "left_semi").select(*docs.columns, "_text_key")
-    return rows.dropDuplicates(["_text_key", doc_id]).select(*docs.columns)
+    own, its = free_name("_text_key", *docs.columns), free_name("_id", *docs.columns)
+    leads = near_duplicates(docs, text, doc_id, threshold).where("kept").select(F.col(doc_id).cast("bigint").alias(its), F.col("text_key").alias(own)).distinct()
+    keyed = docs.withColumn(own, F.lower(F.hex(_key(text))))
+    rows = keyed.join(leads, F.col(doc_id).cast("bigint").eqNullSafe(F.col(its)) & (keyed[own] == leads[own]), "left_semi").select(*docs.columns, own)
+    return rows.dropDuplicates([own, doc_id]).select(*docs.columns)

@@ -239,3 +239,57 @@ def test_balls_are_wholly_owned():
     assert (owner == ((x[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
     sums, counts = vectorcode.round_sums(tree, x, centre)
     assert (counts == np.bincount(owner, minlength=12)).all() and sums.sum() == x.sum()
+
+
+# --- what earlier operators got wrong ---
+
+
+@pytest.mark.parametrize("pad", range(0, 200, 7))
+def test_spans_are_not_cut_at_windows(pad):
+    from graphloom.llm import pii
+
+    local = "q" * 150
+    text = "x" * pad + " " + local + "@" + "q" * 40 + ".qq " + "x" * 100
+    assert pii.model_spans(Ideal(), [text]) == [[("email", pad + 1, pad + 195)]]
+
+
+class Ideal:
+    """Tags the letter q, the sign of an address and dots as an address, wherever a window shows them."""
+
+    def decode(self, x):
+        from graphloom.llm import pii
+
+        rows = np.ascontiguousarray(x.T)
+        out = np.zeros_like(rows)
+        for k, row in enumerate(rows):
+            inside = np.isin(row, [pii.classes(c)[0] for c in "q@."])
+            out[k][inside] = 2
+            first = np.flatnonzero(inside)
+            if len(first) and first[0]:
+                out[k][first[0]] = 1
+        return out.T
+
+
+def test_repeated_vectors_are_searched(spark, tmp_path):
+    rows = spark.range(3000).select(F.lit(40).cast("bigint").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    rows = rows.unionByName(spark.createDataFrame([(7, [2.0, 1.0], 1)], "vec_id bigint, embedding array<float>, label int"))
+    from graphloom.llm import ann
+    from graphloom.llm.common import first_by_hash
+
+    for n in (3, 10):
+        assert first_by_hash(ann.valid_vectors(rows, "vec_id", "embedding"), n, "vec_id", "v").count() == n
+    found = queries.op8_ann(spark, table(spark, tmp_path, "embeddings", rows)).collect()
+    assert {(r.query_id, r.vec_id, round(r.score, 6)) for r in found} >= {(40, 7, 4.0)}
+
+
+def test_callers_columns_survive(spark):
+    from graphloom.llm.decontaminate import decontaminate
+    from graphloom.llm.neardup import deduplicate
+
+    made = spark.createDataFrame([(1, "some words of a text that is no item at all", "en", "s", 3)], DOCS)
+    for name in ("_digest", "_text_key", "_id", "_h", "k", "node"):
+        made = made.withColumn(name, F.lit(name))
+    items = spark.createDataFrame([(1, "an item of the benchmark with enough words to be found")], "item_id bigint, text string")
+    for out in (decontaminate(made, items), deduplicate(made)):
+        assert out.columns == made.columns
+        assert [r.asDict() for r in out.collect()] == [r.asDict() for r in made.collect()]
