@@ -110,7 +110,10 @@ def layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tour_steps(spark: SparkSession, d: str) -> DataFrame:
-    return G.tour(_all_nodes(_places(spark, d))).select("order", "title", "description", F.array_join("node_ids", ",").alias("ids"))
+    """The steps of the documents' tour, with the number of their stops."""
+    nodes = _all_nodes(_docs(spark, d))
+    stops = G.tour_stops(nodes).groupBy("order").agg(F.count(F.lit(1)).alias("stops"))
+    return G.tour(nodes, list_folders=False).drop("node_ids").join(stops, "order", "left").select("order", "title", "description", "language_lesson", F.coalesce("stops", F.lit(0)).alias("stops"))
 
 
 def overview(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +148,8 @@ def visible_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tour_highlight(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _all_nodes(_places(spark, d))
-    return Q.highlighted(nodes, G.tour(nodes), 2)
+    nodes = _all_nodes(_docs(spark, d))
+    return Q.highlighted_rows(nodes, G.tour_stops(nodes), 3)
 
 
 def valid_links(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +195,15 @@ def ensure_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fallback_layers(spark: SparkSession, d: str) -> DataFrame:
-    return G.layer_summary(_all_nodes(_places(spark, d)), T.FALLBACK_LAYERS)
+    return A.fallback_layer_rows(V.typed_nodes(spark, d, T.NODE_TYPES))
+
+
+def display_types(spark: SparkSession, d: str) -> DataFrame:
+    return Q.display(V.typed_nodes(spark, d, (*T.NODE_TYPES, "other")), "type")
+
+
+def tree_depths(spark: SparkSession, d: str) -> DataFrame:
+    return Q.tree_of_graph(*V.contained_parts(spark, d))
 
 
 def fallback_tour(spark: SparkSession, d: str) -> DataFrame:
@@ -201,8 +212,8 @@ def fallback_tour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tour_listing(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _all_nodes(_places(spark, d))
-    return Q.tour_listing(G.tour(nodes), nodes)
+    nodes = _all_nodes(_docs(spark, d))
+    return Q.tour_listing_rows(G.tour(nodes, list_folders=False), G.tour_stops(nodes), nodes)
 
 
 def layer_listing(spark: SparkSession, d: str) -> DataFrame:
@@ -343,6 +354,8 @@ def queries() -> dict[str, Query]:
         "graph_json": graph_json,
         "markdown_lines": markdown_lines,
         "markdown_sections": markdown_sections,
+        "display_types": display_types,
+        "tree_depths": tree_depths,
         "merged_nodes": merged_nodes,
         "merged_edges": merged_edges,
         "merged_layers": merged_layers,

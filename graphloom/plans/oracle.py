@@ -1,16 +1,16 @@
-"""DuckDB SQL that states the registered queries independently."""
+"""DuckDB SQL that states the registered queries independently; nothing is taken from the library's own tables."""
 
 from __future__ import annotations
 
-from graphloom.functions import taxonomy as T
-
-
-def _values(pairs: dict[str, str]) -> str:
-    return ", ".join(f"('{a}', '{b}')" for a, b in pairs.items())
-
-
-_LANGUAGES = f"lang_of(ext, language) AS (VALUES {_values(T.LANGUAGE_OF)})"
-_CODE = ", ".join(f"'{x}'" for x in T.CODE_LANGUAGES)
+# Extensions and languages, written out for SQL.
+_LANGUAGES = """lang_of(ext, language) AS (VALUES ('rs', 'rust'), ('ts', 'typescript'), ('tsx', 'typescript'), ('js', 'javascript'), ('jsx', 'javascript'), ('mjs', 'javascript'), ('cjs', 'javascript'),
+    ('py', 'python'), ('pyi', 'python'), ('pyx', 'python'), ('go', 'go'), ('java', 'java'), ('kt', 'kotlin'), ('kts', 'kotlin'), ('swift', 'swift'), ('c', 'c'), ('h', 'c'),
+    ('cpp', 'cpp'), ('cc', 'cpp'), ('cxx', 'cpp'), ('hpp', 'cpp'), ('hxx', 'cpp'), ('cs', 'csharp'), ('rb', 'ruby'), ('php', 'php'), ('lua', 'lua'), ('sql', 'sql'),
+    ('sh', 'shell'), ('bash', 'shell'), ('zsh', 'shell'), ('ps1', 'powershell'), ('psm1', 'powershell'), ('psd1', 'powershell'), ('md', 'markdown'), ('mdx', 'markdown'), ('rst', 'markdown'),
+    ('json', 'json'), ('yaml', 'yaml'), ('yml', 'yaml'), ('toml', 'toml'), ('xml', 'xml'), ('svg', 'xml'), ('html', 'xml'), ('htm', 'xml'), ('css', 'css'), ('scss', 'css'), ('sass', 'css'), ('less', 'css'),
+    ('dockerfile', 'dockerfile'), ('dockerignore', 'dockerfile'), ('tf', 'terraform'), ('tfvars', 'terraform'), ('proto', 'protobuf'), ('graphql', 'graphql'), ('gql', 'graphql'),
+    ('env', 'env'), ('envrc', 'env'), ('makefile', 'makefile'), ('mk', 'makefile'))"""
+_CODE = """'rust', 'typescript', 'javascript', 'python', 'go', 'java', 'kotlin', 'swift', 'c', 'cpp', 'csharp', 'ruby', 'php', 'lua', 'sql', 'powershell', 'terraform', 'protobuf', 'graphql', 'dockerfile', 'css', 'makefile'"""
 
 
 def inventory(raw: str) -> str:
@@ -126,8 +126,27 @@ def _cases(column: str, table: dict[str, str], rest: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + f" ELSE {rest} END"
 
 
-_NODE_SPELLINGS = {s: kind for kind, others in T.NODE_ALIASES.items() for s in (kind, *others)}
-_EDGE_SPELLINGS = {t: t for t in T.EDGE_TYPES} | T.EDGE_ALIASES
+# The spellings that the queries use, and what they stand for.
+_NODE_SPELLINGS = {"fn": "function", "func": "function", "file": "file", "mod": "module", "doc": "document", "route": "endpoint", "view": "table", "db": "table", "terraform": "resource"}
+_EDGE_SPELLINGS = {"calls": "calls", "invokes": "calls", "extends": "inherits", "reads": "reads_from", "depends": "depends_on", "buildson": "builds_on"}
+_TYPES = """['file', 'function', 'class', 'module', 'concept', 'config', 'document', 'service', 'table', 'endpoint', 'pipeline', 'schema', 'resource', 'domain', 'flow', 'step', 'article', 'entity', 'topic', 'claim', 'source', 'other']"""
+_COLOURS = {
+    "file": "#58a6ff", "function": "#79c0ff", "class": "#1f6feb", "module": "#a5d6ff", "config": "#d29922", "document": "#3fb950", "service": "#f0883e", "table": "#bc8cff",
+    "endpoint": "#f778ba", "pipeline": "#e5534b", "schema": "#a371f7", "resource": "#db6d28", "concept": "#56d364", "domain": "#ff7b72", "flow": "#ffa198", "step": "#ffc2bb",
+    "article": "#7ee787", "entity": "#68e0b8", "topic": "#aff5b4", "claim": "#d2a8ff", "source": "#e3b341",
+}
+_COLOUR = _cases("type", _COLOURS, "'#8b949e'")
+_RADIUS = "CASE complexity WHEN 'complex' THEN 10 WHEN 'moderate' THEN 8 ELSE 6 END::INT"
+_FALLBACK = """(VALUES ('code', 'Core Code', 'Source code and modules', ['file', 'function', 'class', 'module']), ('concepts', 'Concepts', 'Domain concepts and abstractions', ['concept']),
+    ('config', 'Configuration', 'Configuration files', ['config']), ('docs', 'Documentation', 'Documentation', ['document']), ('infra', 'Infrastructure', 'Infrastructure and deployment', ['service', 'pipeline', 'resource']),
+    ('data', 'Data & Schema', 'Data models and schemas', ['table', 'schema']), ('api', 'API Layer', 'API endpoints', ['endpoint']), ('domain', 'Domain Logic', 'Domain models and flows', ['domain', 'flow', 'step']),
+    ('knowledge', 'Knowledge', 'Knowledge artifacts', ['article', 'entity', 'topic', 'claim', 'source'])) AS f(id, name, description, types)"""
+_TOUR = """kinds(r, type, label) AS (VALUES (0, 'file', 'Source Code'), (1, 'config', 'Configuration'), (2, 'document', 'Documentation'), (3, 'resource', 'Infrastructure'), (4, 'schema', 'Data & Schemas')),
+    by_type AS (SELECT type, count(*) AS n FROM file_nodes GROUP BY type), steps AS (SELECT row_number() OVER (ORDER BY r) + 2 AS o, type, label, n FROM kinds JOIN by_type USING (type)),
+    counts AS (SELECT (SELECT count(*) FROM file_nodes) AS files, (SELECT count(*) FROM folder_nodes) AS folders, (SELECT max(o) + 1 FROM steps) AS last),
+    stops AS (SELECT 1 AS o, row_number() OVER (ORDER BY ord) - 1 AS k, id, file_path FROM file_nodes QUALIFY k < 5 UNION ALL SELECT 2, row_number() OVER (ORDER BY ord) - 1, id, NULL FROM folder_nodes
+        UNION ALL SELECT o, row_number() OVER (PARTITION BY type ORDER BY ord) - 1 AS k, id, file_path FROM file_nodes JOIN steps USING (type) QUALIFY k < 10),
+    titles AS (SELECT 1 AS o, 'Project Overview' AS title UNION ALL SELECT 2, 'Directory Structure' UNION ALL SELECT o, label || ' Files' FROM steps UNION ALL SELECT last, 'Explore Connections' FROM counts)"""
 
 
 _NEW_SOURCES = f"""new_lines AS (SELECT *, 'orders/b_' || (l_orderkey % 50) || '/o_' || l_orderkey || '.rs' AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS position
@@ -189,17 +208,20 @@ def sql() -> dict[str, str]:
         "layer_summary": f"{doc_nodes} SELECT id, {LAYER_NAME} AS name, nodes FROM (SELECT {LAYER} AS id, count(*) AS nodes FROM nodes GROUP BY 1)",
         "layers": f"{doc_nodes} SELECT {LAYER} AS layer, (row_number() OVER (PARTITION BY {LAYER} ORDER BY ord) - 1)::INT AS position, id FROM nodes",
         "layer_listing": f"{doc_nodes} SELECT {LAYER} AS layer, count(*) OVER (PARTITION BY {LAYER}) AS members, (row_number() OVER (PARTITION BY {LAYER} ORDER BY ord) - 1)::INT AS position, coalesce(file_path, name) AS label FROM nodes",
-        "tour_listing": f"""{place_nodes}, listed_files AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS k, file_path AS label FROM file_nodes), listed_folders AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS k, id AS label FROM folder_nodes)
-            SELECT 1 AS "order", 'Project Overview' AS title, k::INT AS position, label FROM listed_files WHERE k < 5
-            UNION ALL SELECT 2, 'Directory Structure', k::INT, label FROM listed_folders
-            UNION ALL SELECT 3, 'Configuration Files', k::INT, label FROM listed_files WHERE k < 10
-            UNION ALL SELECT 4, 'Explore Connections', 0, NULL""",
-        "tour_steps": f"""{place_nodes}, counts AS (SELECT count(*) FILTER (file_path IS NOT NULL) AS files, count(*) FILTER (file_path IS NULL) AS folders FROM nodes)
-            SELECT 1 AS "order", 'Project Overview' AS title, 'This project contains ' || files || ' files organized across ' || folders || ' directories. Start here to understand the high-level structure.' AS description,
-                (SELECT string_agg(id, ',' ORDER BY ord) FROM (SELECT id, ord FROM file_nodes ORDER BY ord LIMIT 5)) AS ids FROM counts
-            UNION ALL SELECT 2, 'Directory Structure', 'The project has ' || folders || ' top-level directories. Each contains related files grouped by purpose.', (SELECT string_agg(id, ',' ORDER BY ord) FROM folder_nodes) FROM counts
-            UNION ALL SELECT 3, 'Configuration Files', files || ' configuration files found. These define the project''s configuration.', (SELECT string_agg(id, ',' ORDER BY ord) FROM (SELECT id, ord FROM file_nodes ORDER BY ord LIMIT 10)) FROM counts
-            UNION ALL SELECT 4, 'Explore Connections', 'Use the graph to trace imports, dependencies, and directory structure. Each edge type reveals a different relationship.', ''""",
+        "tour_listing": f"""{doc_nodes}, {_TOUR} SELECT t.o::INT AS "order", title, coalesce(k, 0)::INT AS position, coalesce(file_path, id) AS label FROM titles t LEFT JOIN stops s ON s.o = t.o""",
+        "tour_steps": f"""{doc_nodes}, {_TOUR}, sizes AS (SELECT o, count(*) AS stops FROM stops GROUP BY o), told AS (
+            SELECT 1 AS o, 'This project contains ' || files || ' files organized across ' || folders || ' directories. Start here to understand the high-level structure.' AS description,
+                'A knowledge graph represents code as interconnected nodes — files, functions, classes — with edges showing how they relate.' AS language_lesson FROM counts
+            UNION ALL SELECT 2, 'The project has ' || folders || ' top-level directories. Each contains related files grouped by purpose.', 'Contains edges (parent→child) show the file tree hierarchy in graph form.' FROM counts
+            UNION ALL SELECT o, n || ' ' || lower(label) || ' files found. These define the project''s ' || lower(label) || '.', NULL FROM steps
+            UNION ALL SELECT last, 'Use the graph to trace imports, dependencies, and directory structure. Each edge type reveals a different relationship.',
+                'Imports edges show module dependencies. Contains edges show directory hierarchy. Together they reveal the project''s architecture.' FROM counts)
+            SELECT o::INT AS "order", title, description, language_lesson, coalesce(stops, 0) AS stops FROM told JOIN titles USING (o) LEFT JOIN sizes USING (o)""",
+        "display_types": f"SELECT id, type, {_COLOUR} AS colour, {_RADIUS} AS radius, right(coalesce(path, name), 15) AS label FROM (SELECT 'n' || p_partkey AS id, {_TYPES}[p_partkey % 22 + 1] AS type, ['simple', 'moderate', 'complex'][p_partkey % 3 + 1] AS complexity, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN 'parts/' || translate(p_brand, '#', '_') || '/p_' || p_partkey END AS path FROM part)",
+        "tree_depths": """WITH RECURSIVE e AS (SELECT 'p' || p_partkey AS s, 'p' || (p_partkey + 1) AS t FROM part WHERE p_partkey % 10 < 9 UNION ALL SELECT 'p' || p_partkey, 'p' || (-p_partkey) FROM part WHERE p_partkey % 3 = 0 AND p_partkey > 0
+                UNION ALL SELECT 'p' || (-p_partkey - 1000000000), 'p' || (-p_partkey - 1000000000 + CASE WHEN p_partkey % 3 = 2 THEN 2 ELSE -1 END) FROM part),
+            down AS (SELECT DISTINCT s AS id, 0 AS depth FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT t, depth + 1 FROM down JOIN e ON s = id WHERE depth < 50)
+            SELECT d.id, d.depth, coalesce(p_name, d.id) AS label FROM (SELECT id, min(depth) AS depth FROM down GROUP BY id) d LEFT JOIN part ON 'p' || p_partkey = d.id""",
         "graph_complexity": f"{doc_nodes} SELECT CASE WHEN c > s + m THEN 'complex' WHEN m > s THEN 'moderate' ELSE 'simple' END AS complexity FROM (SELECT count(*) FILTER (complexity = 'complex') AS c, count(*) FILTER (complexity = 'moderate') AS m, count(*) FILTER (complexity = 'simple') AS s FROM nodes)",
         "overview": f"""{place_nodes} SELECT 'places' AS name, 'json' AS languages, 'simple' AS complexity, NULL::VARCHAR AS "commit", (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM contains_edges) AS edges,
             (SELECT count(DISTINCT {LAYER}) FROM nodes) AS layers, 'places project with ' || n || ' files across 1 languages. Complexity: ' || upper({LEVEL}[1]) || {LEVEL}[2:] || '.' AS description FROM ({stats})""",
@@ -217,8 +239,8 @@ def sql() -> dict[str, str]:
         "degrees": f"WITH {ORDER_IMPORTS} SELECT id, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT source AS id, 1 AS o, 0 AS i FROM import_edges UNION ALL SELECT target, 0, 1 FROM import_edges) GROUP BY id",
         "layer_coverage": f"{doc_nodes} SELECT id, n AS layers FROM (SELECT id, CASE WHEN type = 'file' THEN 0 WHEN type = 'config' THEN 2 ELSE 1 END::BIGINT AS n FROM nodes) WHERE n <> 1",
         "visible_nodes": f"{doc_nodes} SELECT id, type FROM nodes WHERE {LAYER} NOT IN ('docs', 'infra')",
-        "tour_highlight": f"{place_nodes} SELECT id, file_path IS NULL AS in_step FROM nodes",
-        "display_attributes": f"{doc_nodes} SELECT id, {_cases('type', {'file': '#4e79a7', 'module': '#f28e2b', 'config': '#59a14f', 'document': '#edc948', 'resource': '#b07aa1', 'schema': '#76b7b2'}, chr(39) + '#bab0ac' + chr(39))} AS colour, CASE complexity WHEN 'complex' THEN 10 WHEN 'moderate' THEN 8 ELSE 6 END::INT AS radius, right(coalesce(file_path, name), 15) AS label FROM nodes",
+        "tour_highlight": f"{doc_nodes}, {_TOUR} SELECT id, id IN (SELECT id FROM stops WHERE o = 3) AS in_step FROM nodes",
+        "display_attributes": f"{doc_nodes} SELECT id, {_COLOUR} AS colour, CASE complexity WHEN 'complex' THEN 10 WHEN 'moderate' THEN 8 ELSE 6 END::INT AS radius, right(coalesce(file_path, name), 15) AS label FROM nodes",
         "fingerprints": f"WITH raw AS ({DOCS}) SELECT path, sha256(content) AS hash FROM raw",
         "changed_files": f"WITH {_SNAP} SELECT path FROM new LEFT JOIN old USING (path) WHERE old.hash IS NULL OR old.hash <> new.hash",
         "snapshot_status": f"WITH {_SNAP} SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.hash IS NULL THEN 'added' WHEN new.hash IS NULL THEN 'deleted' WHEN old.hash <> new.hash THEN 'modified' ELSE 'unchanged' END AS status FROM old FULL JOIN new ON old.path = new.path",
@@ -252,5 +274,5 @@ def sql() -> dict[str, str]:
         "ignored_files": f"WITH {_IGNORED} SELECT path, ignored FROM marks JOIN (SELECT doc_id, x.path FROM ({DOCS.replace('SELECT CASE', 'SELECT doc_id, CASE', 1)}) x) ON doc_id = k",
         "ignoring_stats": f"{docs.replace('FROM raw\n)', 'FROM raw WHERE path IN (SELECT path FROM kept_paths)\n)').replace('WITH ', f'WITH {_IGNORED}, kept_paths AS (SELECT path FROM marks JOIN (SELECT doc_id, x.path FROM ({DOCS.replace('SELECT CASE', 'SELECT doc_id, CASE', 1)}) x) ON doc_id = k WHERE NOT ignored), ', 1)} SELECT n AS total_files, l AS total_lines, languages, (SELECT count(*) FROM marks WHERE ignored) AS filtered_by_ignore, {LEVEL} AS estimated_complexity FROM ({stats})",
         "scored_search": f"WITH {_NAMES}, far AS (SELECT DISTINCT query_id, id, name, levenshtein(lower(text), name)::INT AS distance, lower(text) AS t FROM named, asked) SELECT query_id, id, name, distance, (distance / greatest(length(t), length(name), 1))::FLOAT AS score FROM far WHERE distance <= 2",
-        "fallback_layers": f"{place_nodes} SELECT id, CASE id WHEN 'code' THEN 'Core Code' ELSE 'Configuration' END AS name, nodes FROM (SELECT {LAYER} AS id, count(*) AS nodes FROM nodes GROUP BY 1)",
+        "fallback_layers": f"SELECT id, name, description, count(*) AS members FROM (SELECT {_TYPES}[p_partkey % 21 + 1] AS type FROM part) JOIN {_FALLBACK} ON list_contains(types, type) GROUP BY ALL",
     }

@@ -207,3 +207,25 @@ def name_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     asked = rows.select((F.col("p_partkey") * 10).alias("base"), F.posexplode(wrong).alias("k", "text")).select((F.col("base") + F.col("k")).alias("query_id"), "text")
     names = nation.select((-1 - F.col("n_nationkey")).cast("bigint").alias("query_id"), F.expr("concat(substring(n_name, 2), 'a')").alias("text"))
     return nodes, asked.withColumn("query_id", F.col("query_id").cast("bigint")).unionByName(names)
+
+
+def typed_nodes(spark: SparkSession, sf_dir: str, types: tuple[str, ...]) -> DataFrame:
+    """Nodes (id, type, name, file_path, complexity, ord) of all parts, of all types in turn; every third has no path."""
+    key = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(t) for t in types]), (key % len(types) + 1).cast("int"))
+    level = F.element_at(F.array(F.lit("simple"), F.lit("moderate"), F.lit("complex")), (key % 3 + 1).cast("int"))
+    path = F.when(key % 3 > 0, F.concat(F.lit("parts/"), F.translate("p_brand", "#", "_"), F.lit("/p_"), key.cast("string")))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("n"), key.cast("string")).alias("id"), kind.alias("type"), F.col("p_name").alias("name"), path.alias("file_path"), level.alias("complexity"), F.lpad(key.cast("string"), 12, "0").alias("ord"))
+
+
+def contained_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of chains of parts ten deep, with a side branch to every third, and rings of three parts that no root leads to."""
+    parts = table(spark, sf_dir, "part")
+    node = lambda k: F.concat(F.lit("p"), k.cast("string"))
+    edge = lambda rows, a, b: rows.select(node(a).alias("source"), node(b).alias("target"), F.lit("contains").alias("type"))
+    k, far = F.col("p_partkey"), -F.col("p_partkey") - 1_000_000_000
+    chains = edge(parts.where("p_partkey % 10 < 9"), k, k + 1)
+    branches = edge(parts.where("p_partkey % 3 = 0 and p_partkey > 0"), k, -k)
+    rings = edge(parts, far, F.when(k % 3 == 2, far + 2).otherwise(far - 1))
+    nodes = parts.select(node(k).alias("id"), F.lit(None).cast("string").alias("file_path"), F.col("p_name").alias("name"))
+    return chains.unionByName(branches).unionByName(rings), nodes
