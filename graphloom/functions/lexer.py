@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MARK = "\u0001"
+_MARK, _INSIDE = "\u0001", "\u0002"
 _QUOTED = r'"(?:[^"\\]++|\\[\s\S])*+"'
 _LINE = r"//[^\n]*+"
 
@@ -30,11 +30,17 @@ HIDDEN = {
 HIDDEN["javascript"] = HIDDEN["typescript"]
 
 
-def code_only(content: Column, language: str) -> Column:
+def code_only(content: Column, language: str, keep_after: str | None = None) -> Column:
     """The text with all but line feeds of its strings and comments replaced by blanks. Null stays null; control characters U+0001 and U+0002 become blanks.
 
     Comments of Rust nest seven deep at most; a string that is not closed is no string. A template string of TypeScript is one string, whatever it embeds.
+    keep_after: what code has to end with for the string behind it to stay.
     """
-    clean = F.translate(content, "\u0001\u0002", "  ")
-    parts = F.split(F.regexp_replace(clean, HIDDEN[language], f"{_MARK}$0{_MARK}"), _MARK, -1)
-    return F.array_join(F.transform(parts, lambda p, k: F.when(k % 2 == 1, F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+    clean = F.translate(content, _MARK + _INSIDE, "  ")
+    parts = F.split(F.regexp_replace(clean, HIDDEN[language], f"{_MARK}{_INSIDE}$0{_MARK}"), _MARK, -1)
+    blank = lambda p: F.when(p.startswith(_INSIDE), F.regexp_replace(F.substr(p, F.lit(2)), r"[^\n]", " ")).otherwise(p)
+    if keep_after is None:
+        return F.array_join(F.transform(parts, blank), "")
+    string = lambda p: p.rlike(f"^{_INSIDE}[a-z]*[\"']")
+    kept = lambda before, p: F.when(string(p) & before.rlike(rf"(?:{keep_after})\s*$"), F.substr(p, F.lit(2))).otherwise(blank(p))
+    return F.array_join(F.zip_with(F.slice(F.concat(F.array(F.lit("")), parts), F.lit(1), F.size(parts)), parts, kept), "")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
+from graphloom.functions.lexer import code_only
 
 DEFINITION = "struct<name: string, kind: string, line_range: array<int>, fields: array<string>>"
 IMPORT = "struct<name: string, source: string, line_range: array<int>>"
@@ -94,6 +95,50 @@ def markdown_sections(content: Column) -> Column:
     return made.cast(SCHEMA["sections"])
 
 
+PYTHON_DEFINITIONS = (("function", r"(?mU)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)"), ("class", r"(?mU)^[ \t]*class[ \t]+(\w+)"))
+PYTHON_IMPORT = r"(?mU)^[ \t]*(?:from|import)[ \t]+([\w.][\w., \t]*)"
+_EXPORTED = r"(?mU)^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?"
+TYPESCRIPT_DEFINITIONS = (
+    ("function", _EXPORTED + r"(?:async[ \t]+)?function\b[ \t]*\*?[ \t]*([\w$]+)"),
+    ("function", _EXPORTED + r"(?:const|let|var)[ \t]+([\w$]+)[ \t]*(?::[^=\n]+)?=\s*(?:async\b\s*)?(?:\([^()]*\)[^=;{\n]*|[\w$]+\s*)=>"),
+    ("class", _EXPORTED + r"(?:abstract[ \t]+)?class[ \t]+([\w$]+)"),
+    ("interface", _EXPORTED + r"interface[ \t]+([\w$]+)"),
+    ("enum", _EXPORTED + r"(?:const[ \t]+)?enum[ \t]+([\w$]+)"),
+    ("type", _EXPORTED + r"type[ \t]+([\w$]+)[^=\n]*="),
+)
+TYPESCRIPT_IMPORT = r"""(?mU)(?:^[ \t]*(?:import|export)\b[^;'"]*|\brequire\s*\(\s*|\bimport\s*\(\s*)['"]([^'"\n]+)['"]"""
+#: Code before a string that is the name of a module, or the path of an endpoint.
+_MODULE_BEFORE = r"\bfrom|\bimport|\brequire\s*\(|\bimport\s*\("
+ENDPOINT = r"""(?mU)(?<![\w$.])(?:app|router|api|server|bp)\.(get|post|put|delete|patch|route)\s*\(\s*['"]([^'"\n]+)['"]"""
+
+
+def _definitions(code: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    return F.concat(*[F.transform(matches(code, pattern), _definition(kind, "")) for kind, pattern in patterns]).cast(f"array<{DEFINITION}>")
+
+
+def _imports(found: Column, sources: Callable[[Column], Column], parts: str) -> Column:
+    """One import for each source of a match; its name is the last of its parts."""
+    one = lambda m: F.transform(sources(m), lambda s: F.struct(F.element_at(F.split(F.regexp_replace(s, r"\.(?:js|ts|tsx|jsx|json)$", ""), parts), -1).alias("name"), s.alias("source"), _range(m["line"]).alias("line_range")))
+    return F.flatten(F.transform(found, one)).cast(f"array<{IMPORT}>")
+
+
+def python_parts(rows: DataFrame) -> DataFrame:
+    """Functions, then classes, and imports of Python texts, outside of strings and comments; ``import a, b`` is two imports."""
+    code = code_only(F.col("content"), "python")
+    modules = lambda m: F.when(m["rest"].rlike(r"^\s*from\b"), F.array(F.regexp_extract(m["text"], r"^[\w.]+", 0))).otherwise(F.filter(F.transform(F.split(m["text"], ","), lambda t: F.regexp_extract(t, r"^\s*([\w.]+)", 1)), lambda t: t != ""))
+    return rows.withColumn("definitions", _definitions(code, PYTHON_DEFINITIONS)).withColumn("imports", _imports(matches(code, PYTHON_IMPORT), modules, r"\."))
+
+
+def typescript_parts(rows: DataFrame) -> DataFrame:
+    """Functions, classes, interfaces, enums and types, imports and endpoints of TypeScript and JavaScript texts, outside of strings and comments."""
+    code = code_only(F.col("content"), "typescript")
+    named = code_only(F.col("content"), "typescript", _MODULE_BEFORE)
+    routed = code_only(F.col("content"), "typescript", r"\.(?:get|post|put|delete|patch|route)\s*\(")
+    rows = rows.withColumn("definitions", _definitions(code, TYPESCRIPT_DEFINITIONS)).withColumn("imports", _imports(matches(named, TYPESCRIPT_IMPORT), lambda m: F.array(m["text"]), "/"))
+    one = lambda m: F.struct(F.upper(m["text"]).alias("method"), F.regexp_extract(m["rest"], r"""^[^'"]*['"]([^'"\n]+)['"]""", 1).alias("path"), _range(m["line"]).alias("line_range"))
+    return rows.withColumn("endpoints", F.transform(matches(routed, ENDPOINT), one).cast(SCHEMA["endpoints"]))
+
+
 @dataclass(frozen=True)
 class Parser:
     """PRS1: a language, its extensions, and what it fills of a parsed row from (path, content) rows.
@@ -108,6 +153,8 @@ class Parser:
 
 
 RUST = Parser("rust", ("rs",), lambda rows: rows.withColumn("definitions", rust_definitions(F.col("content"))).withColumn("imports", rust_imports(F.col("content"))))
+PYTHON = Parser("python", ("py", "pyi", "pyx"), python_parts)
+TYPESCRIPT = Parser("typescript", ("ts", "tsx", "js", "jsx", "mjs", "cjs"), typescript_parts)
 MARKDOWN = Parser("markdown", ("md", "mdx"), lambda rows: rows.withColumn("sections", markdown_sections(F.col("content"))))
 
 

@@ -14,14 +14,17 @@ from graphloom.functions.storage import held
 from graphloom.operators import assist as A
 from graphloom.operators import definitions as D
 from graphloom.operators import export as X
+from graphloom.operators import frameworks as K
 from graphloom.operators import graph as G
 from graphloom.operators import ignore as R
 from graphloom.operators import incremental as I
 from graphloom.operators import merge as M
+from graphloom.operators import outline as O
 from graphloom.operators import parse as P
 from graphloom.operators import query as Q
 from graphloom.operators import scan as N
 from graphloom.operators import search as S
+from graphloom.operators import wiki as W
 from graphloom.plans import oracle
 from graphloom.sources import virtual as V
 
@@ -297,6 +300,49 @@ def scored_search(spark: SparkSession, d: str) -> DataFrame:
     return S.search_names(S.build_index(nodes), asked)
 
 
+def _scripts(spark: SparkSession, d: str) -> DataFrame:
+    return P.Registry([P.PYTHON, P.TYPESCRIPT]).parse(V.script_sources(spark, d))
+
+
+def script_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    return _scripts(spark, d).select("path", F.posexplode("endpoints").alias("position", "e")).select("path", "position", "e.method", F.col("e.path").alias("route"), F.col("e.line_range")[0].alias("line"))
+
+
+def _stacks(spark: SparkSession, d: str) -> DataFrame:
+    return P.Registry([O.YAML]).parse(V.stack_files(spark, d))
+
+
+def compose_services(spark: SparkSession, d: str) -> DataFrame:
+    return _stacks(spark, d).select("path", F.posexplode("services").alias("position", "s")).select("path", "position", "s.name", "s.image", F.array_join("s.ports", ",").alias("ports"))
+
+
+def workflow_steps(spark: SparkSession, d: str) -> DataFrame:
+    return _stacks(spark, d).select("path", F.posexplode("steps").alias("position", "s")).select("path", "position", "s.name", "s.command", F.col("s.line_range")[0].alias("line"))
+
+
+def wiki_links(spark: SparkSession, d: str) -> DataFrame:
+    return W.links(V.articles(spark, d))
+
+
+def wiki_backlinks(spark: SparkSession, d: str) -> DataFrame:
+    return W.backlinks(W.links(V.articles(spark, d)))
+
+
+def wiki_counts(spark: SparkSession, d: str) -> DataFrame:
+    articles = V.articles(spark, d)
+    return W.link_counts(articles, W.links(articles))
+
+
+def manifest_frameworks(spark: SparkSession, d: str) -> DataFrame:
+    return K.frameworks(K.dependencies(V.manifests(spark, d)))
+
+
+def project_frameworks(spark: SparkSession, d: str) -> DataFrame:
+    files = V.manifests(spark, d)
+    project = K.with_frameworks(G.project_row(N.inventory(files), "apps", "2025-01-01T00:00:00Z"), K.frameworks(K.dependencies(files)))
+    return project.select("name", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), "analyzed_at")
+
+
 def queries() -> dict[str, Query]:
     one = lambda operator, source: lambda s, d: operator(source(s, d))
     return {
@@ -354,6 +400,16 @@ def queries() -> dict[str, Query]:
         "graph_json": graph_json,
         "markdown_lines": markdown_lines,
         "markdown_sections": markdown_sections,
+        "script_definitions": one(P.definition_rows, _scripts),
+        "script_imports": one(P.import_rows, _scripts),
+        "script_endpoints": script_endpoints,
+        "compose_services": compose_services,
+        "workflow_steps": workflow_steps,
+        "wiki_links": wiki_links,
+        "wiki_backlinks": wiki_backlinks,
+        "wiki_counts": wiki_counts,
+        "manifest_frameworks": manifest_frameworks,
+        "project_frameworks": project_frameworks,
         "display_types": display_types,
         "tree_depths": tree_depths,
         "merged_nodes": merged_nodes,

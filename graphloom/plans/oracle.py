@@ -177,6 +177,22 @@ _NAMES = """named AS (SELECT 'part-' || p_partkey AS id, lower(p_name || ' ' ||
         UNION ALL SELECT q + 3, substr(t, 1, 3) FROM wrong UNION ALL SELECT -1 - n_nationkey, substr(n_name, 2) || 'a' FROM nation)"""
 
 
+_ARTICLES = """written AS (SELECT doc_id AS k, lpad(doc_id::VARCHAR, 12, '0') AS id, coalesce(source, 'none') AS folder, lower(CASE WHEN doc_id % 40 = 0 THEN 'shared ' || (doc_id % 7) ELSE 'document ' || doc_id END) AS own,
+        coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+    said AS (SELECT id, folder, 0 AS p, 'document_' || (k + 1) AS title FROM written UNION ALL SELECT id, folder, 1, 'Shared  ' || (k % 9) FROM written UNION ALL SELECT id, folder, 2, 'Document ' || k FROM written
+        UNION ALL SELECT id, folder, 3, 'nowhere ' || k FROM written UNION ALL SELECT id, folder, 4, 'Document 1' FROM written WHERE k % 3 = 0 UNION ALL SELECT id, folder, 5, 'DOCUMENT 1' FROM written WHERE k % 3 = 0),
+    wiki AS (SELECT s.id AS source, p AS position, title, CASE WHEN n > 1 AND near_n = 1 THEN near ELSE first END AS target,
+            CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'unique' WHEN near_n = 1 THEN 'folder' ELSE 'first' END AS rule
+        FROM (SELECT *, lower(regexp_replace(title, '[_ ]+', ' ', 'g')) AS t FROM said) s LEFT JOIN (SELECT own, min(id) AS first, count(*) AS n FROM written GROUP BY own) a ON a.own = t
+            LEFT JOIN (SELECT own, folder, min(id) AS near, count(*) AS near_n FROM written GROUP BY own, folder) f ON f.own = t AND f.folder = s.folder),
+    back AS (SELECT target AS id, source, count(*) AS links FROM wiki WHERE target IS NOT NULL AND target <> source GROUP BY ALL)"""
+_MANIFESTS = """kinds AS (SELECT p_partkey AS k, (p_partkey // 30) % 4 AS kind FROM part),
+    used AS (SELECT k, kind, 'react' AS framework FROM kinds WHERE kind = 0 AND k % 3 = 0 UNION ALL SELECT k, kind, 'next' FROM kinds WHERE kind = 0 AND k % 6 = 0 UNION ALL SELECT k, kind, 'express' FROM kinds WHERE kind = 0 AND k % 5 = 0
+        UNION ALL SELECT k, kind, 'django' FROM kinds WHERE kind = 1 AND k % 3 = 0 UNION ALL SELECT k, kind, 'fastapi' FROM kinds WHERE kind = 1 AND k % 5 = 0 UNION ALL SELECT k, kind, 'pyspark' FROM kinds WHERE kind = 1 AND k % 7 = 0
+        UNION ALL SELECT k, kind, 'tokio' FROM kinds WHERE kind = 2 AND k % 2 = 0 UNION ALL SELECT k, kind, 'axum' FROM kinds WHERE kind = 2 AND k % 6 = 0 UNION ALL SELECT k, kind, 'actix' FROM kinds WHERE kind = 2 AND k % 5 = 0
+        UNION ALL SELECT k, kind, 'gin' FROM kinds WHERE kind = 3 AND k % 3 = 0)"""
+
+
 def sql() -> dict[str, str]:
     docs, pages, places, parts = (f"WITH {inventory(x)}" for x in (DOCS, PAGES, PLACES, PARTS))
     doc_nodes, place_nodes = f"{docs}, {NODES}", f"{places}, {NODES}"
@@ -258,6 +274,22 @@ def sql() -> dict[str, str]:
             SELECT x->>'$.source' AS source, x->>'$.target' AS target, {_cases("lower(x->>'$.type')", _EDGE_SPELLINGS, chr(39) + 'related' + chr(39))} AS type,
             CASE lower(x->>'$.direction') WHEN 'reverse' THEN 'backward' WHEN 'both' THEN 'bidirectional' ELSE 'forward' END AS direction, coalesce((x->>'$.weight')::FLOAT, 0.5::FLOAT) AS weight FROM e""",
         "ensure_files": f"{docs} SELECT 'file-' || (row_number() OVER (ORDER BY path) + (SELECT count(*) FROM files WHERE file_category = 'code')) AS id, path AS file_path, split_part(path, '/', -1) AS name, language || ' file (' || size_lines || ' lines, ' || path || ')' AS summary FROM files WHERE file_category <> 'code'",
+        "script_definitions": """SELECT 'scripts/p_' || p_partkey || '.' || ext AS path, position, replace(name, '@', p_partkey::VARCHAR) AS name, kind, (line + p_partkey % 4)::INT AS line FROM part, (VALUES
+            ('py', 0, 'load_@', 'function', 7), ('py', 1, 'area', 'function', 9), ('py', 2, 'Part@', 'class', 6),
+            ('ts', 0, 'load_@', 'function', 10), ('ts', 1, 'twice_@', 'function', 12), ('ts', 2, 'Part@', 'class', 5), ('ts', 3, 'Shape', 'interface', 11), ('ts', 4, 'Kind', 'enum', 13)) v(ext, position, name, kind, line)""",
+        "script_imports": """SELECT 'scripts/p_' || p_partkey || '.' || ext AS path, position, replace(replace(name, '@', p_partkey::VARCHAR), '+', (p_partkey + 1)::VARCHAR) AS name, replace(replace(source, '@', p_partkey::VARCHAR), '+', (p_partkey + 1)::VARCHAR) AS source, (line + p_partkey % 4)::INT AS line FROM part, (VALUES
+            ('py', 0, 'os', 'os', 1), ('py', 1, 'p_+', 'pkg.p_+', 1), ('py', 2, 'sub', 'pkg.sub', 13), ('ts', 0, 'p_+', './sub/p_+.js', 1), ('ts', 1, 'lib_@', 'lib_@', 14)) v(ext, position, name, source, line)""",
+        "script_endpoints": """SELECT 'scripts/p_' || p_partkey || '.ts' AS path, position, method, replace(route, '@', p_partkey::VARCHAR) AS route, (line + p_partkey % 4)::INT AS line FROM part, (VALUES (0, 'GET', '/parts/@', 15), (1, 'POST', '/parts', 16)) v(position, method, route, line)""",
+        "compose_services": """SELECT 'stack/s_' || s_suppkey || '/docker-compose.yml' AS path, 0 AS position, 'web_' || s_suppkey AS name, 'img_' || s_suppkey || ':latest' AS image, '80:' || s_suppkey || ',9090' AS ports FROM supplier
+            UNION ALL SELECT 'stack/s_' || s_suppkey || '/docker-compose.yml', 1, 'db', 'db_' || s_nationkey, '' FROM supplier""",
+        "workflow_steps": """SELECT '.github/workflows/s_' || s_suppkey || '.yml' AS path, position, replace(name, '@', s_suppkey::VARCHAR) AS name, replace(replace(command, '@', s_suppkey::VARCHAR), '~', chr(10)) AS command, line FROM supplier, (VALUES
+            (0, 'Build @', 'make p_@', 6), (1, 'Two', 'echo ''name: no''~# a remark: kept~  - name: no', 8), (2, NULL, NULL, 14), (3, NULL, 'end', 17)) v(position, name, command, line)""",
+        "wiki_links": f"WITH {_ARTICLES} SELECT * FROM wiki",
+        "wiki_backlinks": f"WITH {_ARTICLES} SELECT * FROM back",
+        "wiki_counts": f"""WITH {_ARTICLES} SELECT id, coalesce(o, 0) AS outgoing, coalesce(m, 0) AS missing, coalesce(i, 0) AS incoming FROM written
+            LEFT JOIN (SELECT source AS id, count(*) AS o, count(*) FILTER (target IS NULL) AS m FROM wiki GROUP BY source) USING (id) LEFT JOIN (SELECT id, count(*) AS i FROM back GROUP BY id) USING (id)""",
+        "manifest_frameworks": f"WITH {_MANIFESTS} SELECT 'apps/p_' || k || '/' || ['package.json', 'requirements.txt', 'Cargo.toml', 'go.mod'][kind + 1] AS path, framework FROM used",
+        "project_frameworks": f"WITH {_MANIFESTS} SELECT 'apps' AS name, (SELECT string_agg(DISTINCT ['json', 'unknown', 'toml', 'unknown'][kind + 1], ',' ORDER BY ['json', 'unknown', 'toml', 'unknown'][kind + 1]) FROM kinds) AS languages, (SELECT string_agg(DISTINCT framework, ',' ORDER BY framework) FROM used) AS frameworks, '2025-01-01T00:00:00Z' AS analyzed_at",
         "merged_nodes": f"WITH {_NEW_SOURCES} SELECT * FROM new_nodes",
         "merged_edges": f"""WITH {_NEW_SOURCES} SELECT source, target, type, direction, description, weight FROM contains_edges
             UNION ALL SELECT {_id("path")}, {_id("target")}, 'imports', 'forward', path || ' imports crate::parts::p_' || p, CAST(0.5 AS FLOAT) FROM new_imports""",

@@ -229,3 +229,66 @@ def contained_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     rings = edge(parts, far, F.when(k % 3 == 2, far + 2).otherwise(far - 1))
     nodes = parts.select(node(k).alias("id"), F.lit(None).cast("string").alias("file_path"), F.col("p_name").alias("name"))
     return chains.unionByName(branches).unionByName(rings), nodes
+
+
+def _filled(lines: tuple[str, ...], **values) -> object:
+    """The lines joined, each {name} in them replaced by a column's text."""
+    out = F.lit("\n".join(lines))
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
+
+
+_PYTHON = (
+    "import os, pkg.p_{m} as q", '"""A text', "def ghost(): pass", '"""', "# class Ghost: def no():", "class Part{k}(Base):", "    async def load_{k}(self, s='def no('):", '        x = "# \\" def no"',
+    "    def area(self):", "        return '''", "class Nope:", "'''", "from pkg.sub import thing", "",
+)
+_TYPESCRIPT = (
+    "import { a,", "  b } from './sub/p_{m}.js';", "/* class Ghost {}", "*/ // function no() {}", "export class Part{k} extends Base {}", "const t = `", "import { z } from './nope';", "function no() {}", "`;",
+    'export default async function load_{k}(s = "function no()") {}', "interface Shape { area(): number }", "export const twice_{k} = async (x: number): Promise<number> => { return 2 * x; };", "const enum Kind { A, B }",
+    'const r = require("lib_{k}"), s = "require(\'no\')";', "app.get('/parts/{k}', load_{k}); // app.get('/no')", "router.post(\"/parts\", twice_{k});",
+)
+
+
+def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part a Python and a TypeScript text with definitions and imports in code, in strings and in remarks, after a few empty lines."""
+    k = F.col("p_partkey")
+    texts = {"py": _PYTHON, "ts": _TYPESCRIPT}
+    body = {ext: F.concat(F.repeat(F.lit("\n"), (k % 4).cast("int")), _filled(lines, k=k, m=k + 1)) for ext, lines in texts.items()}
+    both = F.array(*[F.struct(F.concat(F.lit("scripts/p_"), k.cast("string"), F.lit(f".{ext}")).alias("path"), text.alias("content")) for ext, text in body.items()])
+    return table(spark, sf_dir, "part").select(F.explode(both).alias("f")).select("f.*")
+
+
+_COMPOSE = ('# made', 'version: "3"', "services:", "  web_{k}:", '    image: "img_{k}:latest"  # image: no', "    ports:", '      - "80:{k}"', "    - 9090", "    environment:", "      image: no", "  db:", "    command: >-", "      run", "        services:", "    image: db_{n}", "volumes:", "  data_{k}:", "    image: none", "")
+_WORKFLOW = ("on: push", "jobs:", "  build_{n}:", "    runs-on: any", "    steps:", "    - name: Build {k}", "      run: make p_{k}", "    - run: |", "        echo 'name: no'", "        # a remark: kept", "          - name: no", "      # a remark", "      name: 'Two'", "    - uses: x", "  last:", "    steps:", "      - run: end", "")
+
+
+def stack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compose file and a workflow for each supplier."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    both = F.array(
+        F.struct(F.concat(F.lit("stack/s_"), k.cast("string"), F.lit("/docker-compose.yml")).alias("path"), _filled(_COMPOSE, k=k, n=n).alias("content")),
+        F.struct(F.concat(F.lit(".github/workflows/s_"), k.cast("string"), F.lit(".yml")).alias("path"), _filled(_WORKFLOW, k=k, n=n).alias("content")),
+    )
+    return table(spark, sf_dir, "supplier").select(F.explode(both).alias("f")).select("f.*")
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as articles (id, folder, title, content) that link to the next one, to one title that many share, to themselves and to none; every fortieth title is shared."""
+    k, key = F.col("doc_id"), F.col("doc_id").cast("string")
+    title = F.when(k % 40 == 0, F.concat(F.lit("Shared "), (k % 7).cast("string"))).otherwise(F.concat(F.lit("Document "), key))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nSee [[document_"), (k + 1).cast("string"), F.lit("]], [[Shared  "), (k % 9).cast("string"), F.lit("#part|here]] and [[Document "), key, F.lit("|this]]. Not [[nowhere "), key, F.lit("]] nor [[]] nor [[a\nb]]."), F.when(k % 3 == 0, F.lit(" [[Document 1]] [[DOCUMENT 1]]")).otherwise(""))
+    return table(spark, sf_dir, "documents").where("doc_id is not null").select(F.lpad(key, 12, "0").alias("id"), F.coalesce("source", F.lit("none")).alias("folder"), title.alias("title"), text.alias("content"))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each part, of four kinds in turn, with packages by the part's number."""
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    when = lambda n, text: F.when(k % n == 0, text).otherwise("")
+    npm = F.concat(F.lit('{"name": "p", "dependencies": {"left": "1"'), when(3, ', "react": "^18"'), when(5, ', "express": "4"'), F.lit('}, "devDependencies": {"x": "2"'), when(2, ', "next": "14"'), F.lit("}}"))
+    pypi = F.concat(F.lit("# flask\nnumpy>=1\n"), when(3, "Django[x] == 4.2 ; python_version > '3'\n"), when(5, "fast_api\nfastapi~=0.1\n"), when(7, "  PySpark\n"))
+    cargo = F.concat(F.lit('[package]\nname = "axum"\n[dependencies]\nserde = "1"\n'), when(2, 'tokio = { version = "1" }\n'), F.lit("[dev-dependencies.rand]\nversion = '1'\n"), when(3, '[dependencies.axum]\nversion = "0.7"\n'), when(5, '[dependencies.actix-web]\nversion = "4"\n'), F.lit('[features]\ngin = []\n'))
+    go = F.concat(F.lit("module example.com/p\n\nrequire (\n\tgithub.com/a/b v1.0.0\n"), when(3, "\tgithub.com/gin-gonic/gin v1.9.1 // indirect\n"), F.lit(")\n"))
+    kinds = (("package.json", npm), ("requirements.txt", pypi), ("Cargo.toml", cargo), ("go.mod", go))
+    path, text = (F.element_at(F.array(*[F.lit(f) if isinstance(f, str) else f for f in column]), (F.floor(k / 30) % 4 + 1).cast("int")) for column in zip(*kinds))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("apps/p_"), key, F.lit("/"), path).alias("path"), text.alias("content"))
