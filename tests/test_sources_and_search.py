@@ -209,3 +209,86 @@ def test_frequent_trigrams_are_not_looked_up(spark):
     nodes = spark.range(3000).select(F.col("id").cast("string"), F.format_string("common prefix %05d", F.col("id") * 37 % 99991).alias("name"))
     asked = spark.createDataFrame([(1, "common prefix 00037"), (2, "comon prefix 12345")], "query_id int, text string")
     assert S.candidates(S.build_index(nodes, 1), asked).count() < 300
+
+
+# --- indented texts, articles, manifests ---
+
+
+def plain_chains(text):
+    """Ancestors by a stack of lines, as they are read."""
+    out, stack, block = [], [], None
+    for n, raw in enumerate(text.split("\n"), 1):
+        if not raw.strip():
+            continue
+        indent = len(raw) - len(raw.lstrip(" "))
+        if block is not None and indent * 2 + raw.lstrip().startswith("- ") > block:
+            out.append((n, None, None))
+            continue
+        if raw.strip().startswith("#"):
+            continue
+        block = None
+        body = raw.strip()
+        entries = []
+        if body.startswith("- "):
+            rest = body[2:].lstrip()
+            keyed = ":" in rest
+            entries.append((indent * 2 + 1, None))
+            if keyed:
+                entries.append(((indent + len(body) - len(rest)) * 2, rest.split(":")[0]))
+        else:
+            entries.append((indent * 2, body.split(":")[0] if ":" in body else None))
+        for level, key in entries:
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            out.append((n, key, tuple(k for _, k in stack)))
+            stack.append((level, key))
+        if body.endswith(": |"):
+            block = stack[-1][0]
+    return out
+
+
+def test_outline_is_a_stack(spark):
+    from graphloom.operators.outline import outline
+
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 14)):
+            lines.append(" " * rng.randint(0, 5) + rng.choice(["a: 1", "b:", "- c: x", "- d", "e: |", "# f", "", "g: 'h'"]))
+        texts.append((f"{k}.yml", "\n".join(lines)))
+    found = {}
+    for r in outline(table(spark, [*texts, ("null.yml", None)])).orderBy("path", "at").collect():
+        found.setdefault(r.path, []).append((r.line, None, None) if r.is_text else (r.line, r.key, tuple(c.key for c in r.chain)))
+    dedupe = lambda rows: [r for k, r in enumerate(rows) if r[2] is not None or not k or rows[k - 1] != r]
+    for path, text in texts:
+        assert dedupe(found.get(path, [])) == dedupe(plain_chains(text)), text
+
+
+def test_articles_and_backlinks(spark):
+    from graphloom.operators import wiki as W
+
+    kind = "id string, folder string, title string, content string"
+    rows = [("1", "x", "Home", "[[A_b]] [[a  B#s|t]] [[none]] [[HOME]]"), ("2", "x", "a b", "[[Home]]"), ("3", "y", "A b", None), ("4", "y", None, "[[a b]] [[Home]] [[]] [[a"), (None, "y", "lost", "")]
+    articles = spark.createDataFrame(rows, kind).withColumn("first", F.lit(1)).withColumn("n", F.lit(2))
+    assert sorted((r.source, r.position, r.title, r.target, r.rule) for r in W.links(articles).collect()) == [
+        ("1", 0, "A_b", "2", "folder"), ("1", 1, "a  B", "2", "folder"), ("1", 2, "none", None, "missing"), ("1", 3, "HOME", "1", "unique"), ("2", 0, "Home", "1", "unique"), ("4", 0, "a b", "3", "folder"), ("4", 1, "Home", "1", "unique"),
+    ]
+    nodes, edges = W.article_graph(articles.where("id is not null"), most=2)
+    meta = {r.id: r.knowledge_meta for r in nodes.collect()}
+    assert meta["1"].wikilinks == ["A_b", "a  B"] and meta["1"].backlinks == ["2", "4"] and meta["3"].backlinks == ["4"] and meta["4"].category == "y"
+    assert {(r.source, r.target, r.description) for r in edges.collect()} == {("1", "2", "2 links"), ("2", "1", "1 links"), ("4", "3", "1 links"), ("4", "1", "1 links")}
+    assert W.links(articles.limit(0)).count() == 0
+
+
+def test_manifests_that_are_odd(spark):
+    from graphloom.operators import frameworks as K
+
+    cargo = '[dependencies]\naxum = "1"\n# tokio = "1"\n\n[target.x.dependencies]\ntokio.workspace = true\n[package]\nactix-web = "no"\n'
+    files = table(spark, [("package.json", "{bad"), ("a/package.json", '{"dependencies": {"next": "1"}, "peerDependencies": {"react": "2"}}'), ("requirements-dev.txt", "-r x\nflask\nFLASK>1\n"), ("Cargo.toml", cargo), ("go.mod", None), ("x.txt", "flask")])
+    deps = K.dependencies(files)
+    assert deps.where("name = 'flask'").count() == 1
+    assert sorted(map(tuple, K.frameworks(deps).collect())) == [("Cargo.toml", "axum"), ("Cargo.toml", "tokio"), ("a/package.json", "next"), ("a/package.json", "react"), ("requirements-dev.txt", "flask")]
+    project = spark.createDataFrame([("p", ["a"], [])], "name string, languages array<string>, frameworks array<string>")
+    assert K.with_frameworks(project, K.frameworks(deps)).first().frameworks == ["axum", "flask", "next", "react", "tokio"]
+    assert K.with_frameworks(project, K.frameworks(deps.limit(0))).first().frameworks == []
