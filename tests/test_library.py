@@ -381,15 +381,40 @@ def test_command_line_and_rpc(spark, project, tmp_path, capsys):
     assert got[3]["result"]["isError"] and got[4]["error"]["code"] == -32601
 
 
-def test_watched_stream(spark, tmp_path):
+def test_watched_stream(spark, tmp_path, monkeypatch):
     kind = "path string, content string, version bigint"
-    source = tmp_path / "in"
+    source, changes = tmp_path / "in", tmp_path / "changes"
 
-    def arrive(rows):
-        spark.createDataFrame(rows, kind).write.mode("append").json(str(source))
-        W.watch(spark.readStream.schema(kind).json(str(source)), str(tmp_path / "state"), str(tmp_path / "changes"), str(tmp_path / "cp")).awaitTermination()
+    def run():
+        W.watch(spark.readStream.schema(kind).json(str(source)), str(changes), str(tmp_path / "cp")).awaitTermination()
 
-    arrive([("a", "1", 1), ("b", "1", 1), ("a", "2", 2)])
-    arrive([("a", "2", 3), ("b", "9", 2), ("c", "1", 1)])
-    got = {(r.batch, r.path, r.status) for r in spark.read.parquet(f"{tmp_path}/changes/batch=0", f"{tmp_path}/changes/batch=1").collect()}
-    assert got == {(0, "a", "added"), (0, "b", "added"), (1, "b", "modified"), (1, "c", "added")}
+    def arrive(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(str(source))
+
+    seen = lambda: {tuple(r) for r in spark.read.schema("path string, status string, version bigint, batch int").parquet(str(changes)).collect()}
+    arrive([("a", "1", 1), ("b", "1", 1), ("a", "2", 2), (None, "x", 1)])
+    run()
+    first = {("a", "added", 2, 0), ("b", "added", 1, 0)}
+    assert seen() == first
+    # The second batch is killed after it has written; it runs again from the same state.
+    arrive([("a", "2", 3), ("b", "9", 2), ("c", "1", 1), ("b", "1", 0)])
+    real = W.save
+
+    def killed(batch, path):
+        real(batch, path)
+        raise RuntimeError("Killed")
+
+    monkeypatch.setattr(W, "save", killed)
+    with pytest.raises(Exception, match="Killed"):
+        run()
+    monkeypatch.undo()
+    run()
+    second = first | {("b", "modified", 2, 1), ("c", "added", 1, 1)}
+    assert seen() == second
+    arrive([("a", None, 4), ("a", "7", 3), ("c", "2", 0), ("b", None, 3), ("b", "5", 4)])
+    run()
+    third = second | {("a", "deleted", 4, 2), ("b", "modified", 4, 2)}
+    assert seen() == third
+    arrive([("a", "7", 3), ("a", "8", 5)])
+    run()
+    assert seen() == third | {("a", "added", 5, 3)}
