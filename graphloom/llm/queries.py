@@ -19,6 +19,10 @@ from graphloom.llm.runs import periodic_runs
 from graphloom.llm.sharding import ShardStore
 
 
+#: Shards whose sizes are sent to all tasks at most; beyond, rows meet them in a shuffle.
+SENT_SHARDS = 100_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +70,9 @@ def stored(docs: DataFrame, store: ShardStore) -> DataFrame:
     last = store.compact()
     store.vacuum()
     listed = docs.sparkSession.createDataFrame([(s.path, s.bytes) for s in last.shards], "shard string, shard_bytes bigint")
-    rows = store.read(last.version, shard="shard").join(F.broadcast(listed), "shard", "left")
+    if len(last.shards) <= SENT_SHARDS:
+        listed = F.broadcast(listed)
+    rows = store.read(last.version, shard="shard").join(listed, "shard", "left")
     return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "n_chars", "shard", "shard_bytes", F.lit(last.version).alias("version"))
 
 
