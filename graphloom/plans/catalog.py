@@ -343,6 +343,32 @@ def project_frameworks(spark: SparkSession, d: str) -> DataFrame:
     return project.select("name", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), "analyzed_at")
 
 
+def answer_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The layers of each usable answer, a row for each."""
+    rows = A.answer_layers(V.agent_answers(spark, d)["layers"]).select("batch", F.posexplode("layers").alias("position", "x"))
+    return rows.select("batch", "position", "x.id", "x.name", "x.description", F.array_join("x.node_ids", ",").alias("node_ids"))
+
+
+def answer_tour(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.answer_tour(V.agent_answers(spark, d)["tour"]).select("batch", F.posexplode("tour").alias("position", "x"))
+    return rows.select("batch", "position", "x.order", "x.title", "x.description", F.array_join("x.node_ids", ",").alias("node_ids"), "x.language_lesson")
+
+
+def merged_tour(spark: SparkSession, d: str) -> DataFrame:
+    """All answers' steps as one tour."""
+    return A.merged_tour(A.answer_tour(V.agent_answers(spark, d)["tour"])).select("order", "title", "description", F.array_join("node_ids", ",").alias("node_ids"))
+
+
+def layer_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """The one layer of each part: the first that an answer names, else by the rules for its type."""
+    nodes = V.typed_nodes(spark, d, T.NODE_TYPES).withColumn("id", F.regexp_replace("id", "^n", "a"))
+    return A.layer_members(A.answer_layers(V.agent_answers(spark, d)["layers"]), nodes).select("layer", "node")
+
+
+def review_findings(spark: SparkSession, d: str) -> DataFrame:
+    return A.review_findings(V.agent_answers(spark, d)["review"])
+
+
 def queries() -> dict[str, Query]:
     one = lambda operator, source: lambda s, d: operator(source(s, d))
     return {
@@ -410,6 +436,11 @@ def queries() -> dict[str, Query]:
         "wiki_counts": wiki_counts,
         "manifest_frameworks": manifest_frameworks,
         "project_frameworks": project_frameworks,
+        "answer_layers": answer_layers,
+        "answer_tour": answer_tour,
+        "merged_tour": merged_tour,
+        "layer_assignment": layer_assignment,
+        "review_findings": review_findings,
         "display_types": display_types,
         "tree_depths": tree_depths,
         "merged_nodes": merged_nodes,

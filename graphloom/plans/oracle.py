@@ -193,6 +193,14 @@ _MANIFESTS = """kinds AS (SELECT p_partkey AS k, (p_partkey // 30) % 4 AS kind F
         UNION ALL SELECT k, kind, 'gin' FROM kinds WHERE kind = 3 AND k % 3 = 0)"""
 
 
+_LAYER_ANSWERS = """told AS (SELECT p_partkey AS batch, 0 AS position, 'l' || (p_partkey % 7) AS id, 'Layer ' || p_partkey AS name, CASE p_partkey % 5 WHEN 0 THEN '' ELSE 'x' END AS description,
+        CASE p_partkey % 5 WHEN 0 THEN 'a' || p_partkey || ',b' ELSE '' END AS node_ids FROM part WHERE p_partkey % 5 < 2
+    UNION ALL SELECT p_partkey, 1, 'm' || p_partkey, 'More', 'd', '' FROM part WHERE p_partkey % 5 = 0)"""
+_TOUR_ANSWERS = """steps AS (SELECT p_partkey AS batch, 0 AS position, 2 AS o, 'Second ' || p_partkey AS title, '' AS description, 'x' || p_partkey AS node_ids, NULL AS language_lesson FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, 1, 0, 'Untitled Step', 'first', '', NULL FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, 0, (p_partkey % 7)::INT, 'T', '', 'a,b', 'l' || p_partkey FROM part WHERE p_partkey % 3 = 1)"""
+
+
 def sql() -> dict[str, str]:
     docs, pages, places, parts = (f"WITH {inventory(x)}" for x in (DOCS, PAGES, PLACES, PARTS))
     doc_nodes, place_nodes = f"{docs}, {NODES}", f"{places}, {NODES}"
@@ -290,6 +298,17 @@ def sql() -> dict[str, str]:
             LEFT JOIN (SELECT source AS id, count(*) AS o, count(*) FILTER (target IS NULL) AS m FROM wiki GROUP BY source) USING (id) LEFT JOIN (SELECT id, count(*) AS i FROM back GROUP BY id) USING (id)""",
         "manifest_frameworks": f"WITH {_MANIFESTS} SELECT 'apps/p_' || k || '/' || ['package.json', 'requirements.txt', 'Cargo.toml', 'go.mod'][kind + 1] AS path, framework FROM used",
         "project_frameworks": f"WITH {_MANIFESTS} SELECT 'apps' AS name, (SELECT string_agg(DISTINCT ['json', 'unknown', 'toml', 'unknown'][kind + 1], ',' ORDER BY ['json', 'unknown', 'toml', 'unknown'][kind + 1]) FROM kinds) AS languages, (SELECT string_agg(DISTINCT framework, ',' ORDER BY framework) FROM used) AS frameworks, '2025-01-01T00:00:00Z' AS analyzed_at",
+        "answer_layers": f"WITH {_LAYER_ANSWERS} SELECT batch, position, id, name, description, node_ids FROM told",
+        "answer_tour": f"WITH {_TOUR_ANSWERS} SELECT batch, position, o AS \"order\", title, description, node_ids, language_lesson FROM steps",
+        "merged_tour": f"WITH {_TOUR_ANSWERS} SELECT (row_number() OVER (ORDER BY batch, o, position))::INT AS \"order\", title, description, node_ids FROM steps",
+        "layer_assignment": f"""WITH {_LAYER_ANSWERS}, named AS (SELECT node, arg_min(id, batch) AS layer FROM (SELECT batch, id, unnest(string_split(node_ids, ',')) AS node FROM told WHERE node_ids <> '') GROUP BY node),
+            rest AS (SELECT 'a' || p_partkey AS node, {_TYPES}[p_partkey % 21 + 1] AS type FROM part) SELECT layer, node FROM named
+            UNION ALL SELECT f.id, node FROM rest JOIN {_FALLBACK} ON list_contains(types, type) WHERE node NOT IN (SELECT node FROM named)""",
+        "review_findings": """SELECT 'error' AS kind, 'bad ' || p_partkey AS message FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'improvement', 'better ' || (p_partkey % 7) FROM part WHERE p_partkey % 2 = 0
+            UNION ALL SELECT 'improvement', 'more ' || p_partkey FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT 'improvement', 'less' FROM part WHERE p_partkey % 2 = 1""",
+        "fallback_tour": f"""{parts}, listed AS (SELECT {_id("path")} AS id, (row_number() OVER (ORDER BY path) - 1)::INT AS position FROM files)
+            SELECT 1 AS "order", 'Project Overview' AS title, 'This project contains ' || (SELECT count(*) FROM files) || ' files. Start here to understand the high-level structure.' AS description, position, id FROM listed WHERE position < 5
+            UNION ALL SELECT 2, 'Key Files', 'Explore the main source files to understand the project structure.', position, id FROM listed""",
         "merged_nodes": f"WITH {_NEW_SOURCES} SELECT * FROM new_nodes",
         "merged_edges": f"""WITH {_NEW_SOURCES} SELECT source, target, type, direction, description, weight FROM contains_edges
             UNION ALL SELECT {_id("path")}, {_id("target")}, 'imports', 'forward', path || ' imports crate::parts::p_' || p, CAST(0.5 AS FLOAT) FROM new_imports""",

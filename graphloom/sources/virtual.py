@@ -292,3 +292,17 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = (("package.json", npm), ("requirements.txt", pypi), ("Cargo.toml", cargo), ("go.mod", go))
     path, text = (F.element_at(F.array(*[F.lit(f) if isinstance(f, str) else f for f in column]), (F.floor(k / 30) % 4 + 1).cast("int")) for column in zip(*kinds))
     return table(spark, sf_dir, "part").select(F.concat(F.lit("apps/p_"), key, F.lit("/"), path).alias("path"), text.alias("content"))
+
+
+def agent_answers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """(batch, response) of the agents for layers, tour and review, one for each part: most are as asked for, some lack fields, some can't be used."""
+    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    parts = table(spark, sf_dir, "part")
+    text = lambda form: _filled((form,), k=key, n=(k % 7))
+    layers = (
+        F.when(k % 5 == 0, text('[{"id": "l{n}", "name": "Layer {k}", "node_ids": ["a{k}", "b"]}, {"id": "m{k}", "name": "More", "description": "d"}]')).when(k % 5 == 1, text('```json\n[{"id": "l{n}", "name": "Layer {k}", "description": "x", "node_ids": []}]\n```'))
+        .when(k % 5 == 2, text('[{"id": "l{n}", "name": "ok"}, {"id": "nameless"}]')).when(k % 5 == 3, text('{"id": "l{n}", "name": "no array"}')).otherwise("nothing")
+    )
+    tour = F.when(k % 3 == 0, text('See: [{"order": 2, "title": "Second {k}", "node_ids": ["x{k}"]}, {"description": "first"}]')).when(k % 3 == 1, text('[{"order": {n}, "title": "T", "language_lesson": "l{k}", "node_ids": ["a", "b"]}]')).otherwise('{"order": 1}')
+    review = F.when(k % 2 == 0, text('{"issues": [{"severity": "error", "message": "bad {k}"}, {"severity": "info", "message": "no"}, {"severity": "error"}], "improvements": ["better {n}"]}')).otherwise(text('Sure: {"improvements": ["more {k}", "less"], "issues": []}'))
+    return {name: parts.select(k.cast("bigint").alias("batch"), c.alias("response")) for name, c in (("layers", layers), ("tour", tour), ("review", review))}
