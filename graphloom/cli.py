@@ -9,13 +9,12 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.storage import held
 from graphloom.operators import export as X
 from graphloom.operators.graph import Graph
 from graphloom.operators.incremental import build_full, build_incremental
 from graphloom.operators.parse import Registry
 from graphloom.operators.scan import code_files, inventory, language_counts, project_stats
-from graphloom.sources.files import STATE_DIR, commit_hash, project_files
+from graphloom.sources.files import STATE_DIR, commit_hash, scanned_files
 
 _NAMES = {"html": "report.html", "static": "report.html", "md": "report.md", "markdown": "report.md"}
 
@@ -27,7 +26,7 @@ def _session() -> SparkSession:
 def build(spark: SparkSession, root: str, out: str, incremental: bool = False) -> tuple[Graph | None, DataFrame]:
     """The graph of a project folder, and its files; with ``incremental`` None if nothing has changed since the snapshot below ``out``."""
     root = os.path.abspath(root)
-    files = held(project_files(spark, root))
+    files, _ = scanned_files(spark, root)
     maker = build_incremental if incremental else build_full
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     return maker(files, os.path.basename(root), f"{out}/state", commit_hash(root), now), files
@@ -60,17 +59,17 @@ def main(argv: list[str] | None = None) -> int:
         X.export(graph, args.format, path, inventory(files))
         print(path)
         return 0
-    files = held(project_files(spark, os.path.abspath(args.root)))
+    files, left_out = scanned_files(spark, os.path.abspath(args.root))
     found = inventory(files)
     if args.command == "json":
-        print(X.scan_json(project_stats(found)).first()["json"])
+        print(X.scan_json(project_stats(found, left_out)).first()["json"])
     elif args.command == "parse":
         parsed = Registry().parse(files.join(code_files(found).select("path"), "path", "left_semi"))
         for r in X.parse_summary(parsed).orderBy("path").toLocalIterator():
             print(r["line"])
     else:
         counts = [(r["language"], r["files"]) for r in language_counts(found).orderBy(F.col("files").desc(), "language").collect()]
-        print(X.scan_summary(project_stats(found).first().asDict(), counts))
+        print(X.scan_summary(project_stats(found, left_out).first().asDict(), counts))
     return 0
 
 

@@ -8,6 +8,8 @@ last brace that opened before it. All of this are windows over (file, depth); no
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,10 @@ def definition_graph(files: DataFrame, imports: DataFrame | None = None, languag
         F.concat(F.lit("3"), F.col("path"), F.lit("\u0000"), F.lpad(F.col("k").cast("string"), 9, "0"), F.col("type")).alias("ord"),
     )
     return nodes, edges
+
+
+def with_definitions(graph: G.Graph, files: DataFrame, parsed: DataFrame) -> G.Graph:
+    """A project's graph with the nodes and edges of its definitions; layers are made anew. files: (path, content) of the parsed files."""
+    nodes, edges = definition_graph(files, G.import_links(G.imports_of(parsed), G.import_keys(parsed)))
+    nodes = graph.nodes.unionByName(nodes)
+    return replace(graph, nodes=nodes, edges=graph.edges.unionByName(edges), layers=G.layers(nodes))

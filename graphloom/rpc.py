@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from graphloom.cli import build
 from graphloom.operators import export as X
 from graphloom.operators.scan import inventory, project_stats
-from graphloom.sources.files import STATE_DIR, project_files
+from graphloom.sources.files import STATE_DIR, scanned_files
 
 # The protocol's version and the tools.
 PROTOCOL = "2024-11-05"
@@ -32,7 +32,8 @@ TOOLS = [
 def _call(spark: SparkSession, name: str, args: dict) -> str:
     root = os.path.abspath(args.get("path", "."))
     if name == "project_scan":
-        return X.scan_json(project_stats(inventory(project_files(spark, root)))).first()["json"]
+        files, left_out = scanned_files(spark, root)
+        return X.scan_json(project_stats(inventory(files), left_out)).first()["json"]
     graph, files = build(spark, root, os.path.join(root, STATE_DIR), bool(args.get("incremental", False)))
     if graph is None:
         return "up to date"

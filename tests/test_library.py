@@ -234,6 +234,16 @@ def test_project_on_disk(spark, project):
     assert S.commit_hash(str(project)) == "0123456789abcdef" and S.commit_hash("/nowhere") == "unknown"
 
 
+def test_ignored_files_of_a_project(spark, project):
+    (project / ".graphignore").write_text("*.md\n_priv/\n!empty.txt\n")
+    (project / "src/.graphignore").write_text("b.rs\n")
+    kept, left_out = S.project_paths(spark, str(project))
+    assert sorted(r.path for r in left_out.collect()) == ["_priv/b.py", "dos.md", "src/b.rs"]
+    assert sorted(r.path for r in kept.collect()) == [".github/workflows/ci.yml", "bytes.rs", "empty.txt", "src/a.rs"]
+    files, left = S.scanned_files(spark, str(project))
+    assert N.project_stats(N.inventory(files), left).first().filtered_by_ignore == 3
+
+
 def test_incremental_build_parses_changes_only(spark, project, tmp_path):
     state = str(tmp_path / "state")
     seen = []

@@ -94,6 +94,19 @@ def test_definitions_and_calls(spark):
     assert alone.count() == 6  # two files define twice, and none is imported
 
 
+def test_definitions_in_a_project_graph(spark):
+    from graphloom.operators import parse as P
+    from graphloom.operators import query as Q
+    from graphloom.operators import scan as N
+
+    files = table(spark, [("src/a.rs", "use crate::b;\nfn run() { help(); }\n"), ("src/b.rs", "pub fn help() {}\n"), ("c.rs", "fn help() {}\n")])
+    parsed = P.Registry().parse(files)
+    graph = D.with_definitions(G.build_graph(N.inventory(files), parsed, "p", "t"), files, parsed)
+    assert Q.dangling_edges(graph.edges, graph.nodes).count() == 0 and Q.layer_coverage(graph.nodes, graph.layers).count() == 0
+    names = {r.id: f"{r.file_path}:{r.name}" for r in graph.nodes.collect()}
+    assert [(names[r.source], names[r.target]) for r in graph.edges.where("type = 'calls'").collect()] == [("src/a.rs:run", "src/b.rs:help")]
+
+
 def test_unclosed_and_repeated_definitions(spark):
     nodes, edges = D.definition_graph(table(spark, [("a.rs", "fn f() {\n fn f() { f() }\n }}\n fn g(\n"), ("b.rs", "fn h() {\n{\n h()")]))
     assert sorted((r.name, *r.line_range) for r in nodes.collect()) == [("f", 1, 3), ("f", 2, 2), ("g", 4, 4), ("h", 1, 3)]
