@@ -104,9 +104,12 @@ def ask(prompts: DataFrame, dispatch: Dispatcher, path: str, config: AnalysisCon
 
 
 def answer_items(responses: DataFrame) -> DataFrame:
-    """LLM11: (batch, item, value) of the objects in each answer, an array's elements one by one; answers that are no JSON give none."""
-    rows = responses.select("batch", F.try_parse_json(C.extract_json(F.col("response"))).alias("v")).where("v is not null")
-    rows = rows.withColumn("kind", F.schema_of_variant("v"))
+    """LLM11: (batch, item, value) of the objects in each answer, an array's elements one by one; answers that are no JSON give none.
+
+    Answers are taken apart once, into a checkpoint: nodes and edges are both read from there.
+    """
+    json = held(responses.select("batch", C.extract_json(F.col("response")).alias("json")))
+    rows = held(json.select("batch", F.try_parse_json("json").alias("v"))).where("v is not null").withColumn("kind", F.schema_of_variant("v"))
     single = rows.where(F.col("kind").startswith("OBJECT")).select("batch", F.lit(0).alias("item"), "v")
     spread = "SELECT batch, pos AS item, value AS v FROM {rows}, LATERAL variant_explode(v)"
     many = responses.sparkSession.sql(spread, rows=rows.where(F.col("kind").startswith("ARRAY")))
