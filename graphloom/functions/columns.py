@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterable, Mapping
 from itertools import chain
 
 from pyspark.sql import Column
@@ -38,30 +39,32 @@ def excluded(path: Column) -> Column:
     return file_name(path).startswith(".") | below[0] | below[1] | below[2]
 
 
+def _pattern(texts: Iterable[str], any_case: bool = False) -> str:
+    """A pattern of literal texts, in any case if asked for; the Kelvin sign is a capital k too."""
+    quoted = "|".join(re.escape(t) for t in texts)
+    return "(?i:%s)" % quoted.replace("k", r"[k\u212a]") if any_case else quoted
+
+
 def category(path: Column, lang: Column) -> Column:
-    """PRJ2: the first rule that holds, in the order infra, config, docs, test, data, script, code."""
-    name, rooted = F.lower(file_name(path)), F.concat(F.lit("/"), path)
-
-    def holds(texts: tuple[str, ...], where: Column) -> Column:
-        out = F.lit(False)
-        for t in texts:
-            out = out | where.contains(t)
-        return out
-
-    infra = name.isin(*T.INFRA_NAMES) | holds(T.INFRA_PATHS, path)
-    config = lang.isin(*T.CONFIG_LANGUAGES) | name.isin(*T.CONFIG_NAMES) | name.startswith(".env.") | name.endswith("rc") | name.endswith(".conf")
-    docs = (lang == "markdown") | name.isin(*T.DOC_NAMES)
-    test = holds(("test", "spec"), name) | holds(T.TEST_PATHS, rooted)
-    return (
-        F.when(infra, "infra")
-        .when(config, "config")
-        .when(docs, "docs")
-        .when(test, "test")
-        .when(extension(path).isin(*T.DATA_EXTENSIONS), "data")
-        .when(lang == "shell", "script")
-        .when(lang.isin(*T.CODE_LANGUAGES), "code")
-        .otherwise("unknown")
-    )
+    """PRJ2: the first rule that holds, in the order infra, config, docs, test, data, script, code.
+
+    Each rule names the path once, and the language is looked up once: a filter on the category repeats the expressions of
+    both wherever they stand, and generated code has a largest size.
+    """
+    name = lambda names: rf"(?:^|/)(?:{_pattern(names, any_case=True)})\z"
+    within = lambda parts: rf"(?:{_pattern(parts, any_case=True)})[^/]*\z"
+    rules = {
+        "infra": path.rlike(rf"{name(T.INFRA_NAMES)}|{_pattern(T.INFRA_PATHS)}"),
+        "config": path.rlike(rf"{name(T.CONFIG_NAMES)}|(?:^|/)(?i:\.env\.)[^/]*\z|(?i:rc|\.conf)\z"),
+        "docs": path.rlike(name(T.DOC_NAMES)),
+        "test": path.rlike(rf"{within(('test', 'spec'))}|{_pattern(T.TEST_PATHS)}|\A(?:{_pattern(p[1:] for p in T.TEST_PATHS)})"),
+        "data": extension(path).isin(*T.DATA_EXTENSIONS),
+    }
+    order = [*rules, "script", "code", "unknown"]
+    languages = dict.fromkeys(T.CODE_LANGUAGES, "code") | dict.fromkeys(T.CONFIG_LANGUAGES, "config") | {"markdown": "docs", "shell": "script"}
+    by_language = F.try_element_at(F.create_map(*[F.lit(x) for k, c in languages.items() for x in (k, order.index(c))]), lang)
+    first = F.least(*[F.when(holds, F.lit(order.index(c))) for c, holds in rules.items()], by_language, F.lit(len(order) - 1))
+    return F.get(F.array(*[F.lit(c) for c in order]), first)
 
 
 def line_count(content: Column) -> Column:
