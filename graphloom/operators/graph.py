@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import columns as C
 from graphloom.functions import taxonomy as T
 from graphloom.functions.numbering import numbered
+from graphloom.functions.storage import held
 
 VERSION = "0.1.0"
 NODE_COLUMNS = ("id", "type", "name", "file_path", "line_range", "summary", "tags", "complexity", "language_notes", "domain_meta", "knowledge_meta")
@@ -291,8 +292,9 @@ def build_rows(files: DataFrame, parsed: DataFrame, name: str, analyzed_at: str
     """The graph of ``build_graph`` with layers and tour as rows."""
     nodes = file_nodes(files, parsed).unionByName(directory_nodes(files))
     edges = contains_edges(files).unionByName(import_edges(parsed))
-    steps = tour(nodes, list_folders=False).drop("node_ids")
-    return GraphRows(project_row(files, name, analyzed_at, commit), nodes, edges, layer_rows(nodes), layer_positions(nodes), steps, tour_stops(nodes))
+    shown = held(nodes.select("id", "type", "file_path", "ord"))  # a tour reads them for each of its parts
+    steps = tour(shown, list_folders=False).drop("node_ids")
+    return GraphRows(project_row(files, name, analyzed_at, commit), nodes, edges, layer_rows(nodes), layer_positions(nodes), steps, tour_stops(shown))
 
 
 def rows_of(graph: Graph) -> GraphRows:

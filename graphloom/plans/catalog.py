@@ -47,6 +47,11 @@ def _all_nodes(files: DataFrame) -> DataFrame:
     return G.file_nodes(files).unionByName(G.directory_nodes(files))
 
 
+def _stored_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """What a tour needs of the documents' nodes, computed once."""
+    return held(_all_nodes(_docs(spark, d)).select("id", "type", "name", "file_path", "ord"))
+
+
 def _picked(number: Column, *texts: str) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in texts]), (number % len(texts) + 1).cast("int"))
 
@@ -114,7 +119,7 @@ def layers(spark: SparkSession, d: str) -> DataFrame:
 
 def tour_steps(spark: SparkSession, d: str) -> DataFrame:
     """The steps of the documents' tour, with the number of their stops."""
-    nodes = _all_nodes(_docs(spark, d))
+    nodes = _stored_nodes(spark, d)
     stops = G.tour_stops(nodes).groupBy("order").agg(F.count(F.lit(1)).alias("stops"))
     return G.tour(nodes, list_folders=False).drop("node_ids").join(stops, "order", "left").select("order", "title", "description", "language_lesson", F.coalesce("stops", F.lit(0)).alias("stops"))
 
@@ -151,7 +156,7 @@ def visible_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tour_highlight(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _all_nodes(_docs(spark, d))
+    nodes = _stored_nodes(spark, d)
     return Q.highlighted_rows(nodes, G.tour_stops(nodes), 3)
 
 
@@ -215,7 +220,7 @@ def fallback_tour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tour_listing(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _all_nodes(_docs(spark, d))
+    nodes = _stored_nodes(spark, d)
     return Q.tour_listing_rows(G.tour(nodes, list_folders=False), G.tour_stops(nodes), nodes)
 
 
