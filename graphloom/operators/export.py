@@ -7,14 +7,17 @@
 from __future__ import annotations
 
 import html
+import json
+import uuid
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.storage import read_text, remove, replace_text
 from graphloom.operators import query as Q
-from graphloom.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, Graph, GraphRows, rows_of
+from graphloom.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, ROW_TABLES, Graph, GraphRows, rows_of
 
 
 def _exported(nodes: DataFrame) -> DataFrame:
@@ -66,6 +69,23 @@ def json_rows(graph: Graph | GraphRows) -> DataFrame:
     return reduce(DataFrame.unionByName, made)
 
 
+def write_rows(graph: Graph | GraphRows, path: str) -> str:
+    """SNK1 for a graph of any size: a table for each part below a new name, to which the folder's header is then switched over.
+
+    Readers see the graph before or this one as a whole. The one before stays for those who read it; the one before that goes.
+    """
+    rows = rows_of(graph) if isinstance(graph, Graph) else graph
+    spark = rows.nodes.sparkSession
+    before = json.loads(read_text(spark, f"{path}/current.json") or "{}")
+    tables = f"graph-{uuid.uuid4().hex}"
+    for name in ROW_TABLES:
+        getattr(rows, name).write.parquet(f"{path}/{tables}/{name}")
+    replace_text(spark, f"{path}/current.json", json.dumps({"version": rows.version, "kind": rows.kind, "tables": tables, "before": before.get("tables")}))
+    if before.get("before"):
+        remove(spark, f"{path}/{before['before']}")
+    return path
+
+
 def scan_json(stats: DataFrame) -> DataFrame:
     """SNK4: the statistics row as JSON."""
     return stats.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("json"))

@@ -17,6 +17,8 @@ NODE_COLUMNS = ("id", "type", "name", "file_path", "line_range", "summary", "tag
 EDGE_COLUMNS = ("source", "target", "type", "direction", "description", "weight")
 _DOMAIN = "struct<entities: array<string>, business_rules: array<string>, cross_domain_interactions: array<string>, entry_point: string, entry_type: string>"
 _KNOWLEDGE = "struct<wikilinks: array<string>, backlinks: array<string>, category: string, content: string>"
+#: The tables of ``GraphRows``.
+ROW_TABLES = ("project", "nodes", "edges", "layers", "members", "tour", "stops")
 
 # The texts of the guided tour.
 TOUR_OVERVIEW = "This project contains %d files organized across %d directories. Start here to understand the high-level structure."
@@ -289,12 +291,11 @@ def build_graph(files: DataFrame, parsed: DataFrame, name: str, analyzed_at: str
 
 
 def build_rows(files: DataFrame, parsed: DataFrame, name: str, analyzed_at: str | None = None, commit: str = "unknown") -> GraphRows:
-    """The graph of ``build_graph`` with layers and tour as rows."""
-    nodes = file_nodes(files, parsed).unionByName(directory_nodes(files))
+    """The graph of ``build_graph`` with layers and tour as rows; nodes are held in a checkpoint."""
+    nodes = held(file_nodes(files, parsed).unionByName(directory_nodes(files)))  # layers and each part of the tour read them
     edges = contains_edges(files).unionByName(import_edges(parsed))
-    shown = held(nodes.select("id", "type", "file_path", "ord"))  # a tour reads them for each of its parts
-    steps = tour(shown, list_folders=False).drop("node_ids")
-    return GraphRows(project_row(files, name, analyzed_at, commit), nodes, edges, layer_rows(nodes), layer_positions(nodes), steps, tour_stops(shown))
+    steps = tour(nodes, list_folders=False).drop("node_ids")
+    return GraphRows(project_row(files, name, analyzed_at, commit), nodes, edges, layer_rows(nodes), layer_positions(nodes), steps, tour_stops(nodes))
 
 
 def rows_of(graph: Graph) -> GraphRows:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.functions import taxonomy as T
-from graphloom.functions.storage import held
+from graphloom.functions.storage import held, shared_folder
 from graphloom.operators import assist as A
 from graphloom.operators import definitions as D
 from graphloom.operators import export as X
@@ -26,6 +26,7 @@ from graphloom.operators import scan as N
 from graphloom.operators import search as S
 from graphloom.operators import wiki as W
 from graphloom.plans import oracle
+from graphloom.sources import files as L
 from graphloom.sources import virtual as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,6 +375,38 @@ def review_findings(spark: SparkSession, d: str) -> DataFrame:
     return A.review_findings(V.agent_answers(spark, d)["review"])
 
 
+def _stored(spark: SparkSession, d: str) -> G.GraphRows:
+    """The documents' graph, written to the shared folder and read back."""
+    files = V.document_files(spark, d)
+    graph = G.build_rows(N.inventory(files), P.Registry().parse(files), "documents", "2025-01-01T00:00:00Z")
+    return L.load_rows(spark, X.write_rows(graph, shared_folder(spark, "graph")))
+
+
+def stored_tour(spark: SparkSession, d: str) -> DataFrame:
+    graph = _stored(spark, d)
+    return Q.tour_listing_rows(graph.tour, graph.stops, graph.nodes)
+
+
+def _snapshot_of_old(spark: SparkSession, d: str, builds: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]) -> tuple[str, DataFrame]:
+    """A folder with the snapshot of the old files, and the new files."""
+    old, new = builds(spark, d)
+    place = shared_folder(spark, "snapshots")
+    I.full_state(old, place, "first", "2025-01-01T00:00:00Z")
+    return place, new
+
+
+def stored_status(spark: SparkSession, d: str) -> DataFrame:
+    """What became of the files of a snapshot that was written and read back."""
+    place, new = _snapshot_of_old(spark, d, V.snapshots)
+    return I.snapshot_status(L.read_snapshot(spark, place)[0], I.fingerprints(new))
+
+
+def incremental_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A full build with a snapshot, then an incremental one of the new files, which leaves another."""
+    place, new = _snapshot_of_old(spark, d, V.source_versions)
+    return I.changed_state(new, place, "second", "2025-01-02T00:00:00Z").edges().drop("ord")
+
+
 def queries() -> dict[str, Query]:
     one = lambda operator, source: lambda s, d: operator(source(s, d))
     return {
@@ -458,6 +491,11 @@ def queries() -> dict[str, Query]:
         "ignoring_stats": ignoring_stats,
         "scored_search": scored_search,
         "dashboard_payload": dashboard_payload,
+        "stored_nodes": lambda s, d: _nodes(_stored(s, d).nodes),
+        "stored_edges": lambda s, d: _stored(s, d).edges.drop("ord"),
+        "stored_tour": stored_tour,
+        "stored_status": stored_status,
+        "incremental_edges": incremental_edges,
     }
 
 

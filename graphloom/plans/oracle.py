@@ -209,7 +209,7 @@ def sql() -> dict[str, str]:
     node_columns = "id, type, name, file_path, summary, tags, complexity"
     mixed = f"{doc_nodes}, {ORDER_IMPORTS}, known AS (SELECT id, file_path, name FROM nodes UNION ALL SELECT {_id("'parts/p_' || p_partkey || '.rs'")}, 'parts/p_' || p_partkey || '.rs', 'p_' || p_partkey FROM part), edges AS (SELECT source, target, type, ord FROM contains_edges UNION ALL SELECT source, target, type, ord FROM import_edges)"
     llm = f"WITH {_ANSWERS}, {_EXTRACT}, {_ITEMS}"
-    return {
+    made = {
         "scan_inventory": f"{docs} SELECT * FROM files",
         "scan_pages": f"{pages} SELECT * FROM files",
         "language_counts": f"{docs} SELECT language, count(*) AS files FROM files GROUP BY language",
@@ -327,3 +327,21 @@ def sql() -> dict[str, str]:
         "scored_search": f"WITH {_NAMES}, far AS (SELECT DISTINCT query_id, id, name, levenshtein(lower(text), name)::INT AS distance, lower(text) AS t FROM named, asked) SELECT query_id, id, name, distance, (distance / greatest(length(t), length(name), 1))::FLOAT AS score FROM far WHERE distance <= 2",
         "fallback_layers": f"SELECT id, name, description, count(*) AS members FROM (SELECT {_TYPES}[p_partkey % 21 + 1] AS type FROM part) JOIN {_FALLBACK} ON list_contains(types, type) GROUP BY ALL",
     }
+    made |= {
+        "stored_nodes": f"{doc_nodes} SELECT {node_columns} FROM nodes",
+        "stored_edges": made["contains_edges"],
+        "stored_tour": made["tour_listing"],
+        "stored_status": made["snapshot_status"],
+        "incremental_edges": made["merged_edges"],
+        "markdown_sections": r"""WITH texts AS (SELECT doc_id, string_split(concat_ws(chr(10), '# Document ' || doc_id, '', coalesce(text, ''), '', '## Source ##', '### ' || coalesce(source, 'none'), '###### ' || coalesce(lang, 'none')), chr(10)) AS l
+                FROM documents WHERE doc_id IS NOT NULL), lines AS (SELECT doc_id, l[k] AS line, k FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM texts))
+            SELECT 'docs/doc_' || doc_id || '.md' AS path, regexp_replace(regexp_replace(line, '^#+ +', ''), '\s+#*\s*$', '') AS title, length(regexp_extract(line, '^#+')) AS level, k::INT AS line
+            FROM lines WHERE regexp_matches(line, '^#{1,6} ')""",
+        "dashboard_payload": f"""{parts}, {found()}, {DEFINITIONS}, {IMPORTS}, {NODES}, d AS (SELECT path AS file_path, count(*) AS d FROM definitions GROUP BY path), i AS (SELECT path AS file_path, count(*) AS i FROM imports GROUP BY path),
+            shown AS (SELECT *, CASE WHEN d > 0 OR i > 0 THEN replace(summary, ' lines)', ' lines, ' || coalesce(d, 0) || ' definitions, ' || coalesce(i, 0) || ' imports)') ELSE summary END AS told FROM nodes LEFT JOIN d USING (file_path) LEFT JOIN i USING (file_path)),
+            members AS (SELECT {LAYER} AS layer, (row_number() OVER (PARTITION BY {LAYER} ORDER BY ord) - 1)::INT AS position, id FROM nodes)
+            SELECT 0 AS section, id AS ord, to_json(struct_pack(id := id, colour := {_COLOUR}, radius := {_RADIUS}, label := right(coalesce(file_path, name), 15), type := type, summary := told))::VARCHAR AS json FROM shown
+            UNION ALL SELECT 1, source || chr(0) || target || chr(0) || type, to_json(struct_pack(source := source, target := target, type := type))::VARCHAR FROM contains_edges
+            UNION ALL SELECT 2, layer || ' ' || lpad(position::VARCHAR, 9, '0'), to_json(struct_pack(layer := layer, position := position, id := id))::VARCHAR FROM members""",
+    }
+    return made

@@ -3,6 +3,7 @@
 import json
 import os
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import parse as P
 from graphloom.operators import scan as N
 from graphloom.plans import catalog
+from graphloom.sources import files as L
 from graphloom.sources import virtual as V
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -85,3 +87,23 @@ def test_markdown_sections_of_whole_texts(spark):
     texts = V.table(spark, DATA, "documents").where("text is not null")
     assert texts.join(V.markdown_files(spark, DATA), F.expr("path = concat('docs/doc_', doc_id, '.md') and contains(content, text)")).count() == texts.count()
     assert sorted((r.path, r.title, r.level, r.line) for r in catalog.markdown_sections(spark, DATA).collect()) == sorted(wanted)
+
+
+def test_stored_rows_are_switched_as_a_whole(spark, parts, tmp_path):
+    parts = parts[1]
+    place = str(tmp_path / "graph")
+    assert L.load_rows(spark, place) is None
+    X.write_rows(parts, place)
+    first = L.load_rows(spark, place)
+    assert (first.version, first.kind) == (parts.version, parts.kind)
+    for name in G.ROW_TABLES:
+        ours, theirs = getattr(parts, name), getattr(first, name)
+        assert ours.columns == theirs.columns
+        assert sorted(map(repr, ours.collect())) == sorted(map(repr, theirs.collect()))
+    few = replace(parts, nodes=parts.nodes.limit(1), kind=None)
+    X.write_rows(few, place)
+    second = L.load_rows(spark, place)
+    assert second.nodes.count() == 1 and second.kind is None
+    assert first.nodes.count() == parts.nodes.count()  # who reads the graph before still can
+    X.write_rows(parts, place)
+    assert len(list((tmp_path / "graph").glob("graph-*"))) == 2
