@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
 from graphloom.functions.lexer import code_only
+from graphloom.functions.spread import shuffled
+from graphloom.functions.storage import held
 from graphloom.operators import graph as G
 
 _MARK = "\u0001"
@@ -57,54 +59,45 @@ def definitions(toks: DataFrame) -> DataFrame:
     """(path, k, body, name, kind, start, stop, level): each head with the token that opens its body, null without one, and its lines.
 
     A definition ends with the brace that closes its body, or with its semicolon; one that is never closed ends on the file's last token's line.
+    All of it are windows within a file, which one shuffle by path serves.
     """
-    at_level = Window.partitionBy("path", "level").orderBy("k")
     after = Window.partitionBy("path", "level").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     is_head = F.col("kind").isin(*NODE_TYPES, "impl")
     is_body = ((F.col("kind") == "open") & (F.col("name") == "{")) | (F.col("kind") == "end")
-    rows = toks.where("kind <> 'call'")
+    rows = toks.withColumn("last", F.max("line").over(Window.partitionBy("path"))).where("kind <> 'call'")
     # What closes a bracket is the next bracket at its level.
-    brackets = rows.where("kind in ('open', 'close')").withColumn("closed", F.lead("line").over(at_level)).select("path", "k", "closed")
-    rows = rows.join(brackets, ["path", "k"], "left")
+    rows = rows.withColumn("closed", F.last(F.when(F.col("kind").isin("open", "close"), F.col("line")), ignorenulls=True).over(after))
     body = F.when(is_body, F.struct(F.when(F.col("kind") == "open", F.col("k")).alias("k"), F.when(F.col("kind") == "open", F.col("closed")).otherwise(F.col("line")).alias("stop")))
     found = rows.withColumn("body", F.last(body, ignorenulls=True).over(after)).where(is_head)
-    last = toks.groupBy("path").agg(F.max("line").alias("last"))
-    return found.join(last, "path").select("path", "k", F.col("body.k").alias("body"), "name", "kind", F.col("line").alias("start"), F.coalesce("body.stop", "last").alias("stop"), "level")
+    return found.select("path", "k", F.col("body.k").alias("body"), "name", "kind", F.col("line").alias("start"), F.coalesce("body.stop", "last").alias("stop"), "level")
 
 
 def enclosed(toks: DataFrame, defs: DataFrame, inner: DataFrame) -> DataFrame:
     """The rows of ``inner`` (path, k, depth, ...) with ``around``: k of the definition whose body they are in, the innermost; null outside of all."""
     bodies = defs.where("body is not null and kind <> 'impl'").select("path", F.col("body").alias("k"), F.col("k").alias("around"))
-    opened = toks.where("kind = 'open' and name = '{'").join(bodies, ["path", "k"], "left").select("path", "level", "k", F.struct("around").alias("brace"), F.lit(None).cast("int").alias("asked"))
+    opened = toks.where("kind = 'open' and name = '{'").join(shuffled(bodies), ["path", "k"], "left").select("path", "level", "k", F.struct("around").alias("brace"), F.lit(None).cast("int").alias("asked"))
     probes = inner.where("depth > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("depth").cast("bigint") - 1)).alias("level"), "k", F.lit(None).cast("struct<around: int>").alias("brace"), F.col("k").alias("asked"))
     order = Window.partitionBy("path", "level").orderBy("k", F.col("asked").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = opened.unionByName(probes).withColumn("brace", F.last("brace", ignorenulls=True).over(order)).where("asked is not null and brace.around is not null")
     best = seen.groupBy("path", F.col("asked").alias("k")).agg(F.max_by("brace.around", "level").alias("around"))
-    return inner.join(best, ["path", "k"], "left")
+    return inner.join(shuffled(best), ["path", "k"], "left")
 
 
 def _definition_id(path: Column, kind: Column, name: Column, number: Column) -> Column:
     return C.node_id(F.concat(path, F.lit("#"), kind, F.lit(" "), name, F.lit("#"), number.cast("string")))
 
 
-def definition_graph(files: DataFrame, imports: DataFrame | None = None, language: str = "rust") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): nodes of functions and types, contains edges to them from the definition or file around, and calls edges.
-
-    files: (path, content), one row for each path. imports: (path, target_path), as of ``graph.import_links``. A call leads to the
-    first definition of that name in its own file, else in the files that its file imports, else to the only one there is anywhere; calls that none of
-    these resolves have no edge, nor have calls of a definition by itself. The source of a call outside of all definitions is the file. Several calls between
-    the same two make one edge, described by the first. Null contents give nothing; a path that repeats is an error in the input and gives merged tokens.
-    """
-    toks = tokens(files, language)
-    defs = definitions(toks)
-    inside = enclosed(toks, defs, defs.where("kind <> 'impl'").withColumn("depth", F.col("level")))
+def _identified(defs: DataFrame) -> DataFrame:
+    """Definitions other than implementations with their ids; those of one kind and name in a file are numbered."""
     number = Window.partitionBy("path", "kind", "name").orderBy("k")
-    node_type = C.lookup(NODE_TYPES, F.col("kind"))
-    known = inside.withColumn("number", F.row_number().over(number)).withColumn("id", _definition_id(F.col("path"), node_type, F.col("name"), F.col("number")))
-    nodes = G.node_rows(
+    return defs.withColumn("number", F.row_number().over(number)).withColumn("id", _definition_id(F.col("path"), C.lookup(NODE_TYPES, F.col("kind")), F.col("name"), F.col("number")))
+
+
+def _nodes(known: DataFrame, language: str) -> DataFrame:
+    return G.node_rows(
         known,
         id=F.col("id"),
-        type=node_type,
+        type=C.lookup(NODE_TYPES, F.col("kind")),
         name=F.col("name"),
         file_path=F.col("path"),
         line_range=F.array("start", "stop"),
@@ -113,7 +106,27 @@ def definition_graph(files: DataFrame, imports: DataFrame | None = None, languag
         complexity=C.file_complexity(F.col("stop") - F.col("start") + 1),
         ord=F.concat(F.lit("3"), F.col("path"), F.lit("\u0000"), F.lpad(F.col("k").cast("string"), 9, "0")),
     )
-    ids = known.select("path", F.col("k").alias("around"), F.col("id").alias("around_id"))
+
+
+def definition_nodes(files: DataFrame, language: str = "rust") -> DataFrame:
+    """The nodes of ``definition_graph`` by themselves: windows within files only, without a join."""
+    return _nodes(_identified(definitions(tokens(files, language)).where("kind <> 'impl'")), language)
+
+
+def definition_graph(files: DataFrame, imports: DataFrame | None = None, language: str = "rust") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): nodes of functions and types, contains edges to them from the definition or file around, and calls edges.
+
+    files: (path, content), one row for each path. imports: (path, target_path), as of ``graph.import_links``. A call leads to the
+    first definition of that name in its own file, else in the files that its file imports, else to the only one there is anywhere; calls that none of
+    these resolves have no edge, nor have calls of a definition by itself. The source of a call outside of all definitions is the file. Several calls between
+    the same two make one edge, described by the first. Null contents give nothing; a path that repeats is an error in the input and gives merged tokens.
+    """
+    toks = held(tokens(files, language))  # four lookups read them
+    defs = definitions(toks)
+    inside = enclosed(toks, defs, defs.where("kind <> 'impl'").withColumn("depth", F.col("level")))
+    known = _identified(inside)
+    nodes = _nodes(known, language)
+    ids = shuffled(known.select("path", F.col("k").alias("around"), F.col("id").alias("around_id")))
     owner = F.coalesce("around_id", C.node_id(F.col("path")))
     holds = known.join(ids, ["path", "around"], "left").select(owner.alias("source"), F.col("id").alias("target"), "path", "k", F.col("start").alias("line"), "name", F.lit("contains").alias("type"))
 
@@ -121,14 +134,14 @@ def definition_graph(files: DataFrame, imports: DataFrame | None = None, languag
     callable_ = known.where("kind in ('fn', 'struct')")
     per_file = callable_.groupBy("path", "name").agg(F.min_by("id", "k").alias("id"))
     anywhere = callable_.groupBy("name").agg(F.min("id").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1").select("name", "only")
-    sites = sites.join(per_file.withColumnRenamed("id", "own"), ["path", "name"], "left")
+    sites = sites.join(shuffled(per_file.withColumnRenamed("id", "own")), ["path", "name"], "left")
     if imports is None:
         sites = sites.withColumn("imported", F.lit(None).cast("string"))
     else:
         there = per_file.select(F.col("path").alias("target_path"), "name", F.col("id").alias("other"))
-        wanted = sites.where("own is null").select("path", "name").distinct().join(imports.select("path", "target_path").distinct(), "path").join(there, ["target_path", "name"])
-        sites = sites.join(wanted.groupBy("path", "name").agg(F.min_by("other", "target_path").alias("imported")), ["path", "name"], "left")
-    sites = sites.join(anywhere, "name", "left").withColumn("target", F.coalesce("own", "imported", "only")).where("target is not null and target <> source")
+        wanted = sites.where("own is null").select("path", "name").distinct().join(shuffled(imports.select("path", "target_path").distinct()), "path").join(shuffled(there), ["target_path", "name"])
+        sites = sites.join(shuffled(wanted.groupBy("path", "name").agg(F.min_by("other", "target_path").alias("imported"))), ["path", "name"], "left")
+    sites = sites.join(shuffled(anywhere), "name", "left").withColumn("target", F.coalesce("own", "imported", "only")).where("target is not null and target <> source")
     calls = sites.groupBy("source", "target").agg(F.min(F.struct("path", "k", "line", "name")).alias("s")).select("source", "target", "s.path", "s.k", "s.line", "s.name", F.lit("calls").alias("type"))
     edges = holds.unionByName(calls).select(
         "source", "target", "type", F.lit("forward").alias("direction"),
