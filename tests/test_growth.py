@@ -65,3 +65,19 @@ def test_names_that_share_all_but_a_number_meet_few_others(spark):
     asked = spark.createDataFrame([(k, n) for k, n in enumerate(names[::100])], "query_id bigint, text string")
     met = S.candidates(index, asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     assert met < 1000
+
+
+def test_imports_of_lines_are_numbered_where_they_are_dealt(spark):
+    """Each order's lines were gathered before they were taken apart again, in a sort that held a scan's whole share of the lines."""
+    imports, files = V.import_lines(spark, DATA)
+    assert "collect_list" not in plan(catalog.queries()["import_edges"](spark, DATA)) and plan(imports).count("Exchange") == 1
+    lines = V.table(spark, DATA, "lineitem")
+    assert imports.count() == lines.count()
+    wanted = lines.orderBy("l_orderkey", "l_linenumber", "l_partkey").collect()
+    got = {(r.path, r.position): (r.source, r.last) for r in imports.collect()}
+    seen = {}
+    for r in wanted:
+        path = f"orders/o_{r.l_orderkey}.rs"
+        seen[path] = seen.get(path, -1) + 1
+        assert got[path, seen[path]] == (f"crate::parts::p_{r.l_partkey}", f"p_{r.l_partkey}")
+    assert files.count() == len(seen) + V.table(spark, DATA, "part").count()
