@@ -81,3 +81,24 @@ def test_imports_of_lines_are_numbered_where_they_are_dealt(spark):
         seen[path] = seen.get(path, -1) + 1
         assert got[path, seen[path]] == (f"crate::parts::p_{r.l_partkey}", f"p_{r.l_partkey}")
     assert files.count() == len(seen) + V.table(spark, DATA, "part").count()
+
+
+def test_a_snapshot_parses_its_files_once(spark, tmp_path, monkeypatch):
+    """Each of a state's tables parsed all files again."""
+    from graphloom.operators import incremental as I
+    from graphloom.operators import merge as M
+
+    given = []
+    monkeypatch.setattr(M, "full", lambda *rows, make=M.full: given.extend(rows) or make(*rows))
+    files = spark.createDataFrame([("src/a.rs", "use crate::b;\nfn f() {}\n"), ("src/b.rs", "fn g() {}\n")], "path string, content string")
+    state = I.full_state(files, str(tmp_path / "state"))
+    assert [(r.source, r.target_path) for r in state.links.select("source", "target_path").collect()] == [("crate::b", "src/b.rs")]
+    assert all("ExistingRDD" in plan(rows) for rows in given)
+
+
+def test_lines_and_answers_are_dealt(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(V, "dealt", lambda rows, *keys, **how: dealt.append(keys) or spread.dealt(rows, *keys, **how))
+    V.source_versions(spark, DATA)
+    V.agent_answers(spark, DATA)
+    assert dealt == [("path",), ("path",), ("p_partkey",)]
