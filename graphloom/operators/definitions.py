@@ -55,8 +55,8 @@ def tokens(files: DataFrame, language: str = "rust") -> DataFrame:
     return rows.where((F.col("kind") != "text") & ~((F.col("kind") == "call") & F.coalesce(F.col("name").isin(*NO_CALLS), F.lit(False))))
 
 
-def definitions(toks: DataFrame) -> DataFrame:
-    """(path, k, body, name, kind, start, stop, level): each head with the token that opens its body, null without one, and its lines.
+def ended(toks: DataFrame) -> DataFrame:
+    """The tokens with ``stop``, which is null but for heads: the last line of their definition.
 
     A definition ends with the brace that closes its body, or with its semicolon; one that is never closed ends on the file's last token's line.
     All of it are windows within a file, which one shuffle by path serves.
@@ -64,33 +64,44 @@ def definitions(toks: DataFrame) -> DataFrame:
     after = Window.partitionBy("path", "level").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     is_head = F.col("kind").isin(*NODE_TYPES, "impl")
     is_body = ((F.col("kind") == "open") & (F.col("name") == "{")) | (F.col("kind") == "end")
-    rows = toks.withColumn("last", F.max("line").over(Window.partitionBy("path"))).where("kind <> 'call'")
+    rows = toks.withColumn("last", F.max("line").over(Window.partitionBy("path")))
     # What closes a bracket is the next bracket at its level.
     rows = rows.withColumn("closed", F.last(F.when(F.col("kind").isin("open", "close"), F.col("line")), ignorenulls=True).over(after))
-    body = F.when(is_body, F.struct(F.when(F.col("kind") == "open", F.col("k")).alias("k"), F.when(F.col("kind") == "open", F.col("closed")).otherwise(F.col("line")).alias("stop")))
-    found = rows.withColumn("body", F.last(body, ignorenulls=True).over(after)).where(is_head)
-    return found.select("path", "k", F.col("body.k").alias("body"), "name", "kind", F.col("line").alias("start"), F.coalesce("body.stop", "last").alias("stop"), "level")
+    body = F.when(is_body, F.when(F.col("kind") == "open", F.coalesce("closed", "last")).otherwise(F.col("line")))
+    stop = F.when(is_head, F.coalesce(F.last(body, ignorenulls=True).over(after), "last"))
+    return rows.withColumn("stop", stop).drop("last", "closed")
 
 
-def enclosed(toks: DataFrame, defs: DataFrame, inner: DataFrame) -> DataFrame:
-    """The rows of ``inner`` (path, k, depth, ...) with ``around``: k of the definition whose body they are in, the innermost; null outside of all."""
-    bodies = defs.where("body is not null and kind <> 'impl'").select("path", F.col("body").alias("k"), F.col("k").alias("around"))
-    opened = toks.where("kind = 'open' and name = '{'").join(shuffled(bodies), ["path", "k"], "left").select("path", "level", "k", F.struct("around").alias("brace"), F.lit(None).cast("int").alias("asked"))
-    probes = inner.where("depth > 0").select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("depth").cast("bigint") - 1)).alias("level"), "k", F.lit(None).cast("struct<around: int>").alias("brace"), F.col("k").alias("asked"))
-    order = Window.partitionBy("path", "level").orderBy("k", F.col("asked").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = opened.unionByName(probes).withColumn("brace", F.last("brace", ignorenulls=True).over(order)).where("asked is not null and brace.around is not null")
-    best = seen.groupBy("path", F.col("asked").alias("k")).agg(F.max_by("brace.around", "level").alias("around"))
-    return inner.join(shuffled(best), ["path", "k"], "left")
+def enclosed(toks: DataFrame) -> DataFrame:
+    """Heads of ``_identified`` and calls, with ``around_id``: the id of the definition whose body they are in, the innermost; null outside of all.
+
+    A token asks at each smaller level for the brace that was opened last, and takes its own columns along, so that nothing is joined back:
+    all of it are windows within a file, which one shuffle by path serves.
+    """
+    before = Window.partitionBy("path", "level").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("path", "level").orderBy("k", F.col("asked").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_body = ((F.col("kind") == "open") & (F.col("name") == "{")) | (F.col("kind") == "end")
+    owned = F.when(is_body, F.struct(F.lit(None).cast("string").alias("id"))).when(F.col("kind").isin(*NODE_TYPES), F.struct("id"))
+    # A brace is the body of the last head before it at its level, unless another brace or a semicolon lies between.
+    row, brace = "struct<kind: string, name: string, line: int, stop: int, id: string>", "struct<id: string>"
+    entry = lambda level, opened, asked: F.struct(level.cast("bigint").alias("level"), opened.cast(brace).alias("brace"), asked.cast(row).alias("asked"))
+    asks = F.transform(F.sequence(F.lit(-1), F.greatest(F.col("level").cast("int"), F.lit(0)) - 1), lambda at: entry(at, F.lit(None), F.struct("kind", "name", "line", "stop", "id")))
+    entries = F.when(F.col("kind") == "open", F.array(entry(F.col("level"), F.struct("owner.id"), F.lit(None)))).otherwise(asks)
+    rows = toks.withColumn("owner", F.last(owned, ignorenulls=True).over(before)).where("kind = 'open' and name = '{'" + f" or kind in {('call', *NODE_TYPES)}")
+    rows = rows.select("path", "k", F.explode_outer(entries).alias("e")).select("path", "k", "e.*")
+    seen = rows.withColumn("brace", F.last("brace", ignorenulls=True).over(up_to)).where("asked is not null")
+    best = seen.groupBy("path", "k").agg(F.max(F.when(F.col("brace.id").isNotNull(), F.struct("level", "brace.id"))).alias("best"), F.first("asked").alias("asked"))
+    return best.select("path", "k", "asked.*", F.col("best.id").alias("around_id"))
 
 
 def _definition_id(path: Column, kind: Column, name: Column, number: Column) -> Column:
     return C.node_id(F.concat(path, F.lit("#"), kind, F.lit(" "), name, F.lit("#"), number.cast("string")))
 
 
-def _identified(defs: DataFrame) -> DataFrame:
-    """Definitions other than implementations with their ids; those of one kind and name in a file are numbered."""
-    number = Window.partitionBy("path", "kind", "name").orderBy("k")
-    return defs.withColumn("number", F.row_number().over(number)).withColumn("id", _definition_id(F.col("path"), C.lookup(NODE_TYPES, F.col("kind")), F.col("name"), F.col("number")))
+def _identified(toks: DataFrame) -> DataFrame:
+    """The tokens with the ids of definitions other than implementations; those of one kind and name in a file are numbered."""
+    number = F.row_number().over(Window.partitionBy("path", "kind", "name").orderBy("k"))
+    return toks.withColumn("id", F.when(F.col("kind").isin(*NODE_TYPES), _definition_id(F.col("path"), C.lookup(NODE_TYPES, F.col("kind")), F.col("name"), number)))
 
 
 def _nodes(known: DataFrame, language: str) -> DataFrame:
@@ -100,17 +111,17 @@ def _nodes(known: DataFrame, language: str) -> DataFrame:
         type=C.lookup(NODE_TYPES, F.col("kind")),
         name=F.col("name"),
         file_path=F.col("path"),
-        line_range=F.array("start", "stop"),
-        summary=F.format_string("%s (%d lines)", "kind", F.col("stop") - F.col("start") + 1),
+        line_range=F.array("line", "stop"),
+        summary=F.format_string("%s (%d lines)", "kind", F.col("stop") - F.col("line") + 1),
         tags=F.array(F.lit(language)),
-        complexity=C.file_complexity(F.col("stop") - F.col("start") + 1),
+        complexity=C.file_complexity(F.col("stop") - F.col("line") + 1),
         ord=F.concat(F.lit("3"), F.col("path"), F.lit("\u0000"), F.lpad(F.col("k").cast("string"), 9, "0")),
     )
 
 
 def definition_nodes(files: DataFrame, language: str = "rust") -> DataFrame:
     """The nodes of ``definition_graph`` by themselves: windows within files only, without a join."""
-    return _nodes(_identified(definitions(tokens(files, language)).where("kind <> 'impl'")), language)
+    return _nodes(_identified(ended(tokens(files, language)).where(F.col("kind").isin(*NODE_TYPES))), language)
 
 
 def definition_graph(files: DataFrame, imports: DataFrame | None = None, language: str = "rust") -> tuple[DataFrame, DataFrame]:
@@ -121,27 +132,27 @@ def definition_graph(files: DataFrame, imports: DataFrame | None = None, languag
     these resolves have no edge, nor have calls of a definition by itself. The source of a call outside of all definitions is the file. Several calls between
     the same two make one edge, described by the first. Null contents give nothing; a path that repeats is an error in the input and gives merged tokens.
     """
-    toks = held(tokens(files, language))  # four lookups read them
-    defs = definitions(toks)
-    inside = enclosed(toks, defs, defs.where("kind <> 'impl'").withColumn("depth", F.col("level")))
-    known = _identified(inside)
+    # Heads and calls, with the definitions around them, are held: nodes, edges and what calls lead to read them.
+    rows = held(enclosed(_identified(ended(tokens(files, language)))))
+    rows = rows.withColumn("source", F.coalesce("around_id", C.node_id(F.col("path"))))
+    known = rows.where("kind <> 'call'")
     nodes = _nodes(known, language)
-    ids = shuffled(known.select("path", F.col("k").alias("around"), F.col("id").alias("around_id")))
-    owner = F.coalesce("around_id", C.node_id(F.col("path")))
-    holds = known.join(ids, ["path", "around"], "left").select(owner.alias("source"), F.col("id").alias("target"), "path", "k", F.col("start").alias("line"), "name", F.lit("contains").alias("type"))
-
-    sites = enclosed(toks, defs, toks.where("kind = 'call'").select("path", "k", "line", "name", "depth")).join(ids, ["path", "around"], "left").select("path", "k", "line", "name", owner.alias("source"))
-    callable_ = known.where("kind in ('fn', 'struct')")
-    per_file = callable_.groupBy("path", "name").agg(F.min_by("id", "k").alias("id"))
-    anywhere = callable_.groupBy("name").agg(F.min("id").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1").select("name", "only")
-    sites = sites.join(shuffled(per_file.withColumnRenamed("id", "own")), ["path", "name"], "left")
+    holds = known.select("source", F.col("id").alias("target"), "path", "k", "line", "name", F.lit("contains").alias("type"))
+
+    callable_ = F.col("kind").isin("fn", "struct")
+    own = F.min_by("id", F.when(callable_, F.col("k"))).over(Window.partitionBy("path", "name"))
+    sites = rows.where((F.col("kind") == "call") | callable_).withColumn("own", own).where("kind = 'call'").select("path", "k", "line", "name", "source", "own")
+    far = sites.where("own is null").drop("own")
+    per_file = known.where(callable_).groupBy("path", "name").agg(F.min_by("id", "k").alias("id"))
+    anywhere = known.where(callable_).groupBy("name").agg(F.min("id").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1").select("name", "only")
     if imports is None:
-        sites = sites.withColumn("imported", F.lit(None).cast("string"))
+        far = far.withColumn("imported", F.lit(None).cast("string"))
     else:
         there = per_file.select(F.col("path").alias("target_path"), "name", F.col("id").alias("other"))
-        wanted = sites.where("own is null").select("path", "name").distinct().join(shuffled(imports.select("path", "target_path").distinct()), "path").join(shuffled(there), ["target_path", "name"])
-        sites = sites.join(shuffled(wanted.groupBy("path", "name").agg(F.min_by("other", "target_path").alias("imported"))), ["path", "name"], "left")
-    sites = sites.join(shuffled(anywhere), "name", "left").withColumn("target", F.coalesce("own", "imported", "only")).where("target is not null and target <> source")
+        wanted = far.select("path", "name").distinct().join(shuffled(imports.select("path", "target_path").distinct()), "path").join(shuffled(there), ["target_path", "name"])
+        far = far.join(shuffled(wanted.groupBy("path", "name").agg(F.min_by("other", "target_path").alias("imported"))), ["path", "name"], "left")
+    far = far.join(shuffled(anywhere), "name", "left").withColumn("target", F.coalesce("imported", "only")).drop("imported", "only")
+    sites = sites.where("own is not null").withColumnRenamed("own", "target").unionByName(far).where("target is not null and target <> source")
     calls = sites.groupBy("source", "target").agg(F.min(F.struct("path", "k", "line", "name")).alias("s")).select("source", "target", "s.path", "s.k", "s.line", "s.name", F.lit("calls").alias("type"))
     edges = holds.unionByName(calls).select(
         "source", "target", "type", F.lit("forward").alias("direction"),

@@ -40,6 +40,16 @@ def test_nodes_by_themselves_are_those_of_the_graph(spark):
     assert lines == [("p0.rs", "a", 1, 1), ("p0.rs", "b", 1, 1), ("p0.rs", "b", 2, 2), ("p1.rs", "S", 1, 1), ("p1.rs", "b", 2, 2), ("p1.rs", "never", 3, 3)]
 
 
+def test_what_is_around_a_token_is_found_without_a_join(spark):
+    """Tokens, bodies and ids were joined within files; now one join looks up the names that are defined once anywhere."""
+    texts = ["fn a() { fn b() { c() } b() }\nstruct S { x: u8 }", "impl S { fn c() { [d(); 2] } }\nfn d();\nfn e() { c() }"]
+    files = spark.createDataFrame([(f"p{k}.rs", t) for k, t in enumerate(texts)], "path string, content string")
+    edges = D.definition_graph(files)[1]
+    assert plan(edges).count("Join") == 1
+    rows = sorted((r.type, r.description) for r in edges.select("type", "description").collect())
+    assert rows == [("calls", f"p{at}") for at in ("0.rs line 1 calls b", "0.rs line 1 calls c", "1.rs line 1 calls d", "1.rs line 3 calls c")] + [("contains", f"p{at}") for at in ("0.rs line 1 contains a", "0.rs line 1 contains b", "0.rs line 2 contains S", "1.rs line 1 contains c", "1.rs line 2 contains d", "1.rs line 3 contains e")]
+
+
 @pytest.mark.parametrize("name", ["script_definitions", "script_imports", "script_endpoints", "parse_definitions"])
 def test_texts_are_parsed_once(spark, name):
     """An inner explode was preceded by a filter on the size of the parsed arrays, which parsed each text again."""
