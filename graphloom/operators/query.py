@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import columns as C
+from graphloom.functions.spread import placed, shuffled
 from graphloom.functions.storage import held
 from graphloom.operators.graph import Graph, GraphRows
 
@@ -45,12 +46,13 @@ def file_inventory(nodes: DataFrame) -> DataFrame:
     return nodes.where("file_path is not null").select(F.col("file_path").alias("path"), F.get("tags", F.lit(0)).alias("language"), C.summary_lines(F.col("summary")).alias("lines"), "type")
 
 
-def import_list(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def import_list(edges: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     """QRY6: (source, target) labels of imports; an unknown end keeps its id."""
     ends = nodes.select("id", F.coalesce("file_path", "name").alias("label"))
     rows = edges.where("type = 'imports'").select("source", "target")
     for end in ("source", "target"):
-        rows = rows.join(ends.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+        own = ends.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+        rows = placed(rows, tasks, end).join(shuffled(placed(own, tasks, end)), end, "left")
     return rows.select(F.coalesce("source_label", "source").alias("source"), F.coalesce("target_label", "target").alias("target"))
 
 
@@ -99,16 +101,18 @@ def tour_listing_rows(steps: DataFrame, stops: DataFrame, nodes: DataFrame) -> D
     return rows.join(nodes.select("id", "file_path"), "id", "left").select("order", "title", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("file_path", "id").alias("label"))
 
 
-def valid_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def valid_links(edges: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     """QRY9: the edges with two known ends."""
-    ids = nodes.select("id").distinct()
-    return edges.join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
+    ids = shuffled(placed(nodes.select("id"), tasks, "id").distinct())
+    known = placed(edges, tasks, "source").join(ids, F.col("source") == F.col("id"), "left_semi")
+    return placed(known, tasks, "target").join(ids, F.col("target") == F.col("id"), "left_semi")
 
 
-def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def dangling_edges(edges: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     """QRY12: (source, target, type, missing) of the edges with an unknown end; missing: source, target or both."""
-    ids = nodes.select("id").distinct()
-    rows = edges.join(ids.select(F.col("id").alias("s")), F.col("source") == F.col("s"), "left").join(ids.select(F.col("id").alias("t")), F.col("target") == F.col("t"), "left")
+    ids = placed(nodes.select("id"), tasks, "id").distinct()
+    rows = placed(edges, tasks, "source").join(shuffled(ids.select(F.col("id").alias("s"))), F.col("source") == F.col("s"), "left")
+    rows = placed(rows, tasks, "target").join(shuffled(ids.select(F.col("id").alias("t"))), F.col("target") == F.col("t"), "left")
     missing = F.when(F.col("s").isNull() & F.col("t").isNull(), "both").when(F.col("s").isNull(), "source").when(F.col("t").isNull(), "target")
     return rows.select("source", "target", "type", missing.alias("missing")).where("missing is not null")
 
@@ -125,16 +129,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.id").agg(F.sum("e.o").alias("outgoing"), F.sum("e.i").alias("incoming"))
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int = 10) -> DataFrame:
+def neighbours(edges: DataFrame, nodes: DataFrame, ids: DataFrame, most: int = 10, tasks: int | None = None) -> DataFrame:
     """QRY10: for each of ``ids`` (id) its first ``most`` links in edge order, outgoing and incoming ones, without loops: (id, rank, total, other, way, type, label)."""
-    way = lambda a, b, name: edges.where("source <> target").select(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(name).alias("way"), "type", "ord")
-    links = way("source", "target", "out").unionByName(way("target", "source", "in")).join(ids, "id", "left_semi")
-    totals = links.groupBy("id").agg(F.count(F.lit(1)).alias("total"))
-    order = Window.partitionBy("id").orderBy("ord", "way", "other")
-    few = links.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    # Both ways of an edge are made at once, so that edges are computed once.
+    way = lambda a, b, name: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(name).alias("way"), "type", "ord")
+    links = edges.where("source <> target").select(F.explode(F.array(way("source", "target", "out"), way("target", "source", "in"))).alias("w")).select("w.*")
+    links = placed(links, tasks, "id").join(shuffled(placed(ids, tasks, "id")), "id", "left_semi")
+    each_id = Window.partitionBy("id")
+    counted = links.withColumn("rank", F.row_number().over(each_id.orderBy("ord", "way", "other"))).withColumn("total", F.count(F.lit(1)).over(each_id))
     names = nodes.select(F.col("id").alias("other"), F.coalesce("file_path", "name").alias("label"))
-    rows = few.join(totals, "id")
-    return rows.join(names, "other", "left").select("id", "rank", "total", "other", "way", "type", F.coalesce("label", "other").alias("label"))
+    rows = placed(counted.where(F.col("rank") <= most), tasks, "other").join(shuffled(placed(names, tasks, "other")), "other", "left")
+    return rows.select("id", "rank", "total", "other", "way", "type", F.coalesce("label", "other").alias("label"))
 
 
 def search(nodes: DataFrame, text: str) -> DataFrame:

@@ -112,3 +112,12 @@ def test_lines_and_answers_are_dealt(spark, monkeypatch):
     V.source_versions(spark, DATA)
     V.agent_answers(spark, DATA)
     assert dealt == [("path",), ("path",), ("p_partkey",)]
+
+
+@pytest.mark.parametrize("name", ["edge_union", "import_list", "dangling_edges", "valid_links", "neighbours"])
+def test_imports_meet_on_as_many_tasks_as_their_lines_need(spark, name, monkeypatch):
+    """Small partitions were joined to ones of 64 compressed MB, which were millions of rows; neighbours computed all edges four times."""
+    monkeypatch.setattr(catalog, "tasks_of", lambda rows: 37)
+    found = plan(catalog.queries()[name](spark, DATA))
+    assert found.count(", 37), REPARTITION_BY_NUM") >= (5 if name == "edge_union" else 7)
+    assert sum("FileScan" in line and "l_partkey" in line for line in found.splitlines()) == 1
