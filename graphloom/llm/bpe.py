@@ -99,6 +99,10 @@ class Codec:
         self.model.LoadFromSerializedProto(serialise(tokens, own))
         self.rank_of = np.array(own, "<i4")
         self.bytes_of = {rank: to_bytes(self.model.IdToPiece(k)) for k, rank in enumerate(own)}
+        # The same by position, empty where there is no such id, for whole columns of ids.
+        self.table = pa.array([self.bytes_of.get(rank, b"") for rank in range(max(own, default=-1) + 1)], pa.large_binary())
+        self.known = np.zeros(len(self.table), bool)
+        self.known[own] = True
         self.cut = regex.compile(self.pattern)
         self.recent: dict[str, bytes] = {}
 
@@ -164,6 +168,22 @@ class Codec:
             return None
 
 
+    def decode_column(self, ids: pa.ListArray) -> pa.Array:
+        """``decode`` of each row; null for null rows and for those with a null."""
+        flat = ids.flatten()
+        numbers = flat.to_numpy(zero_copy_only=False) if not flat.null_count else None
+        if ids.null_count or numbers is None or len(numbers) and (numbers.min() < 0 or numbers.max() >= len(self.known) or not self.known[numbers].all()):
+            return pa.array([None if x is None else self.decode(x) for x in ids.to_pylist()], pa.binary())
+        if not len(flat):
+            return pa.array([b""] * len(ids), pa.binary())
+        pieces = self.table.take(flat)
+        # The pieces' bytes lie one after the other: rows are cut out of them.
+        ends = np.frombuffer(pieces.buffers()[1], "<i8", len(pieces) + 1, pieces.offset * 8)
+        starts = ids.offsets.to_numpy()
+        stops = ends[starts - starts[0]].astype("<i4")
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(stops.tobytes()), pieces.buffers()[2]])
+
+
 def codec(path: str, pattern: str) -> Codec:
     """The codec of this Python worker, made once."""
     own = kept("bpe")
@@ -209,10 +229,8 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(vocabulary, pattern)
         for batch in batches:
-            # Few rows at a time: all their ids are Python numbers then.
-            for first in range(0, batch.num_rows, 64):
+            for first in range(0, batch.num_rows, 64):  # few rows at a time, as the bytes of all are in one piece
                 part = batch.slice(first, 64)
-                data = [None if x is None else made.decode(x) for x in part.column(own).to_pylist()]
-                yield with_columns(part.drop_columns([own]), decoded=pa.array(data, pa.binary()))
+                yield with_columns(part.drop_columns([own]), decoded=made.decode_column(part.column(own)))
 
     return rows.mapInArrow(run, schema)
