@@ -121,3 +121,9 @@ def test_imports_meet_on_as_many_tasks_as_their_lines_need(spark, name, monkeypa
     found = plan(catalog.queries()[name](spark, DATA))
     assert found.count(", 37), REPARTITION_BY_NUM") >= (5 if name == "edge_union" else 7)
     assert sum("FileScan" in line and "l_partkey" in line for line in found.splitlines()) == 1
+
+
+def test_edges_of_a_graph_of_rows_are_computed_once(spark):
+    """A Markdown report counts edges and lists imports twice, and each time parsed all files again."""
+    graph = catalog._part_graph(spark, DATA)
+    assert "ExistingRDD" in plan(graph.edges) and "FileScan" not in plan(graph.edges)
