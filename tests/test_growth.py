@@ -127,3 +127,38 @@ def test_edges_of_a_graph_of_rows_are_computed_once(spark):
     """A Markdown report counts edges and lists imports twice, and each time parsed all files again."""
     graph = catalog._part_graph(spark, DATA)
     assert "ExistingRDD" in plan(graph.edges) and "FileScan" not in plan(graph.edges)
+
+
+def test_model_answers_are_dealt_and_nodes_taken_apart_once(spark, monkeypatch):
+    """A file of a few MB of events was a task or two, and nodes were taken out of their answers again by each pass that draws or sorts ranges."""
+    from graphloom.operators import assist as A
+
+    dealt, given = [], []
+    monkeypatch.setattr(V, "dealt", lambda rows, *keys, **how: dealt.append(keys) or spread.dealt(rows, *keys, per=50))
+    monkeypatch.setattr(A, "numbered", lambda rows, *order, make=A.numbered: given.append(rows) or make(rows, *order))
+    answers = V.model_answers(spark, DATA)
+    assert dealt == [("event_id",)] and answers.rdd.getNumPartitions() == V.table(spark, DATA, "events").count() // 50
+    items = A.answer_items(answers)
+    # The schema of a whole answer is not made to see whether it is an array, and both kinds are read in one pass.
+    assert "schema_of_variant" not in plan(items) and plan(items).count("ExistingRDD") == 1
+    A.answer_nodes(items)
+    assert len(given) == 1 and "ExistingRDD" in plan(given[0]) and "variant" not in plan(given[0])
+
+
+def test_white_space_at_the_ends_is_that_before_no_other_character(spark):
+    """A pattern's end was also before a last line separator, so that white space inside the text went."""
+    from graphloom.functions import columns as C
+
+    texts = ["\n\x0b a \x0c\r\t", "a  ", "a \u0085", "  a", " \n", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+    assert [r[0] for r in rows.select(C.trimmed(F.col("t"))).collect()] == ["a", "a  ", "a \u0085", "  a", "", "", None]
+
+
+def test_items_and_elements_of_odd_answers(spark):
+    from graphloom.operators import assist as A
+
+    odd = [None, "", "7", "[]", "{}", "[null, 1]", '{"nodes": {"a": {"id": "x"}}}', '{"nodes": null}', '[1, {"nodes": [null, {"id": 5, "line_range": [1, "2", 3]}, {"id": "b", "tags": ["t", 4]}]}]']
+    items = A.answer_items(spark.createDataFrame(list(enumerate(odd)), "batch bigint, response string"))
+    assert sorted(tuple(r) for r in items.select("batch", "item").collect()) == [(4, 0), (5, 0), (5, 1), (6, 0), (7, 0), (8, 0), (8, 1)]
+    nodes = A.answer_nodes(items).orderBy("ord").collect()
+    assert [(r.id, r.name, r.line_range, r.tags) for r in nodes] == [("node-1", "unknown", None, []), ("node-2", "unknown", [1, 2], []), ("b", "unknown", None, ["t"])]
