@@ -162,3 +162,69 @@ def test_items_and_elements_of_odd_answers(spark):
     assert sorted(tuple(r) for r in items.select("batch", "item").collect()) == [(4, 0), (5, 0), (5, 1), (6, 0), (7, 0), (8, 0), (8, 1)]
     nodes = A.answer_nodes(items).orderBy("ord").collect()
     assert [(r.id, r.name, r.line_range, r.tags) for r in nodes] == [("node-1", "unknown", None, []), ("node-2", "unknown", [1, 2], []), ("b", "unknown", None, ["t"])]
+
+
+def test_a_build_reads_each_file_once(spark, tmp_path):
+    """A full build read the files for fingerprints, inventory and parsed texts each, an incremental one five times."""
+    from pyspark.sql import types as T
+
+    from graphloom.operators import incremental as I
+
+    reads = spark.sparkContext.accumulator(0)
+    read = F.udf(lambda text: reads.add(1) or text, T.StringType())
+    of = lambda texts: spark.createDataFrame(sorted(texts.items()), "path string, content string").withColumn("content", read("content"))
+    old = {"src/a.rs": "use crate::b;\n", "src/b.rs": "fn g() {}\n", "n.md": "x"}
+    I.full_state(of(old), str(tmp_path / "state"), "first", "2025-01-01T00:00:00Z")
+    assert reads.value == 3
+    new = I.changed_state(of(old | {"src/a.rs": "use crate::c;\n", "src/c.rs": ""}), str(tmp_path / "state"))
+    assert reads.value == 3 + 4
+    assert [(r.path, r.target_path) for r in new.links.collect()] == [("src/a.rs", "src/c.rs")]
+
+
+def test_files_are_compared_as_by_their_status(spark):
+    """Repeated rows, excluded files, folders with backslashes and paths that are null: in one pass as by two tables of fingerprints."""
+    from graphloom.operators import incremental as I
+    from graphloom.operators import parse as P
+    from graphloom.operators import scan as N
+
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "path string, content string")
+    old = rows(("a.rs", "x"), ("a.rs", "x"), ("b.rs", "x"), ("b.rs", "y"), ("c.rs", "x"), ("d.rs", "x"), ("e.rs", "x"), (None, "x"))
+    new = rows(("a.rs", "x"), ("b.rs", "x"), ("c.rs", "x"), ("c.rs", "y"), ("d.rs", "y"), ("f.rs", "use a;"), ("f.rs", "use a;"), (".h.rs", "use a;"), ("s\\t.rs", "use a;"), ("s/u.rs", "fn f() {}"), ("n.md", "x"), (None, "x"))
+    status = I.snapshot_status(I.fingerprints(old), I.fingerprints(new)).where("status <> 'unchanged'")
+    one = I.compared(I.fingerprints(old), new)
+    key = lambda rows: sorted(map(repr, rows.distinct().collect()))
+    assert key(one.where("status <> 'unchanged'").select("path", "status")) == key(status)
+    assert sorted(map(repr, one.where("hash is not null").select("path", "hash").collect())) == sorted(map(repr, I.fingerprints(new).collect()))
+    gone, found, parsed = I.changes_of(one)
+    changed = new.join(status.where("status in ('added', 'modified')").select("path").distinct(), "path", "left_semi")
+    plainly = N.inventory(changed)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plainly.collect()))
+    texts = P.Registry().parse(changed.join(N.code_files(plainly).select("path"), "path", "left_semi"))
+    brief = lambda rows: sorted((r.path, r.line_count, [d.name for d in r.definitions], [i.source for i in r.imports]) for r in rows.collect())
+    assert brief(parsed) == brief(texts) and len(brief(texts)) > 3
+    assert key(gone.where("path is not null")) == key(status.where("status in ('modified', 'deleted') and path is not null").select("path"))
+
+
+def test_patterns_are_searched_only_where_their_words_are(spark):
+    """Definitions and sources without places are those of the texts with marks, main, several lines and no words."""
+    from graphloom.operators import parse as P
+
+    texts = ["fn main() {}\nfn a() {}", "f\u0001n b() {}\nst\u0002ruct C;", "use a::\n  b ;\n\u0001use c;", "impl<T> X for Y {}\ntrait Z {}\nenum E {}", "nothing", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, content string").orderBy("k")
+    c = F.col("content")
+    both = rows.select(P.rust_definitions(c)["name"].alias("a"), P.rust_definitions(c, P.texts)["name"].alias("b"), P.rust_imports(c)["source"].alias("c"), P.rust_sources(c)["source"].alias("d")).collect()
+    assert [r.a for r in both] == [r.b for r in both] == [["a"], ["b", "C"], [], ["Z", "E", "impl X"], [], []]
+    assert [r.c for r in both] == [r.d for r in both] == [[], [], ["a::\n  b", "c"], [], [], []]
+
+
+def test_folders_and_edges_are_counted_by_folder(spark):
+    """Each file's folders were taken apart for it."""
+    from graphloom.functions import columns as C
+    from graphloom.operators import graph as G
+    from graphloom.operators import merge as M
+
+    paths = ["a.rs", "/a.rs", "a/b.rs", "a/b/c.rs", "a/b/c.rs", "a//b.rs", "a/", "x/y/z/w", "//", "", None]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = lambda made: sorted(map(tuple, made.collect()))
+    assert rows(M._sums([G.contains_counts(files)], "p", "c")) == rows(G.contains_pairs(files).groupBy("p", "c").count())
+    assert rows(M._sums([G.folder_counts(files)], "p")) == rows(files.select(F.explode(C.ancestors(F.col("path"))).alias("p")).groupBy("p").count())
