@@ -228,3 +228,18 @@ def test_folders_and_edges_are_counted_by_folder(spark):
     rows = lambda made: sorted(map(tuple, made.collect()))
     assert rows(M._sums([G.contains_counts(files)], "p", "c")) == rows(G.contains_pairs(files).groupBy("p", "c").count())
     assert rows(M._sums([G.folder_counts(files)], "p")) == rows(files.select(F.explode(C.ancestors(F.col("path"))).alias("p")).groupBy("p").count())
+
+
+@pytest.mark.parametrize("name, never", [("merged_nodes", {"summary", "target_path", "position", "key", "members"})])
+def test_a_merged_table_holds_what_it_needs(spark, name, never, monkeypatch):
+    """All tables of the old state and of the change were computed and held, whichever one was asked for."""
+    from graphloom.operators import incremental as I
+    from graphloom.operators import merge as M
+
+    seen, make = [], catalog.held
+    for module in (catalog, I, M):
+        monkeypatch.setattr(module, "held", lambda rows: seen.append(set(rows.columns)) or make(rows))
+    made = catalog.queries()[name](spark, DATA)
+    assert made.columns and 0 < len(seen) <= 11
+    # The inventory is held where files are examined; from there on only what the table takes.
+    assert not [held & never for held in seen if "file_category" not in held and held & never]
