@@ -230,7 +230,7 @@ def test_folders_and_edges_are_counted_by_folder(spark):
     assert rows(M._sums([G.folder_counts(files)], "p")) == rows(files.select(F.explode(C.ancestors(F.col("path"))).alias("p")).groupBy("p").count())
 
 
-@pytest.mark.parametrize("name, never", [("merged_layers", {"summary", "imports", "target_path", "position", "key"}), ("merged_nodes", {"summary", "target_path", "position", "key", "members"})])
+@pytest.mark.parametrize("name, never", [("merged_edges", {"summary", "complexity", "members", "language"}), ("merged_layers", {"summary", "imports", "target_path", "position", "key"}), ("merged_nodes", {"summary", "target_path", "position", "key", "members"})])
 def test_a_merged_table_holds_what_it_needs(spark, name, never, monkeypatch):
     """All tables of the old state and of the change were computed and held, whichever one was asked for."""
     from graphloom.operators import incremental as I
